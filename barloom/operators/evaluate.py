@@ -6,7 +6,7 @@ import datetime
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.schemas import SERIES_KEY
@@ -117,57 +117,69 @@ def label_violations(enriched: DataFrame) -> DataFrame:
     return enriched.agg(F.count_if(wrong).alias("violations"))
 
 
+def _cells(cells: Sequence[Cell]) -> Column:
+    """The cells as a literal array of structs, in the order given."""
+    rows = ", ".join(
+        f"named_struct('threshold', {c.threshold}D, 'start', DATE '{c.start}', 'end', DATE '{c.end}')"
+        for c in cells
+    )
+    return F.expr(f"array({rows})")
+
+
 def precision_sweep(
     enriched: DataFrame, cells: Sequence[Cell], buffer1: float = 1.0, buffer2: float = 1.0
 ) -> DataFrame:
     """Precision per cell, next to that of all predictions of the same period.
 
-    One pass: every cell is a set of conditional counts of a single aggregate, so
-    only one row per task is shuffled, however many cells there are.
+    One pass over the predictions: each row goes to the cells it falls in and is
+    counted there before the shuffle, so what is shuffled is one row per cell and
+    task. Cells without predictions have zero counts and precisions.
     """
-    right = F.col("act_diff") >= buffer1
-    gained = F.try_divide("close2", "close1") >= buffer2
-
-    def counts(threshold: float, start: datetime.date, end: datetime.date) -> list[Column]:
-        chosen = (
-            (F.col("prob") >= threshold)
-            & (F.col("date2") >= F.lit(start))
-            & (F.col("date2") < F.lit(end))
-        )
-        return [F.count_if(chosen & right), F.count_if(chosen & gained), F.count_if(chosen)]
-
-    wanted = dict.fromkeys([*cells, *[Cell(0.0, c.start, c.end) for c in cells]])
-    names = {cell: [f"_{i}_{part}" for part in ["acc", "acc2", "all"]] for i, cell in enumerate(wanted)}
-    totals = enriched.agg(
-        *[
-            count.alias(name)
-            for cell in wanted
-            for count, name in zip(counts(*cell), names[cell], strict=True)
-        ]
+    wanted = list(dict.fromkeys([*cells, *[Cell(0.0, c.start, c.end) for c in cells]]))
+    falls_in = F.filter(
+        _cells(wanted),
+        lambda c: (F.col("prob") >= c["threshold"])
+        & (F.col("date2") >= c["start"])
+        & (F.col("date2") < c["end"]),
     )
-
-    def row(cell: Cell) -> Column:
-        acc, acc2, n = (F.col(name) for name in names[cell])
-        base = Cell(0.0, cell.start, cell.end)
-        base_acc, base_acc2, base_n = (F.col(name) for name in names[base])
-
-        def share(part: Column, whole: Column) -> Column:
-            return F.when(n > 0, F.try_divide(part.cast("double"), whole)).otherwise(0.0)
-
-        return F.struct(
-            F.lit(cell.threshold).alias("threshold"),
-            F.lit(cell.start).alias("start"),
-            F.lit(cell.end).alias("end"),
-            acc.alias("acc"),
-            acc2.alias("acc2"),
-            n.alias("all"),
-            share(acc, n).alias("precision"),
-            share(base_acc, base_n).alias("base_precision"),
-            share(acc2, n).alias("precision2"),
-            share(base_acc2, base_n).alias("base_precision2"),
+    key = ["threshold", "start", "end"]
+    counted = (
+        enriched.select(
+            "act_diff", "close1", "close2", F.explode(falls_in).alias("cell")
         )
+        .groupBy(*[F.col(f"cell.{name}").alias(name) for name in key])
+        .agg(
+            F.count_if(F.col("act_diff") >= buffer1).alias("acc"),
+            F.count_if(F.try_divide("close2", "close1") >= buffer2).alias("acc2"),
+            F.count(F.lit(1)).alias("all"),
+        )
+    )
+    counts = ["acc", "acc2", "all"]
+    # One row per cell from here on. The cell with threshold 0 counts its whole period.
+    period = Window.partitionBy("start", "end")
+    with_base = counted.withColumns(
+        {
+            f"base_{name}": F.max(F.when(F.col("threshold") == 0, F.col(name))).over(period)
+            for name in counts
+        }
+    )
+    grid = enriched.sparkSession.range(1).select(F.inline(_cells(cells)))
+    joined = grid.join(F.broadcast(with_base), key, "left").fillna(
+        0, [*counts, *[f"base_{name}" for name in counts]]
+    )
 
-    return totals.select(F.inline(F.array(*[row(cell) for cell in cells])))
+    def share(part: str, whole: str) -> Column:
+        ratio = F.try_divide(F.col(part).cast("double"), F.col(whole))
+        return F.when(F.col("all") > 0, ratio).otherwise(0.0)
+
+    return joined.select(
+        *key,
+        *counts,
+        share("acc", "all").alias("precision"),
+        share("base_acc", "base_all").alias("base_precision"),
+        share("acc2", "all").alias("precision2"),
+        share("base_acc2", "base_all").alias("base_precision2"),
+    )
 
 
 def top_predictions(predictions: DataFrame, score: str, k: int, *tie_break: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,9 @@ def classifier(kind: str = "tree"):
 
 
 def as_vectors(points: DataFrame) -> DataFrame:
-    """Array features as a vector column, as Spark ML takes them."""
+    """Array features as a vector column, as Spark ML takes them; vectors are left as they are."""
+    if isinstance(points.schema["features"].dataType, VectorUDT):
+        return points
     return points.withColumn("features", array_to_vector("features"))
 
 

@@ -49,11 +49,11 @@ class Inputs:
 
     @cached_property
     def history(self) -> DataFrame:
-        return self.bars.where(F.col("date") < F.lit(HISTORY_UNTIL))
+        return market.bars(self.spark, self.folder, before=HISTORY_UNTIL)
 
     @cached_property
     def delta(self) -> DataFrame:
-        late = self.bars.where(F.col("date") >= F.lit(DELTA_FROM))
+        late = market.bars(self.spark, self.folder, since=DELTA_FROM)
         return late.withColumn("volume", F.col("volume") + 1)
 
     @cached_property

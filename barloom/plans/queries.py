@@ -32,7 +32,7 @@ from barloom.operators.evaluate import Cell
 from barloom.plans import inputs
 from barloom.plans.inputs import D, Inputs
 from barloom.sinks import tables
-from barloom.sources import landing
+from barloom.sources import landing, market
 
 REGISTRY: dict[str, Callable[[Inputs], DataFrame]] = {}
 
@@ -137,7 +137,7 @@ def symbol_feed_scan(m: Inputs) -> DataFrame:
 
 @query
 def benchmark_refresh(m: Inputs) -> DataFrame:
-    old = m.benchmark.where(F.col("date") < F.lit(inputs.HISTORY_UNTIL))
+    old = market.benchmark(m.spark, m.folder, before=inputs.HISTORY_UNTIL)
     path = storage.scratch_path(m.spark, "benchmark")
     return rounded(ingest.refresh(old, m.benchmark, path))
 
@@ -437,20 +437,19 @@ def forest_classifier_scores(m: Inputs) -> DataFrame:
 
 
 def _scores(m: Inputs, kind: str) -> DataFrame:
-    points = storage.materialize(
-        features.mart_features(m.rated, MART_WINDOW, MART_COACH).select(
-            *LABEL_COLUMNS, "features"
-        ),
-        "points",
+    # Training reads the points several times: they are stored, as vectors, first.
+    points = features.mart_features(m.rated, MART_WINDOW, MART_COACH)
+    stored = storage.materialize(
+        models.as_vectors(points.select(*LABEL_COLUMNS, "features")), "points"
     )
-    scored = models.classify(points, inputs.OPEN_SPAN, kind)
+    scored = models.classify(stored, inputs.OPEN_SPAN, kind)
     return scored.select(*LABEL_COLUMNS, "prob", "prediction")
 
 
 @query
 def gbt_regression_errors(m: Inputs) -> DataFrame:
     train, check = (
-        storage.materialize(features.lag_ratio_points(part, 10, 5), name)
+        storage.materialize(models.as_vectors(features.lag_ratio_points(part, 10, 5)), name)
         for part, name in zip(
             features.split_at(m.relative, inputs.LAST_TRAIN), ["train", "check"], strict=True
         )
@@ -483,10 +482,10 @@ def libsvm_roundtrip(m: Inputs) -> DataFrame:
 def partition_overwrite(m: Inputs) -> DataFrame:
     """Two partitions of bars; the second is replaced and the first stays."""
     path = storage.scratch_path(m.spark, "partitions")
-    late = F.col("date") >= F.lit(inputs.HISTORY_UNTIL)
-    tables.write_partition(m.bars.where(~late), path, "early")
-    tables.write_partition(m.bars.where(late), path, "late")
-    tables.write_partition(m.delta.where(late), path, "late")
+    late = market.bars(m.spark, m.folder, since=inputs.HISTORY_UNTIL)
+    tables.write_partition(m.history, path, "early")
+    tables.write_partition(late, path, "late")
+    tables.write_partition(late.withColumn("volume", F.col("volume") + 1), path, "late")
     return rounded(m.spark.read.orc(path), 6)
 
 

@@ -7,6 +7,8 @@ a large share of the lines is reduced to one row a day before it is shuffled.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def bars(spark: SparkSession, folder: str) -> DataFrame:
+def _days(
+    df: DataFrame, column: str, since: datetime.date | None, before: datetime.date | None
+) -> DataFrame:
+    """Rows of a date range, compared in the stored type so that the scan can skip row groups."""
+    stored = df.schema[column].dataType
+    if since is not None:
+        df = df.where(F.col(column) >= F.lit(since).cast(stored))
+    if before is not None:
+        df = df.where(F.col(column) < F.lit(before).cast(stored))
+    return df
+
+
+def bars(
+    spark: SparkSession,
+    folder: str,
+    since: datetime.date | None = None,
+    before: datetime.date | None = None,
+) -> DataFrame:
     """One bar per (supplier, ship date): the price is the unit price of a line.
 
     Open and close are the first and last line by (order, line, part), packed into
@@ -31,7 +50,7 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
     packed = F.col("l_orderkey").cast(KEY) * F.lit(ORDER_STEP).cast(KEY) + (
         F.col("l_linenumber") * F.lit(LINE_STEP) + F.col("l_partkey")
     ).cast(KEY)
-    lines = table(spark, folder, "lineitem").select(
+    lines = _days(table(spark, folder, "lineitem"), "l_shipdate", since, before).select(
         "l_suppkey",
         F.to_date("l_shipdate").alias("date"),
         "l_quantity",
@@ -59,9 +78,14 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def benchmark(spark: SparkSession, folder: str) -> DataFrame:
+def benchmark(
+    spark: SparkSession,
+    folder: str,
+    since: datetime.date | None = None,
+    before: datetime.date | None = None,
+) -> DataFrame:
     """One bar per order date for the single symbol ``SPX``."""
-    orders = table(spark, folder, "orders").select(
+    orders = _days(table(spark, folder, "orders"), "o_orderdate", since, before).select(
         F.to_date("o_orderdate").alias("date"), "o_orderkey", "o_totalprice"
     )
     days = orders.groupBy("date").agg(
