@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,18 +49,25 @@ def symbol_ids(bars: DataFrame) -> DataFrame:
     )
 
 
-def rated_bars(bars: DataFrame, benchmark: DataFrame, fast: int = 8, slow: int = 20) -> DataFrame:
+def rated_bars(
+    bars: DataFrame,
+    benchmark: DataFrame,
+    fast: int = 8,
+    slow: int = 20,
+    since: datetime.date | None = None,
+) -> DataFrame:
     """Relative bars with average ratio, directional index, gap-up label and benchmark.
 
     Raw bars are exchanged on ``symbol`` once. The gap-up label is taken on the raw
     series and carried along; the benchmark is broadcast; averages and the
     directional index are window passes over the same partitioning. Rows
-    need a positive average ratio and a positive index.
+    need a positive average ratio and a positive index. The relative series starts
+    at ``since``; the gap-up label looks back over all bars.
     """
     flagged = breakouts.with_gap_up(bars, "gupbreak")
     spx = ["spxopen", "spxhigh", "spxlow", "spxclose", "spxvolume"]
     values = prices.benchmark_values(benchmark)
-    relative = prices.relative(prices.adjust(flagged), values, carry=["gupbreak", *spx])
+    relative = prices.relative(prices.adjust(flagged, since), values, carry=["gupbreak", *spx])
     rated = averages.with_averages(relative, {"_mat1": fast, "_mat2": slow}).withColumn(
         "mat_dual",
         F.when(F.col("_mat2") > 0, F.try_divide("_mat1", "_mat2")),
@@ -81,9 +90,16 @@ def rated_bars(bars: DataFrame, benchmark: DataFrame, fast: int = 8, slow: int =
     )
 
 
-def feature_mart(bars: DataFrame, benchmark: DataFrame, fast: int = 8, slow: int = 20) -> DataFrame:
+def feature_mart(
+    bars: DataFrame,
+    benchmark: DataFrame,
+    fast: int = 8,
+    slow: int = 20,
+    since: datetime.date | None = None,
+) -> DataFrame:
     """``rated_bars`` with ``id`` and ``id_num`` of the symbols that have relative bars."""
     # One row a day on the broadcast side.
     days = F.broadcast(prices.benchmark_values(benchmark).select("date"))
-    ids = symbol_ids(bars.join(days, "date", "left_semi"))
-    return rated_bars(bars, benchmark, fast, slow).join(ids, "symbol", "left")
+    listed = bars if since is None else bars.where(F.col("date") >= F.lit(since))
+    ids = symbol_ids(listed.join(days, "date", "left_semi"))
+    return rated_bars(bars, benchmark, fast, slow, since).join(ids, "symbol", "left")

@@ -12,10 +12,24 @@ def in_files(df: DataFrame, files: int | None) -> DataFrame:
 
 
 def replace_table(
-    df: DataFrame, name: str, fmt: str = "parquet", path: str | None = None, files: int | None = None
+    df: DataFrame,
+    name: str,
+    fmt: str = "parquet",
+    path: str | None = None,
+    files: int | None = None,
+    buckets: int | None = None,
 ) -> None:
-    """Replace the whole table. It must not be one that ``df`` reads."""
+    """Replace the whole table. It must not be one that ``df`` reads.
+
+    ``buckets`` lays the rows out by ``symbol``, sorted by date, so that window
+    passes over the table need no exchange.
+    """
+    if buckets is not None:
+        # One task per bucket: otherwise every task writes a file for every bucket.
+        df = df.repartition(buckets, "symbol")
     writer = in_files(df, files).write.format(fmt).mode("overwrite")
+    if buckets is not None:
+        writer = writer.bucketBy(buckets, "symbol").sortBy("symbol", "date")
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 

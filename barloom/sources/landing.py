@@ -2,56 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom import schemas
 
-BAD = "_bad_line"
+EXTRA = "_extra"
 
 
 def _feed(spark: SparkSession, path: str, partition: str | None) -> DataFrame:
-    fields = [T.StructField("Date", T.DateType())]
-    fields += [T.StructField(name, T.DoubleType()) for name in schemas.FEED_FIELDS[1:]]
-    fields += [T.StructField(BAD, T.StringType())]
-    if partition:
-        fields += [T.StructField(partition, T.StringType())]
+    """The feed fields as text, with one field more to notice lines that are too long."""
+    names = [*schemas.FEED_FIELDS, EXTRA, *([partition] if partition else [])]
     return (
-        spark.read.schema(T.StructType(fields))
+        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
         .option("header", True)
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .option("dateFormat", "yyyy-MM-dd")
-        # A pruned parse would not notice a missing field.
-        .option("columnPruning", False)
         .csv(path)
     )
 
 
-def _as_bars(feed: DataFrame, symbol) -> DataFrame:
-    renamed = [F.col(name).alias(name.lower()) for name in schemas.FEED_FIELDS]
-    return feed.select(symbol.alias("symbol"), *renamed)
+def _typed(name: str) -> Column:
+    """A feed field in its bar type; NULL when the text does not cast."""
+    return F.col(name).try_cast(schemas.BAR[name.lower()].dataType)
+
+
+def _is_whole() -> Column:
+    """All seven fields cast and there is no eighth.
+
+    Tested on every field, so the answer does not depend on which columns are read later.
+    """
+    whole = F.col(EXTRA).isNull()
+    for name in schemas.FEED_FIELDS:
+        whole &= _typed(name).isNotNull()
+    return whole
+
+
+def _as_bars(feed: DataFrame, symbol: Column) -> DataFrame:
+    fields = [_typed(name).alias(name.lower()) for name in schemas.FEED_FIELDS]
+    return feed.where(_is_whole()).select(symbol.alias("symbol"), *fields)
 
 
 def read_daily_feed(spark: SparkSession, path: str) -> DataFrame:
     """Bars from ``path/symbol=<symbol>/*.csv``; lines that do not parse are left out."""
-    feed = _feed(spark, path, "symbol")
-    return _as_bars(feed.where(F.col(BAD).isNull()), F.col("symbol"))
+    return _as_bars(_feed(spark, path, "symbol"), F.col("symbol"))
 
 
 def read_symbol_feed(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """Bars of one symbol from plain feed files, e.g. the calendar or the benchmark."""
-    feed = _feed(spark, path, None)
-    return _as_bars(feed.where(F.col(BAD).isNull()), F.lit(symbol))
+    return _as_bars(_feed(spark, path, None), F.lit(symbol))
 
 
 def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines ``read_daily_feed`` leaves out: symbol and raw text."""
-    feed = _feed(spark, path, "symbol")
-    return feed.where(F.col(BAD).isNotNull()).select("symbol", F.col(BAD).alias("line"))
+    """The lines ``read_daily_feed`` leaves out: symbol and text."""
+    line = F.concat_ws(",", *schemas.FEED_FIELDS, EXTRA)
+    return _feed(spark, path, "symbol").where(~_is_whole()).select("symbol", line.alias("line"))
 
 
 def read_bar_lines(spark: SparkSession, path: str) -> DataFrame:

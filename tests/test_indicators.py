@@ -1,0 +1,193 @@
+from __future__ import annotations
+
+import pytest
+from helpers import by_key, day, frame, random_walk
+
+from barloom.operators import averages, breakouts, directional
+from barloom.schemas import DIRECTIONAL_VALUES
+
+
+def rising(n):
+    rows = random_walk("AAA", n)
+    for i, row in enumerate(rows):
+        row["close"] = 1.1 + i * 0.1
+    return rows
+
+
+def test_moving_average_of_rising_closes(spark):
+    found = averages.moving_averages(frame(spark, rising(14)), [7]).orderBy("date").collect()
+    values = [r["close_mat"] for r in found]
+    assert values[:6] == [-1.0] * 6
+    assert values[6] == pytest.approx(1.4)
+    assert values[-1] == pytest.approx(2.1)
+
+
+def test_average_of_a_constant_is_the_constant(spark):
+    rows = random_walk("A", 60)
+    for row in rows:
+        row["close"] = 3.7
+    found = averages.moving_averages(frame(spark, rows), [8, 20]).collect()
+    assert {round(r["close_mat"], 12) for r in found} == {-1.0, 3.7}
+
+
+def test_short_series_have_no_average(spark):
+    rows = random_walk("LONG", 20) + random_walk("SHORT", 19) + random_walk("TINY", 2)
+    found = averages.moving_averages(frame(spark, rows), [2, 20]).collect()
+    kept = {(r["symbol"], r["window"]) for r in found}
+    assert kept == {("LONG", 2), ("LONG", 20), ("SHORT", 2)}
+
+
+def test_ratio_agrees_with_the_join_of_stored_averages(spark):
+    bars = frame(spark, random_walk("A", 50) + random_walk("B", 19))
+    stored = averages.moving_averages(bars, [8, 20])
+    fast, slow = (stored.where(f"window = {n}") for n in (8, 20))
+    joined = by_key(averages.joined_ratio(fast, slow))
+    ratio = by_key(averages.average_ratio(bars, 8, 20))
+    assert ratio.keys() == joined.keys() and len(ratio) == 31
+    assert all(ratio[k]["mat_dual"] == pytest.approx(joined[k]["mat_dual"]) for k in ratio)
+    assert averages.join_averages(fast, slow).count() == 69
+
+
+def plain_index(rows: list[dict]) -> list[dict]:
+    """The directional series of one symbol, bar by bar."""
+    out = []
+    sums = {"tr": 0.0, "pdm1": 0.0, "mdm1": 0.0}
+    history, level = [], 0.0
+    for i, bar in enumerate(rows):
+        row = dict.fromkeys(DIRECTIONAL_VALUES, -1.0)
+        if i:
+            before = rows[i - 1]
+            up, down = bar["high"] - before["high"], before["low"] - bar["low"]
+            spans = [
+                bar["high"] - bar["low"],
+                abs(bar["high"] - before["close"]),
+                abs(bar["low"] - before["close"]),
+            ]
+            row["tr"] = max(spans)
+            row["pdm1"] = max(up, 0.0) if up > down else 0.0
+            row["mdm1"] = max(down, 0.0) if down > up else 0.0
+            for name in sums:
+                kept = sums[name] if i <= 14 else sums[name] * 13 / 14
+                sums[name] = kept + row[name]
+        if i >= 14:
+            row["tr14"], row["pdm14"], row["mdm14"] = sums["tr"], sums["pdm1"], sums["mdm1"]
+            row["pdi14"] = sums["pdm1"] / sums["tr"] * 100
+            row["mdi14"] = sums["mdm1"] / sums["tr"] * 100
+            row["di14diff"] = abs(row["pdi14"] - row["mdi14"])
+            row["di14sum"] = row["pdi14"] + row["mdi14"]
+            row["dx"] = row["di14diff"] / row["di14sum"] * 100
+            history.append(row["dx"])
+            if i == 27:
+                level = sum(history) / 14
+            elif i > 27:
+                level = (level * 13 + row["dx"]) / 14
+            if i >= 27:
+                row["adx"] = level
+        out.append(row)
+    return out
+
+
+@pytest.mark.parametrize(("n", "block"), [(28, 4096), (504, 4096), (504, 32), (504, 64)])
+def test_directional_index_is_the_plain_recurrence(spark, n, block):
+    walks = {s: random_walk(s, n) for s in ["A", "B"]}
+    bars = frame(spark, walks["A"] + walks["B"] + random_walk("SHORT", 27))
+    found = by_key(directional.directional_index(bars, digits=None, block=block))
+    assert len(found) == 2 * n
+    for symbol, rows in walks.items():
+        for bar, expected in zip(rows, plain_index(rows), strict=True):
+            row = found[(symbol, bar["date"])]
+            for name in DIRECTIONAL_VALUES:
+                assert row[name] == pytest.approx(expected[name], rel=1e-9), (name, bar["date"])
+
+
+def test_directional_index_of_a_very_long_series(spark):
+    """Longer than the weights of a single block could reach."""
+    rows = random_walk("LONG", 10000)
+    found = by_key(directional.directional_index(frame(spark, rows), digits=None))
+    expected = plain_index(rows)
+    for i in [27, 4095, 4096, 4097, 8191, 8192, 9999]:
+        row = found[("LONG", rows[i]["date"])]
+        for name in ["tr14", "pdm14", "mdm14", "adx"]:
+            assert row[name] == pytest.approx(expected[i][name], rel=1e-9)
+
+
+def test_directional_index_is_rounded_to_six_digits(spark):
+    row = directional.directional_index(frame(spark, random_walk("A", 40))).orderBy("date").tail(1)[0]
+    assert all(round(row[name], 6) == row[name] for name in DIRECTIONAL_VALUES)
+
+
+def test_motionless_prices_have_no_direction(spark):
+    rows = random_walk("A", 40)
+    for row in rows:
+        row.update(open=5.0, high=5.0, low=5.0, close=5.0)
+    last = directional.directional_index(frame(spark, rows)).orderBy("date").tail(1)[0]
+    assert (last["tr14"], last["dx"], last["adx"]) == (0.0, 0.0, 0.0)
+
+
+def test_high_below_low_fails(spark):
+    rows = random_walk("A", 40)
+    rows[20].update(high=1.0, low=2.0)
+    with pytest.raises(Exception, match="high below low for A"):
+        directional.directional_index(frame(spark, rows)).collect()
+
+
+def breaks(rows: list[dict], i: int) -> bool:
+    spread = [r["high"] - r["low"] for r in rows]
+    return rows[i]["high"] >= max(r["high"] for r in rows[i - 39 : i + 1]) and spread[i] >= max(
+        spread[i - 8 : i + 1]
+    )
+
+
+def breakout_walks():
+    walks = {s: random_walk(s, 150) for s in "ABCD"}
+    # A jump, so that whole parts above 1 occur.
+    for row in walks["A"][81:]:
+        for name in ["open", "high", "low", "close"]:
+            row[name] *= 3
+    walks["A"][80]["high"] *= 5
+    return walks
+
+
+def test_up_breakouts(spark):
+    walks = breakout_walks()
+    rows = [r for w in walks.values() for r in w] + random_walk("SHORT", 40)
+    found = by_key(breakouts.up_breakouts(frame(spark, rows)))
+    assert len(found) == 4 * (150 - 39 - 5)
+    for symbol, walk in walks.items():
+        for i in range(39, 145):
+            row = found[(symbol, walk[i]["date"])]
+            label = breaks(walk, i)
+            assert row["label"] == int(label)
+            for k in range(1, 6):
+                ahead = int(walk[i + k]["close"] / walk[i]["close"]) if label else -1
+                assert row[f"fwd{k}"] == ahead
+    assert any(r["label"] and r["fwd1"] > 1 for r in found.values())
+
+
+def test_gap_up_breakouts(spark):
+    walks = breakout_walks()
+    rows = [r for w in walks.values() for r in w] + random_walk("SHORT", 40)
+    found = by_key(breakouts.gap_up_breakouts(frame(spark, rows)))
+    assert len(found) == 4 * (150 - 40)
+    labels = 0
+    for symbol, walk in walks.items():
+        for i in range(40, 150):
+            row = found[(symbol, walk[i]["date"])]
+            label = breaks(walk, i - 1) and walk[i]["high"] - walk[i - 1]["high"] >= 0.01
+            labels += label
+            assert row["label"] == int(label)
+            for k in range(1, 6):
+                if not label:
+                    assert row[f"fwd{k}"] == -1
+                elif i + k < 150:
+                    assert row[f"fwd{k}"] == int(walk[i + k]["close"] / walk[i]["high"])
+                else:
+                    assert row[f"fwd{k}"] is None
+    assert labels
+
+
+def test_gap_up_label_is_null_before_the_forty_first_bar(spark):
+    rows = random_walk("A", 45)
+    found = by_key(breakouts.with_gap_up(frame(spark, rows), "gap"))
+    assert [found[("A", r["date"])]["gap"] is None for r in rows] == [True] * 40 + [False] * 5
+    assert day("1990-01-01") == rows[0]["date"]

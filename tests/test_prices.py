@@ -1,0 +1,167 @@
+from __future__ import annotations
+
+import math
+import random
+import statistics
+from collections import defaultdict
+
+import pytest
+from helpers import by_key, day, frame, random_walk
+from pyspark.sql import functions as F
+
+from barloom.operators import indexes, prices
+
+
+def split_bars(spark):
+    rows = []
+    for symbol, date, close in [
+        ("AAA", "2016-01-01", 1.2),
+        ("AAA", "2016-01-02", 1.3),
+        ("MSFT", "2016-01-01", 1.4),
+        ("MSFT", "2016-01-03", 1.5),
+    ]:
+        rows.append(
+            {
+                "symbol": symbol,
+                "date": day(date),
+                "open": 1.0,
+                "high": 1.5,
+                "low": 0.5,
+                "close": close,
+                "volume": 1000.0,
+                "adjclose": close * 10,
+            }
+        )
+    return frame(spark, rows)
+
+
+def test_adjust_and_normalize(spark):
+    rows = by_key(prices.normalize(prices.adjust(split_bars(spark))))
+    second = rows[("AAA", day("2016-01-02"))]
+    assert second["adjopen"] == pytest.approx(10)
+    assert second["adjhigh"] == pytest.approx(15)
+    assert second["adjlow"] == pytest.approx(5)
+    assert rows[("AAA", day("2016-01-01"))]["normclose"] == 1.0
+    assert second["normclose"] == pytest.approx(13 / 12)
+    assert second["normopen"] == pytest.approx(13 / 12 / 13 * 10)
+
+
+def test_adjust_since(spark):
+    assert prices.adjust(split_bars(spark), day("2016-01-02")).count() == 2
+
+
+def test_relative_prices_skip_the_first_benchmark_bar(spark):
+    bars = prices.adjust(frame(spark, random_walk("A", 10)))
+    benchmark = random_walk("SPX", 8)
+    del benchmark[4]
+    values = prices.benchmark_values(frame(spark, benchmark))
+    rows = by_key(prices.relative(bars, values))
+    assert {d for _, d in rows} == {b["date"] for b in benchmark[1:]}
+    for b in benchmark[1:]:
+        source = next(r for r in random_walk("A", 10) if r["date"] == b["date"])
+        row = rows[("A", b["date"])]
+        assert row["close"] == pytest.approx(source["adjclose"] / b["open"] * 10000)
+        assert row["high"] == pytest.approx(source["high"] * 0.9 / b["open"] * 10000)
+        assert row["volume"] == 0
+
+
+def test_relative_prices_need_a_positive_benchmark(spark):
+    benchmark = random_walk("SPX", 5)
+    benchmark[2]["open"] = 0.0
+    bars = prices.adjust(frame(spark, random_walk("A", 5)))
+    with pytest.raises(Exception, match="benchmark value must be positive"):
+        prices.relative(bars, prices.benchmark_values(frame(spark, benchmark))).collect()
+
+
+def test_relative_ratios(spark):
+    rows = random_walk("A", 5) + random_walk("B", 5)
+    adjusted = prices.adjust(frame(spark, rows))
+    index = indexes.mean_index(prices.normalize(adjusted))
+    means = {r["date"]: r for r in index.collect()}
+    for (symbol, date), row in by_key(prices.relative_ratios(adjusted, index)).items():
+        source = next(r for r in rows if (r["symbol"], r["date"]) == (symbol, date))
+        assert row["rltclose"] == pytest.approx(source["adjclose"] / means[date]["normclose"] * 1e4)
+        volume = source["volume"] / (means[date]["volume"] + 1e-5) * 1e4
+        assert row["rltvolume"] == pytest.approx(volume)
+
+
+def test_mean_index_is_the_mean(spark):
+    rows = by_key(prices.normalize(prices.adjust(frame(spark, random_walk("A", 4) + random_walk("B", 4)))))
+    index = prices.normalize(prices.adjust(frame(spark, random_walk("A", 4) + random_walk("B", 4))))
+    for row in indexes.mean_index(index).collect():
+        closes = [r["normclose"] for (_, d), r in rows.items() if d == row["date"]]
+        assert row["normclose"] == pytest.approx(sum(closes) / 2)
+        assert row["symbol"] == "IDXBIN"
+
+
+def medians(spark, groups: dict[int, list[float]]) -> dict[int, float]:
+    values = [(g, v) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(values, "g int, v double")
+    return {r["g"]: r["v"] for r in indexes.exact_median(df, "g", "v").collect()}
+
+
+def test_exact_median(spark):
+    rng = random.Random(3)
+    groups = {
+        1: [2.0],
+        2: [1.0, 3.0],
+        3: [rng.lognormvariate(0, 1) for _ in range(999)],
+        4: [rng.lognormvariate(0, 0.00001) for _ in range(1000)],
+        5: [0.0, -1.0, 2.0, 0.0, 5.0],
+        6: [1.0] * 500 + [rng.uniform(0.5, 2) for _ in range(500)],
+        7: [1.0] * 3 + [2.0] * 3,
+        8: [1e-300, 1e300, 1.0, 1e-300],
+    }
+    found = medians(spark, groups)
+    for g, values in groups.items():
+        assert found[g] == pytest.approx(statistics.median(values)), g
+
+
+def test_exact_median_of_one_hot_group(spark):
+    """Most rows share a date and many a value; equal values are counted before they are sorted."""
+    hot = spark.range(60001).select(
+        F.lit(0).alias("g"), (F.floor(F.col("id") / 3) % 1001 + 1).cast("double").alias("v")
+    )
+    rest = spark.range(100).select((F.col("id") % 10 + 1).cast("int").alias("g"), F.lit(4.0).alias("v"))
+    df = hot.unionByName(rest)
+    found = {r["g"]: r["v"] for r in indexes.exact_median(df, "g", "v").collect()}
+    values = [float(i // 3 % 1001 + 1) for i in range(60001)]
+    assert found[0] == statistics.median(values)
+    assert all(found[g] == 4.0 for g in range(1, 11))
+
+
+def test_median_index_multiplies_from_the_second_date(spark):
+    rows = [r for s in "ABCDE" for r in random_walk(s, 30)]
+    normalized = prices.normalize(prices.adjust(frame(spark, rows)))
+    returns = defaultdict(list)
+    for symbol in "ABCDE":
+        traded = [r for r in rows if r["symbol"] == symbol and r["volume"] > 0]
+        for i, row in enumerate(traded):
+            last = traded[i - 1]["adjclose"] if i else row["adjclose"]
+            returns[row["date"]].append(row["adjclose"] / last)
+    level = 1.0
+    found = {r["date"]: r["close"] for r in indexes.median_index(normalized).collect()}
+    for i, date in enumerate(sorted(returns)):
+        level = 1.0 if i == 0 else level * statistics.median(returns[date])
+        assert found[date] == pytest.approx(level)
+
+
+def test_breadth_counts_symbols_with_a_previous_bar(spark):
+    rows = random_walk("A", 10) + random_walk("B", 10)[3:] + random_walk("C", 1)
+    bars = frame(spark, rows)
+    found = {r["date"]: (r["pos"], r["neg"]) for r in indexes.breadth(bars).collect()}
+    dates = sorted({r["date"] for r in rows})
+    assert dates[0] not in found
+    assert sum(found[dates[3]]) == 1 and sum(found[dates[4]]) == 2
+    over = {r["date"]: r["pos"] + r["neg"] for r in indexes.breadth_over(bars, 5).collect()}
+    assert [over[d] for d in dates] == [0, 0, 0, 0, 0, 1, 1, 1, 2, 2]
+
+
+def test_flat_prices_count_as_positive_in_one_breadth_only(spark):
+    rows = random_walk("A", 7)
+    for row in rows:
+        row["close"] = 5.0
+    bars = frame(spark, rows)
+    assert all(r["pos"] == 1 for r in indexes.breadth(bars).collect())
+    assert sum(r["pos"] for r in indexes.breadth_over(bars, 5).collect()) == 0
+    assert math.isclose(sum(r["neg"] for r in indexes.breadth_over(bars, 5).collect()), 2)
