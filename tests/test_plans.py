@@ -1,0 +1,104 @@
+"""What the optimizer is meant to make of the operators."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from barloom.operators import evaluate, indexes, ingest
+from barloom.plans import queries
+from barloom.plans.inputs import Inputs
+from barloom.plans.queries import REGISTRY
+
+FOLDER = "/root/testdata/sf0.001"
+# Queries that train or write while they are built; their plans only read the result.
+BUILT = {
+    "tree_classifier_scores",
+    "forest_classifier_scores",
+    "gbt_regression_errors",
+    "table_append",
+    "partition_overwrite",
+    "libsvm_roundtrip",
+    "ledger_export",
+    "benchmark_refresh",
+}
+
+
+def plan(df) -> str:
+    """The physical plan, without the subqueries repeated below filters."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def main_plan(df) -> str:
+    return plan(df).split("Subquery")[0]
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    return Inputs(spark, FOLDER)
+
+
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - BUILT))
+def test_no_nested_loops_and_no_python(spark, name):
+    text = plan(REGISTRY[name](Inputs(spark, FOLDER)))
+    assert "CartesianProduct" not in text
+    assert "BroadcastNestedLoopJoin" not in text
+    if name != "column_cosine_similarity":
+        assert not re.search(r"ArrowEvalPython|BatchEvalPython|InPandas|InArrow", text)
+
+
+def test_lines_are_hashed_into_days_before_the_exchange(data):
+    text = plan(data.bars)
+    assert "SortAggregate" not in text
+    assert text.count("HashAggregate") == 2
+    assert text.index("HashAggregate") < text.index("Exchange") < text.rindex("HashAggregate")
+
+
+def test_scan_reads_used_columns_and_pushes_dates(data):
+    spans = ingest.date_spans(data.universe, data.history)
+    text = plan(spans)
+    lines = [line for line in text.splitlines() if "lineitem" in line]
+    assert all("struct<l_suppkey:bigint,l_shipdate:timestamp_ntz>" in line for line in lines)
+    assert "LessThan(l_shipdate,2001-01-01T00:00)" in text
+
+
+def test_merge_needs_one_hashed_exchange(data):
+    text = plan(ingest.merge_bars(data.bars, data.delta))
+    assert "SortAggregate" not in text and "Window" not in text
+    # One for each side's lines, one for the merge.
+    assert text.count("Exchange hashpartitioning") == 3
+
+
+def test_all_indicators_share_one_exchange_by_symbol(data):
+    text = plan(data.rated)
+    by_symbol = re.findall(r"Exchange hashpartitioning\(symbol#\d+, \d+\)", text)
+    assert len(by_symbol) == 1
+    assert "SortMergeJoin" not in text
+
+
+def test_only_one_row_per_day_is_broadcast(data):
+    text = plan(data.rated)
+    assert text.count("BroadcastExchange") == 1
+    broadcast = text[text.index("BroadcastExchange") :]
+    assert re.search(r"Aggregate\(key=?s?=?\[date#\d+\]", broadcast)
+
+
+def test_sweep_shuffles_counts(data):
+    enriched = data.enriched.select("act_diff", "close1", "close2", "prob", "date2")
+    text = plan(evaluate.precision_sweep(enriched, queries.SWEEP))
+    assert "Generate explode" in text
+    assert "partial_count_if" in text or "partial_count" in text
+
+
+def test_top_k_does_not_sort_everything(data):
+    text = plan(evaluate.top_predictions(data.bars, "close", 10, "symbol", "date"))
+    assert "TakeOrderedAndProject" in text
+
+
+def test_median_sorts_only_the_middle_cells(data):
+    values = data.bars.select("date", F.col("close").alias("v"))
+    text = plan(indexes.exact_median(values, "date", "v"))
+    assert "percentile" not in text and "collect_list" not in text
+    assert re.search(r"Window .*\[date#\d+, cell#\d+L?\]", text)

@@ -1,0 +1,114 @@
+from __future__ import annotations
+
+from pathlib import Path
+
+import pytest
+from helpers import by_key, frame, random_walk
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from barloom import schemas, storage
+from barloom.sinks import tables
+from barloom.sources import landing
+
+
+@pytest.fixture()
+def bars(spark):
+    return frame(spark, random_walk("A", 30) + random_walk("B", 30))
+
+
+def files(path) -> list[Path]:
+    return sorted(p for p in Path(path).rglob("part-*") if p.suffix != ".crc")
+
+
+def test_replace_table(spark, bars):
+    tables.replace_table(bars, "replaced")
+    tables.replace_table(bars.select("symbol").distinct(), "replaced")
+    assert landing.read_table(spark, "replaced").columns == ["symbol"]
+    assert landing.read_table(spark, "replaced").count() == 2
+
+
+def test_bucketed_tables_need_no_exchange(spark, bars):
+    from barloom.operators import averages
+
+    tables.replace_table(bars, "bucketed", buckets=4)
+    stored = landing.read_table(spark, "bucketed")
+    assert by_key(stored) == by_key(bars)
+    plan = averages.average_ratio(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_append_and_overwrite(spark, bars):
+    tables.write_table(bars, "orc_bars")
+    tables.write_table(bars, "orc_bars", overwrite=False)
+    assert landing.read_table(spark, "orc_bars").count() == 120
+    tables.write_table(bars.select("symbol"), "orc_bars")
+    assert landing.read_table(spark, "orc_bars").columns == ["symbol"]
+
+
+def test_partitions_are_replaced_one_by_one(spark, bars, tmp_path):
+    path = str(tmp_path / "parts")
+    tables.write_partition(bars, path, "2016-05-06")
+    tables.write_partition(bars, path, "2016-05-07")
+    tables.write_partition(bars.limit(3), path, "2016-05-07")
+    counts = {r["par"]: r["count"] for r in spark.read.orc(path).groupBy("par").count().collect()}
+    assert {str(k): v for k, v in counts.items()} == {"2016-05-06": 60, "2016-05-07": 3}
+
+
+def test_tsv_and_file_count(spark, bars, tmp_path):
+    path = str(tmp_path / "tsv")
+    tables.write_tsv(bars, path, files=3)
+    assert len(files(path)) == 3
+    assert by_key(landing.read_tsv(spark, path, schemas.BAR)) == by_key(bars)
+
+
+def test_exported_files_are_in_order(spark, bars, tmp_path):
+    path = str(tmp_path / "csv")
+    tables.export_csv(bars.select("symbol", "date", "close"), path, "symbol", F.desc("date"))
+    lines = []
+    for part in files(path):
+        header, *rows = part.read_text().splitlines()
+        assert header == "symbol,date,close"
+        lines += [tuple(r.split(",")[:2]) for r in rows]
+    assert len(lines) == 60
+    assert lines == sorted(lines, key=lambda r: (r[0], [-ord(c) for c in r[1]]))
+
+
+def test_labeled_points(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rows = [(1.5, [1.0, 0.0, 2.5]), (0.0, [0.0, 0.0, 3.25])]
+    points = spark.createDataFrame(rows, "label double, features array<double>")
+    vectors = points.withColumn("features", array_to_vector("features"))
+    tables.write_labeled_points(vectors, path)
+    tables.write_labeled_points(vectors, path)
+    for width in [None, 3]:
+        read = landing.read_labeled_points(spark, path, width)
+        back = read.select("label", vector_to_array("features").alias("features")).collect()
+        assert sorted((r["label"], r["features"]) for r in back) == sorted(rows)
+
+
+def test_ddl_names_types(spark, bars):
+    typed = bars.select("symbol", "close", F.lit(1).alias("n"), F.lit(1).cast("bigint").alias("b"))
+    assert tables.ddl(typed) == "symbol string, close double, n int, b bigint"
+    spark.sql("DROP TABLE IF EXISTS from_ddl")
+    spark.sql(f"CREATE TABLE from_ddl ({tables.ddl(typed)}) USING orc")
+    assert spark.table("from_ddl").schema.simpleString() == typed.schema.simpleString()
+
+
+def test_copy_and_view(spark, bars):
+    tables.replace_table(bars, "source_bars")
+    tables.copy_table(spark, "source_bars", "copied_bars")
+    assert by_key(spark.table("copied_bars")) == by_key(bars)
+    tables.name_view(bars, "bars_view")
+    assert spark.sql("SELECT count(*) FROM bars_view WHERE symbol = 'A'").first()[0] == 30
+
+
+def test_scratch_tables_go_to_the_shared_folder(spark, bars):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert storage.shared_folder(spark) == folder
+    assert storage.scratch_path(spark, "x").startswith(folder)
+    stored = storage.materialize(bars, "bars")
+    assert by_key(stored) == by_key(bars)
+    assert all(name.startswith(f"file:{folder}") for name in stored.inputFiles()) or all(
+        folder in name for name in stored.inputFiles()
+    )
