@@ -58,7 +58,9 @@ def add_decayed_sums(
     )
     fold = decay**block
     carried = {
-        name: F.aggregate(f"_ends_{name}", F.lit(0.0), lambda acc, end: acc * fold + end)
+        name: F.when(F.col("_block") == 0, 0.0).otherwise(
+            F.aggregate(f"_ends_{name}", F.lit(0.0), lambda acc, end: acc * fold + end)
+        )
         for name in sums
     }
     return df.select(

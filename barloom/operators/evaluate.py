@@ -75,11 +75,17 @@ def enrich(
     both dates, and breadth at the label date.
 
     Both price tables are put side by side first, so each date costs one join on
-    (symbol, date). Benchmark and breadth hold one row a day and are broadcast.
+    (symbol, date): an aggregate over their union does that with one exchange, whose
+    layout both joins use. Benchmark and breadth hold one row a day and are broadcast.
     """
-    adjusted = bars.select(*SERIES_KEY, F.col("adjclose").alias("close"))
-    rel = relative.select(*SERIES_KEY, F.col("close").alias("relclose"))
-    prices = adjusted.join(rel, SERIES_KEY, "full")
+    none = F.lit(None).cast("double")
+    adjusted = bars.select(*SERIES_KEY, F.col("adjclose").alias("close"), none.alias("relclose"))
+    rel = relative.select(*SERIES_KEY, none.alias("close"), F.col("close").alias("relclose"))
+    prices = (
+        adjusted.unionByName(rel)
+        .groupBy(*SERIES_KEY)
+        .agg(F.max("close").alias("close"), F.max("relclose").alias("relclose"))
+    )
     labelled = predictions.where(F.col("is_labeled") == 1)
     joined = labelled.select(
         "symbol", "date1", "date2", "date3", "prob", "label", "act_diff"

@@ -36,6 +36,8 @@ from barloom.storage import materialize
 NORMALIZED_SINCE = D(2000, 1, 1)
 CALENDAR = "MSFT"
 BENCHMARK = "SPX"
+# A calendar this short cannot be right.
+SHORTEST_CALENDAR = 100
 
 UNIVERSE_TABLE = "index_SP500_list"
 BARS, DELTA, CALENDAR_TABLE, BENCHMARK_TABLE = "eod2", "eod_delta", "eod_msft", "eod_spx"
@@ -118,6 +120,9 @@ class Stages:
     def check(self) -> bool:
         """Whether few enough symbols lack bars of the calendar."""
         calendar = self.table(CALENDAR_TABLE).where(F.col("symbol") == CALENDAR)
+        recent = calendar.where(F.col("date") >= F.lit(ingest.COMPLETE_SINCE))
+        if recent.count() <= SHORTEST_CALENDAR:
+            raise ValueError("the calendar is too short to check against")
         return ingest.completeness(self.table(BARS), calendar).first()["passed"]
 
     # --- prices
