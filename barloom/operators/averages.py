@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import series as s
@@ -13,16 +13,19 @@ NO_HISTORY = -1.0
 SHORTEST_SERIES = 3
 
 
+def average_columns(windows: dict[str, int], price: str = "close") -> dict[str, Column]:
+    """A moving average per entry (name -> window); -1.0 before the window is full."""
+    return {
+        name: F.when(s.position() < n - 1, F.lit(NO_HISTORY)).otherwise(
+            F.avg(price).over(s.last_rows(n))
+        )
+        for name, n in windows.items()
+    }
+
+
 def with_averages(bars: DataFrame, windows: dict[str, int], price: str = "close") -> DataFrame:
-    """Add a moving average per entry (name -> window); -1.0 before the window is full."""
-    return bars.withColumns(
-        {
-            name: F.when(s.position() < n - 1, F.lit(NO_HISTORY)).otherwise(
-                F.avg(price).over(s.last_rows(n))
-            )
-            for name, n in windows.items()
-        }
-    )
+    """The bars with a moving average per entry of ``windows``."""
+    return bars.withColumns(average_columns(windows, price))
 
 
 def moving_averages(bars: DataFrame, windows: Sequence[int] = (8, 20)) -> DataFrame:

@@ -15,12 +15,20 @@ SMALLEST_GAP = 0.01
 NO_LABEL = -1
 
 
-def _wide_new_high() -> Column:
-    """The bar's high is the highest of 40 bars and its range the widest of 9."""
-    spread = F.col("high") - F.col("low")
-    new_high = F.col("high") >= F.max("high").over(s.last_rows(HIGH_BARS))
-    widest = spread >= F.max(spread).over(s.last_rows(RANGE_BARS))
-    return new_high & widest
+def _wide_new_high(back: int = 0) -> Column:
+    """Whether the bar ``back`` bars ago has the highest high of 40 bars and the widest range of 9.
+
+    The frames are shifted instead of the result, which keeps it to one window pass.
+    """
+
+    def highest(value: Column, bars: int) -> Column:
+        return F.max(value).over(s.series().rowsBetween(1 - bars - back, -back))
+
+    def then(value: Column) -> Column:
+        return F.lag(value, back).over(s.series()) if back else value
+
+    high, spread = F.col("high"), F.col("high") - F.col("low")
+    return (then(high) >= highest(high, HIGH_BARS)) & (then(spread) >= highest(spread, RANGE_BARS))
 
 
 def _days_after(base: str) -> dict[str, Column]:
@@ -53,14 +61,10 @@ def up_breakouts(bars: DataFrame) -> DataFrame:
 
 def with_gap_up(bars: DataFrame, name: str = "label") -> DataFrame:
     """Add 1 where the bar gaps above a wide new high of the day before, else 0; NULL before bar 40."""
-    flagged = bars.withColumns(
-        {"_i": s.position(), "_flag": _wide_new_high(), "_before": s.previous("high")}
+    gap = F.col("high") - s.previous("high") >= SMALLEST_GAP
+    return bars.withColumn(
+        name, F.when(s.position() >= HIGH_BARS, (_wide_new_high(back=1) & gap).cast("int"))
     )
-    gap = F.col("high") - F.col("_before") >= SMALLEST_GAP
-    return flagged.withColumn(
-        name,
-        F.when(F.col("_i") >= HIGH_BARS, (F.lag("_flag").over(s.series()) & gap).cast("int")),
-    ).drop("_i", "_flag", "_before")
 
 
 def gap_up_breakouts(bars: DataFrame) -> DataFrame:

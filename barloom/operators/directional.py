@@ -15,10 +15,14 @@ DECAY = (PERIOD - 1) / PERIOD
 NO_HISTORY = -1.0
 
 
-def with_movement(bars: DataFrame) -> DataFrame:
-    """Add ``i``, ``tr``, ``pdm1``, ``mdm1``: the day's true range and movement, NULL on bar 0."""
+def with_movement(bars: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """Add ``i``, ``tr``, ``pdm1``, ``mdm1``: the day's true range and movement, NULL on bar 0.
+
+    ``more`` names further window columns to compute in the same pass.
+    """
     before = bars.withColumns(
         {
+            **(more or {}),
             "i": s.position(),
             "_high": s.previous("high"),
             "_low": s.previous("low"),
@@ -58,9 +62,11 @@ def _from(first: int, value: Column) -> Column:
     return F.when(F.col("i") >= first, value).otherwise(NO_HISTORY)
 
 
-def with_index(bars: DataFrame, block: int = BLOCK) -> DataFrame:
+def with_index(
+    bars: DataFrame, block: int = BLOCK, more: dict[str, Column] | None = None
+) -> DataFrame:
     """Add the directional columns to the bars; -1.0 where there is too little history."""
-    moved = add_blocks(with_movement(bars), "i", block)
+    moved = add_blocks(with_movement(bars, more), "i", block)
 
     # The 14-bar sums start from a plain sum and decay from there.
     seeded = moved.withColumns(
@@ -116,7 +122,7 @@ def with_index(bars: DataFrame, block: int = BLOCK) -> DataFrame:
             "dx": _from(PERIOD, F.col("_dx")),
             "adx": _from(FIRST_INDEX, F.col("_adx")),
         }
-    ).select(*bars.columns, "i", *DIRECTIONAL_VALUES)
+    ).select(*bars.columns, *(more or {}), "i", *DIRECTIONAL_VALUES)
 
 
 def directional_index(bars: DataFrame, digits: int | None = 6, block: int = BLOCK) -> DataFrame:

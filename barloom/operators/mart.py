@@ -68,11 +68,11 @@ def rated_bars(
     spx = ["spxopen", "spxhigh", "spxlow", "spxclose", "spxvolume"]
     values = prices.benchmark_values(benchmark)
     relative = prices.relative(prices.adjust(flagged, since), values, carry=["gupbreak", *spx])
-    rated = averages.with_averages(relative, {"_mat1": fast, "_mat2": slow}).withColumn(
+    means = averages.average_columns({"_mat1": fast, "_mat2": slow})
+    indexed = directional.with_index(relative, more=means).withColumn(
         "mat_dual",
         F.when(F.col("_mat2") > 0, F.try_divide("_mat1", "_mat2")),
     )
-    indexed = directional.with_index(rated)
     return indexed.where((F.col("mat_dual") > 0) & (F.col("adx") > 0)).select(
         "symbol",
         "date",
