@@ -2,32 +2,43 @@
 
 Intermediate tables are written below the folder the session names in
 ``spark.checkpoint.dir``, which every executor can reach, so a lost executor
-only costs the tasks it was running.
+only costs the tasks it was running. Each driver process has a run folder there,
+removed when the process ends.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN = uuid.uuid4().hex
+_cleared: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a local session may go without one."""
+    """The session's checkpoint folder; where none is set, a folder in the warehouse, which is shared as well."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
-    return context.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/barloom/{uuid.uuid4().hex}/{name}"
+    """A fresh path in the shared folder, removed when the driver's process ends."""
+    run = f"{shared_folder(spark)}/barloom-{_RUN}"
+    if run not in _cleared:
+        _cleared.add(run)
+        atexit.register(remove, spark, run)
+    return f"{run}/{uuid.uuid4().hex}/{name}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file systems; a session that has ended leaves it."""
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
