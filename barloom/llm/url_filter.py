@@ -63,7 +63,7 @@ class DigestArray:
     def write(rules: list[Rule], uri: str) -> DigestArray:
         by_text = {}
         for rule in rules:  # a repeated rule counts once; a block outdoes an allow
-            if by_text.get(rule.text, rule).verdict != "block":
+            if rule.text not in by_text or rule.verdict == "block":
                 by_text[rule.text] = rule
         chosen = list(by_text.values())
         keys = digest([r.text for r in chosen])
