@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import storage
-from barloom.llm import common, content_sort, packing, token_files, url_filter
+from barloom.llm import common, content_sort, packing, quality, token_files, url_filter
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 FILE_END, PACK_END = 2, 1
@@ -41,6 +41,13 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, stored, with_ids=False)
 
 
+@query
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality.judged(docs).select("doc_id", *counts, "base_failed", "kept", "distance2")
+
+
 @query
 def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(common.table(spark, folder, "pages"), URL_RULES)
