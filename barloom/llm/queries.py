@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import storage
-from barloom.llm import common, content_sort, packing, quality, token_files, url_filter
+from barloom.llm import common, content_sort, ngram_join, packing, quality, token_files, url_filter
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 FILE_END, PACK_END = 2, 1
@@ -53,6 +53,11 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(common.table(spark, folder, "pages"), URL_RULES)
 
 
+@query
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(common.table(spark, folder, "documents"), n=3, percent=90)
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return content_sort.groups(common.table(spark, folder, "documents"), keep="largest")
