@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import storage
-from barloom.llm import common, content_sort, ngram_join, packing, quality, token_files, url_filter
+from barloom.llm import common, content_sort, lang_id, ngram_join, packing, quality, token_files, url_filter
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 FILE_END, PACK_END = 2, 1
@@ -34,6 +34,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    model = lang_id.fit(docs, ~lang_id.held_out())
+    rows = docs.select("doc_id", "text", lang_id.held_out().alias("held_out"))
+    return lang_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents")
