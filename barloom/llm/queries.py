@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import storage
-from barloom.llm import common, content_sort, lang_id, ngram_join, packing, quality, token_files, url_filter
+from barloom.llm import bpe_codec, common, content_sort, lang_id, ngram_join, packing, quality, token_files, url_filter
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 FILE_END, PACK_END = 2, 1
@@ -71,6 +71,12 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return content_sort.groups(common.table(spark, folder, "documents"), keep="largest")
 
 
+@query
+def op7_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe_codec.round_trip(common.table(spark, folder, "documents"), tokenizer(WORD_BPE))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(common.table(spark, folder, "documents"), tokenizer(BYTE_BPE), PACK_END)
