@@ -1,9 +1,9 @@
 """Exact dedup by sorting contents.
 
 Texts, lower-cased in A-Z only, are dealt by sampled splitters into ranges (a range partition)
-and sorted within, spilling to disk where they don't fit. Equal texts are then neighbours and
-found by full comparison of each text with the one before it. The splitters are over the text
-and the id, so a group of copies of any size is spread over as many partitions as its rows
+and sorted within, by their first bytes, a hash and then the whole text, spilling to disk where
+they don't fit. Equal texts are then neighbours and found by full comparison of each text with
+the one before it. The splitters have the first bytes, the hash and the id, so a group of copies of any size is spread over as many partitions as its rows
 need; the two outer runs of each partition are joined up afterwards, a row or two a partition.
 
 Defined results: a null text is an empty one; of equal texts one row stays, the one with the
@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from barloom import storage
 from barloom.llm import common
 
+#: Bytes of a text that a splitter holds.
+HEAD = 64
+
 _RUNS = "doc_id long, text_sha256 string, part int, run long, size long, low long, high long, nth long, outer boolean"
 _NAMES = ["doc_id", "text_sha256", "part", "run", "size", "low", "high", "nth", "outer"]
 _TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -99,7 +102,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), lower.cast("binary").alias("text"))
     # Null ids stand where they are not the row that stays.
     by_id = F.asc_nulls_last("doc_id") if keep == "smallest" else F.asc_nulls_first("doc_id")
-    ordered = rows.repartitionByRange(F.asc("text"), by_id).sortWithinPartitions(F.asc("text"), by_id)
+    # The splitters compare the first bytes and a hash of the rest, so that a sample of them is small in the driver.
+    order = [F.asc("head"), F.asc("hash")]
+    rows = rows.withColumns({"head": F.substring("text", 1, HEAD), "hash": F.xxhash64("text")})
+    ordered = rows.repartitionByRange(*order, by_id).sortWithinPartitions(*order, F.asc("text"), by_id).select("doc_id", "text")
     runs = storage.materialize(ordered.mapInArrow(_runs, _RUNS), "content_runs")
     # Two rows a partition at most.
     outer = (

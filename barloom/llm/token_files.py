@@ -9,7 +9,8 @@ prefix sum of the sizes before it: one number a file. ``read`` maps the files an
 shuffle.
 
 Defined results: a null text is an empty one and holds the end id alone; a null ``doc_id``
-comes first; rows of one ``doc_id`` are ordered by text and all written; an empty table
+comes first; rows of one ``doc_id`` are ordered by a hash
+of the text and all written; an empty table
 gives no files. Other columns are not read.
 """
 
@@ -75,7 +76,8 @@ def write(
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "ids", "index", "n_docs", "n_ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))  # splitters are short, and rows of one id are spread
+    ordered = rows.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
     ordered.mapInArrow(part, MANIFEST).write.parquet(f"{folder}/manifest")
     made = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("part").collect()  # one row a file
     base, parts = 0, []
