@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import storage
-from barloom.llm import bpe_codec, common, content_sort, lang_id, ngram_join, packing, quality, token_files, url_filter
+from barloom.llm import bpe_codec, common, content_sort, lang_id, ngram_join, packing, quality, token_files, url_filter, wrapper
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 FILE_END, PACK_END = 2, 1
@@ -81,3 +81,8 @@ def op7_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(common.table(spark, folder, "documents"), tokenizer(BYTE_BPE), PACK_END)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.extract(common.table(spark, folder, "pages"))
