@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import storage
-from barloom.llm import bpe_codec, common, content_sort, lang_id, ngram_join, packing, quality, token_files, url_filter, wrapper
+from barloom.llm import bpe_codec, common, content_sort, lang_id, line_dedup, ngram_join, packing, quality, token_files, url_filter, wrapper
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 FILE_END, PACK_END = 2, 1
@@ -83,6 +83,14 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents").select("doc_id", "text")
+    cleaned = line_dedup.dedup(docs)
+    text = F.coalesce("text", F.lit(""))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 @query
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return wrapper.extract(common.table(spark, folder, "pages"))
