@@ -6,16 +6,18 @@ the tokens. Pairs are found by the prefix of a first order, and must also share
 prefixes of two further, independent orders; only then the whole sets are compared, so the
 result is exact. In every order the tokens that are frequent in first prefixes come last
 (``HOT_TOKENS`` of them at most, by the threshold that bounds their number), so a passage that
-many texts share forms no candidates by itself.
+many texts share forms no candidates by itself. The two filters hold 16 bits of a token, so they
+let some pairs pass that the comparison then rejects, and never reject a pair themselves.
 
 Groups of near copies aren't expanded into all pairs. Equal sets are one class, whose smallest
 id represents it. Of the classes that share a prefix token, each is first compared with the
 smallest one (a star); afterwards, only classes that are not yet connected are compared with
-each other. No link between two components is lost, whatever the order of the steps.
+each other. No link between two components is lost, whatever the order of the steps. Whole sets
+are made only for the texts of pairs that pass all filters.
 
 Defined results: null texts and texts without words have an empty set and stay alone; a text
 with fewer words than n has one n-gram, its whole word sequence; repeated rows are copies; a
-null id is in no link; an empty table gives no rows. Other columns are not read.
+null id is in no link; rows of one id are one document, linked where any of its texts is; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from barloom.llm.components import components
 
 #: Tokens that may be moved to the end of the orders; 8 bytes each are broadcast.
 HOT_TOKENS = 1 << 20
-HOT_LEAST = 64
+HOT_LEAST = 8
 #: Ids (8 bytes each) that may be broadcast to select texts; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -97,6 +99,11 @@ def _similar(a: str | Column, b: str | Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """Ids, to be broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 class Join:
     """One run over ``docs``: classes, prefixes, candidates, links."""
 
@@ -126,7 +133,7 @@ class Join:
         return np.sort(hot.to_numpy(np.int64).view(np.uint64))
 
     def prefixes(self, hot: np.ndarray) -> DataFrame:
-        """The prefixes in three orders, hot tokens last; of the two filters 32 bits of a token are enough."""
+        """The prefixes in three orders, hot tokens last."""
         percent, shared = self.percent, self.spark.sparkContext.broadcast(hot)
 
         def make(found: list[np.ndarray]) -> list[pa.Array]:
@@ -140,24 +147,24 @@ class Join:
                 orders[0].append(_signed(x[np.append(early, np.flatnonzero(late))[:k]]))
                 for order, salt in zip(orders[1:], _ORDERS, strict=True):
                     key = mix(x ^ salt) >> np.uint64(1) | late.astype(np.uint64) << np.uint64(63)
-                    order.append((np.sort(key)[:k] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                    order.append(np.unique((np.sort(key)[:k] & np.uint64(0xFFFF)).astype(np.uint16)).view(np.int16))
                 sizes.append(len(x))
-            return [pa.array(sizes, pa.int64()), _lists(orders[0], pa.int64()), *(_lists(o, pa.int32()) for o in orders[1:])]
+            return [pa.array(sizes, pa.int64()), _lists(orders[0], pa.int64()), *(_lists(o, pa.int16()) for o in orders[1:])]
 
-        schema = "doc_id long, size long, first array<bigint>, second array<int>, third array<int>"
+        schema = "doc_id long, size long, first array<bigint>, second array<smallint>, third array<smallint>"
         return _mapped(self.docs, self.n, schema, make)
 
-    def selected(self, ids: DataFrame) -> DataFrame:
-        """The documents of ``ids(doc_id)``."""
-        small = ids.count() <= BROADCAST_IDS
-        return self.docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-
-    def links(self, pairs: DataFrame, filters: DataFrame, whole: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
         """The pairs ``a``, ``b`` that pass the further orders and then the comparison of their sets."""
         percent = self.percent
         for side in ("a", "b"):
-            pairs = pairs.join(filters.select(F.col("doc_id").alias(side), F.col("second").alias(f"{side}2"), F.col("third").alias(f"{side}3")), side)
+            pairs = pairs.join(prefixes.select(F.col("doc_id").alias(side), F.col("second").alias(f"{side}2"), F.col("third").alias(f"{side}3")), side)
         pairs = pairs.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+        pairs = storage.materialize(pairs, "pairs")
+        ids = storage.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
+        make = lambda found: [pa.array([x.tobytes() for x in found], pa.binary())]
+        chosen = self.docs.join(few(ids), "doc_id", "left_semi")
+        whole = storage.materialize(_mapped(chosen, self.n, "doc_id long, tokens binary", make), "paired_sets")
         for side in ("a", "b"):
             pairs = pairs.join(whole.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
 
@@ -180,23 +187,16 @@ class Join:
         reps = classes.select(F.col("rep").alias("doc_id"))
         hot = self.hot_tokens(docs.select("first"))
 
-        prefixes = storage.materialize(self.prefixes(hot), "prefixes").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        prefixes = self.prefixes(hot).join(few(reps), "doc_id", "left_semi")
         prefixes = storage.materialize(prefixes, "prefixes")
         entries = prefixes.select("doc_id", "size", F.explode("first").alias("token"))
-        groups = entries.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1").select("token", "pivot")
+        pivot = F.min(F.struct("doc_id", "size")).alias("pivot")
+        groups = entries.groupBy("token").agg(F.count("*").alias("n"), pivot).where("n > 1").select("token", "pivot")
         shared = storage.materialize(entries.join(groups, "token"), "shared_tokens")
 
-        ids = storage.materialize(shared.select("doc_id").distinct(), "candidates")
-        make = lambda found: [pa.array([x.tobytes() for x in found], pa.binary())]
-        whole = _mapped(self.selected(ids), self.n, "doc_id long, tokens binary", make)
-        whole = storage.materialize(whole, "candidate_sets").dropDuplicates(["doc_id"])
-        filters = prefixes.join(ids, "doc_id", "left_semi").select("doc_id", "second", "third")
-
-        sizes = ids.join(prefixes.select("doc_id", "size"), "doc_id")
-        star = shared.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"), "size").distinct()
-        star = star.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("a_size")), "a")
-        star = star.where(_similar("size", "a_size", self.percent)).select("a", "b")
-        links = storage.materialize(self.links(star, filters, whole), "star_links")
+        star = shared.where((F.col("doc_id") != F.col("pivot.doc_id")) & _similar("size", "pivot.size", self.percent))
+        star = star.select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        links = storage.materialize(self.links(star, prefixes), "star_links")
         labels = components(links)
 
         # What shares a token and is not connected yet.
@@ -208,7 +208,7 @@ class Join:
         right = open_.select("token", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label"))
         apart = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & _similar("a_size", "b_size", self.percent)
         cross = left.join(right, "token").where(apart).select("a", "b").distinct()
-        more = storage.materialize(self.links(cross, filters, whole), "cross_links")
+        more = storage.materialize(self.links(cross, prefixes), "cross_links")
         if more.head(1):
             labels = components(links.union(more))
 
