@@ -14,22 +14,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 
-def series() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("date")
+def series(*within: str) -> WindowSpec:
+    """A symbol's bars; ``within`` names columns that cut them into separate series."""
+    return Window.partitionBy("symbol", *within).orderBy("date")
 
 
 def so_far() -> WindowSpec:
     return series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def last_rows(n: int) -> WindowSpec:
+def last_rows(n: int, *within: str) -> WindowSpec:
     """The current bar and the ``n - 1`` before it."""
-    return series().rowsBetween(1 - n, 0)
+    return series(*within).rowsBetween(1 - n, 0)
 
 
-def position() -> Column:
+def gathered(name: str, n: int, *within: str) -> Column:
+    """The last ``n`` values as an array in which a NULL keeps its place."""
+    values = F.collect_list(F.struct(F.col(name).alias("v"))).over(last_rows(n, *within))
+    return F.transform(values, lambda x: x["v"])
+
+
+def position(*within: str) -> Column:
     """0-based position of the bar in its series."""
-    return F.row_number().over(series()) - 1
+    return F.row_number().over(series(*within)) - 1
 
 
 def length() -> Column:
@@ -38,14 +45,14 @@ def length() -> Column:
     return F.count(F.lit(1)).over(frame)
 
 
-def previous(name: str, n: int = 1) -> Column:
-    return F.lag(name, n).over(series())
+def previous(name: str, n: int = 1, *within: str) -> Column:
+    return F.lag(name, n).over(series(*within))
 
 
-def following(name: str, n: int = 1) -> Column:
-    return F.lead(name, n).over(series())
+def following(name: str, n: int = 1, *within: str) -> Column:
+    return F.lead(name, n).over(series(*within))
 
 
-def change(name: str, n: int = 1) -> Column:
+def change(name: str, n: int = 1, *within: str) -> Column:
     """Ratio to the value ``n`` bars back; NULL before there is one."""
-    return F.try_divide(F.col(name), previous(name, n))
+    return F.try_divide(F.col(name), previous(name, n, *within))

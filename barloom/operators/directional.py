@@ -66,10 +66,9 @@ def with_index(
     bars: DataFrame, block: int = BLOCK, more: dict[str, Column] | None = None
 ) -> DataFrame:
     """Add the directional columns to the bars; -1.0 where there is too little history."""
-    moved = add_blocks(with_movement(bars, more), "i", block)
-
-    # The 14-bar sums start from a plain sum and decay from there.
-    seeded = moved.withColumns(
+    # The 14-bar sums start from a plain sum and decay from there. All that is ordered by
+    # date alone is computed here; from ``add_blocks`` on, rows stay in (_block, date) order.
+    seeded = with_movement(bars, more).withColumns(
         {
             f"_{name}": F.when(F.col("i") < PERIOD, 0.0)
             .when(F.col("i") == PERIOD, F.sum(name).over(s.last_rows(PERIOD)))
@@ -77,6 +76,7 @@ def with_index(
             for name in ["tr", "pdm1", "mdm1"]
         }
     )
+    seeded = add_blocks(seeded, "i", block)
     summed = add_decayed_sums(
         seeded,
         {"_tr14": F.col("_tr"), "_pdm14": F.col("_pdm1"), "_mdm14": F.col("_mdm1")},

@@ -20,16 +20,6 @@ class Cell(NamedTuple):
     end: datetime.date
 
 
-def _at(prices: DataFrame, date: str, suffix: str) -> DataFrame:
-    """Price columns renamed for a join on ``symbol`` and the prediction's ``date`` column."""
-    values = [name for name in prices.columns if name not in SERIES_KEY]
-    return prices.select(
-        "symbol",
-        F.col("date").alias(date),
-        *[F.col(name).alias(f"{name}{suffix}") for name in values],
-    )
-
-
 def _opens(benchmark: DataFrame) -> DataFrame:
     """Benchmark open per date: at most one row a day, so it may be broadcast."""
     return benchmark.groupBy("date").agg(F.max("open").alias("spxopen"))
@@ -43,13 +33,31 @@ def _with_opens(predictions: DataFrame, benchmark: DataFrame) -> DataFrame:
     return predictions
 
 
+def looked_up(predictions: DataFrame, prices: DataFrame, values: list[str]) -> DataFrame:
+    """Predictions with ``<value>1`` at ``date2`` and ``<value>2`` at ``date3``; NULL where there is no price.
+
+    A prediction becomes two look-ups of (symbol, date), which meet the prices in one join and
+    are folded back in one aggregate. Equal predictions are counted before and repeated after it.
+    """
+    key = predictions.columns
+    counted = predictions.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies"))
+    sides = F.array(
+        F.struct(F.lit(1).alias("side"), F.col("date2").alias("date")),
+        F.struct(F.lit(2).alias("side"), F.col("date3").alias("date")),
+    )
+    asked = counted.withColumn("_at", F.explode(sides)).withColumns({"_date": F.col("_at.date"), "_side": F.col("_at.side")}).drop("_at")
+    known = prices.select(F.col("symbol").alias("_symbol"), F.col("date").alias("_day"), *[F.col(v).alias(f"_{v}") for v in values])
+    found = asked.join(known, (asked["symbol"] == known["_symbol"]) & (asked["_date"] == known["_day"]), "left")
+    folded = found.groupBy(*key, "_copies").agg(
+        *[F.max(F.when(F.col("_side") == side, F.col(f"_{v}"))).alias(f"{v}{side}") for v in values for side in (1, 2)]
+    )
+    return folded.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copy", "_copies")
+
+
 def with_prices(predictions: DataFrame, bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Close and benchmark open at anchor and label date."""
-    closes = bars.select(*SERIES_KEY, "close")
-    joined = predictions.join(_at(closes, "date2", "1"), ["symbol", "date2"], "left").join(
-        _at(closes, "date3", "2"), ["symbol", "date3"], "left"
-    )
-    return _with_opens(joined, benchmark).select(
+    asked = predictions.select("symbol", "date1", "date2", "date3", "act_diff", "prob", "label")
+    return _with_opens(looked_up(asked, bars, ["close"]), benchmark).select(
         "symbol",
         "date1",
         "date2",
@@ -74,9 +82,9 @@ def enrich(
     """Labelled predictions with adjusted and relative close and benchmark open at
     both dates, and breadth at the label date.
 
-    Both price tables are put side by side first, so each date costs one join on
-    (symbol, date): an aggregate over their union does that with one exchange, whose
-    layout both joins use. Benchmark and breadth hold one row a day and are broadcast.
+    Adjusted and relative closes are put side by side by an aggregate over their union, and
+    the predictions look both dates up in it with one join (``looked_up``). Benchmark and
+    breadth are reduced to one row a day and broadcast.
     """
     none = F.lit(None).cast("double")
     adjusted = bars.select(*SERIES_KEY, F.col("adjclose").alias("close"), none.alias("relclose"))
@@ -87,12 +95,10 @@ def enrich(
         .agg(F.max("close").alias("close"), F.max("relclose").alias("relclose"))
     )
     labelled = predictions.where(F.col("is_labeled") == 1)
-    joined = labelled.select(
-        "symbol", "date1", "date2", "date3", "prob", "label", "act_diff"
-    ).join(_at(prices, "date2", "1"), ["symbol", "date2"], "left")
-    joined = joined.join(_at(prices, "date3", "2"), ["symbol", "date3"], "left")
-    days = breadth.select(
-        F.col("date").alias("date3"), F.col("pos").alias("num_pos"), F.col("neg").alias("num_neg")
+    asked = labelled.select("symbol", "date1", "date2", "date3", "prob", "label", "act_diff")
+    joined = looked_up(asked, prices, ["close", "relclose"])
+    days = breadth.groupBy(F.col("date").alias("date3")).agg(
+        F.max("pos").alias("num_pos"), F.max("neg").alias("num_neg")
     )
     return (
         _with_opens(joined, benchmark)
@@ -198,6 +204,13 @@ def bottom_predictions(predictions: DataFrame, score: str, k: int, *tie_break: s
     return predictions.orderBy(F.asc(score), *tie_break).limit(k)
 
 
+def both_ends(predictions: DataFrame, score: str, k: int, *tie_break: str) -> DataFrame:
+    """The ``k`` highest and lowest scores, with ``end`` ``top`` or ``bottom``; give it a stored table."""
+    best = top_predictions(predictions, score, k, *tie_break).withColumn("end", F.lit("top"))
+    worst = bottom_predictions(predictions, score, k, *tie_break).withColumn("end", F.lit("bottom"))
+    return best.unionByName(worst)
+
+
 def open_predictions(predictions: DataFrame, date: datetime.date | Column) -> DataFrame:
     """Predictions anchored at ``date`` whose label is not known yet, best first."""
     current = F.col("date2") == (date if isinstance(date, Column) else F.lit(date))

@@ -18,29 +18,37 @@ STRONG_TREND = 30
 UNKNOWN = -1.0
 
 
-def _ratios(bars: DataFrame, window: int, coach: int) -> DataFrame:
+def _ratios(bars: DataFrame, window: int, coach: int, *within: str) -> DataFrame:
     """Add the last ``window`` one-bar ratios as ``features`` and the forward ratio ``_ahead``."""
     if window < 2:
         raise ValueError("a feature window needs at least two bars")
-    return bars.withColumns({"_i": s.position(), "_step": s.change("close")}).withColumns(
+    steps = {"_i": s.position(*within), "_step": s.change("close", 1, *within)}
+    return bars.withColumns(steps).withColumns(
         {
-            "features": F.collect_list("_step").over(s.last_rows(window)),
-            "_ahead": F.try_divide(s.following("close", coach), F.col("close")),
+            "features": s.gathered("_step", window, *within),
+            "_ahead": F.try_divide(s.following("close", coach, *within), F.col("close")),
         }
     )
 
 
+def _whole() -> Column:
+    """No value of the vector is missing: a zero or NULL close leaves ratios undefined."""
+    return ~F.exists("features", lambda x: x.isNull())
+
+
 def _anchors(rated: DataFrame, window: int) -> DataFrame:
-    return rated.where((F.col("_i") >= window) & F.col("_ahead").isNotNull())
+    return rated.where((F.col("_i") >= window) & F.col("_ahead").isNotNull() & _whole())
 
 
-def lag_ratio_points(bars: DataFrame, window: int, coach: int) -> DataFrame:
+def lag_ratio_points(bars: DataFrame, window: int, coach: int, *within: str) -> DataFrame:
     """Regression points: ``window`` one-bar ratios and the ratio ``coach`` bars ahead as label.
 
-    Filter or split the bars first: a window does not look beyond the rows it is given.
+    Windows and labels stay among the rows they are given; columns named in ``within``
+    cut a symbol's bars into separate series (see ``marked_at``). Anchors with an
+    undefined ratio in their window are left out, so every vector has ``window`` values.
     """
-    return _anchors(_ratios(bars, window, coach), window).select(
-        "symbol", "date", F.col("_ahead").alias("label"), "features"
+    return _anchors(_ratios(bars, window, coach, *within), window).select(
+        "symbol", "date", F.col("_ahead").alias("label"), "features", *within
     )
 
 
@@ -54,6 +62,12 @@ def rising_points(bars: DataFrame, window: int, coach: int) -> DataFrame:
     )
 
 
+def marked_at(bars: DataFrame, last_train: datetime.date) -> DataFrame:
+    """Bars with ``part``, ``train`` up to a date and ``check`` after it."""
+    until = F.col("date") <= F.lit(last_train)
+    return bars.withColumn("part", F.when(until, "train").otherwise("check"))
+
+
 def split_at(bars: DataFrame, last_train: datetime.date) -> tuple[DataFrame, DataFrame]:
     """Bars up to and after a date, to be windowed separately."""
     until = F.col("date") <= F.lit(last_train)
@@ -100,7 +114,7 @@ def mart_features(mart: DataFrame, window: int, coach: int, threshold: float = 1
 
     In order: one-bar ratios, two-bar ratios, pairs of trend flag and directional
     ratio, then average ratio, directional ratio, trend strength and gap-up label
-    of the anchor.
+    of the anchor. Anchors with an undefined ratio in their window are left out.
     """
     direction = round2(F.coalesce(F.try_divide("pdi14", "mdi14"), F.lit(0.0)))
     strong = (F.col("adx") > STRONG_TREND) & (F.col("pdi14") > F.col("mdi14"))
@@ -113,9 +127,6 @@ def mart_features(mart: DataFrame, window: int, coach: int, threshold: float = 1
         }
     )
 
-    def gathered(name: str, n: int) -> Column:
-        return F.collect_list(name).over(s.last_rows(n))
-
     anchor = F.array(
         round2(F.col("mat_dual")),
         F.col("_direction"),
@@ -125,13 +136,13 @@ def mart_features(mart: DataFrame, window: int, coach: int, threshold: float = 1
     vectors = terms.withColumn(
         "features",
         F.concat(
-            gathered("_one", window),
-            gathered("_two", window - 1),
-            F.flatten(gathered("_pair", window)),
+            s.gathered("_one", window),
+            s.gathered("_two", window - 1),
+            F.flatten(s.gathered("_pair", window)),
             anchor,
         ),
     ).drop("_one", "_two", "_direction", "_pair")
-    return forward_labels(vectors, window, coach, threshold, unlabeled=1)
+    return forward_labels(vectors, window, coach, threshold, unlabeled=1).where(_whole())
 
 
 def in_span(points: DataFrame, start: datetime.date, end: datetime.date | None) -> DataFrame:
@@ -153,3 +164,11 @@ def train_rows(points: DataFrame, end: datetime.date) -> DataFrame:
 def check_rows(points: DataFrame, start: datetime.date) -> DataFrame:
     """Points anchored after ``start``."""
     return points.where(F.col("date2") > F.lit(start))
+
+
+def in_parts(points: DataFrame, train_end: datetime.date, check_start: datetime.date) -> DataFrame:
+    """Points with ``part``: a row for each of ``train`` and ``check`` that it belongs to, from one pass."""
+    train = (F.col("date3") < F.lit(train_end)) & (F.col("is_labeled") == 1)
+    check = F.col("date2") > F.lit(check_start)
+    parts = F.filter(F.array(F.when(train, "train"), F.when(check, "check")), lambda x: x.isNotNull())
+    return points.withColumn("part", F.explode(parts))

@@ -73,8 +73,9 @@ def candidates(universe: DataFrame, bars: DataFrame, calendar: DataFrame) -> Dat
 
     A symbol that was never loaded gets the calendar's first date for both ends.
     """
-    first = calendar.agg(F.min("date")).scalar()
-    last = calendar.agg(F.max("date")).scalar()
+    # One scan of the calendar gives both ends.
+    ends = calendar.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last"))).scalar()
+    first, last = ends["first"], ends["last"]
     spans = date_spans(universe, bars)
     stale = spans.where(F.col("max_date").isNull() | (F.col("max_date") != last))
     return stale.select(

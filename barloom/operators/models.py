@@ -15,7 +15,7 @@ from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import features as fe
@@ -69,15 +69,34 @@ def fit_span(points: DataFrame, span: Span, kind: str = "tree") -> tuple[Pipelin
     return stages.fit(fe.train_rows(within, span.train_end)), label_index(labels)
 
 
+def indexes_of(points: DataFrame) -> DataFrame:
+    """What the indexers learn: ``kind, place, value, code``.
+
+    ``label`` rows have each label and its place by frequency; ``feature`` rows each category of
+    the features with at most ``MAX_CATEGORIES`` values, zero first, then in ascending order.
+    """
+    labels = StringIndexer(inputCol="label", outputCol="indexedLabel").fit(points)
+    vectors = VectorIndexer(
+        inputCol="features", outputCol="indexedFeatures", maxCategories=MAX_CATEGORIES
+    ).fit(points)
+    rows = [("label", -1, float(x), k) for k, x in enumerate(labels.labelsArray[0])]
+    for place, codes in vectors.categoryMaps.items():
+        rows += [("feature", int(place), float(value), int(code)) for value, code in codes.items()]
+    schema = "kind string, place int, value double, code int"
+    return points.sparkSession.createDataFrame(rows, schema)
+
+
 def score_span(
     points: DataFrame, span: Span, model: PipelineModel, index: int | None
 ) -> DataFrame:
-    """Check rows with ``prob``, the probability of label 1; vectors as text."""
+    """Check rows with ``prob``, the probability of label 1, and ``predicted_label``; vectors as text."""
     checked = fe.check_rows(fe.in_span(points, span.start, span.end), span.check_start)
     scored = model.transform(checked)
     prob = F.lit(0.0) if index is None else F.get(vector_to_array("probability"), F.lit(index))
+    named = F.lit(None).cast("double") if index is None else F.when(F.col("prediction") == index, 1.0).otherwise(0.0)
     return scored.withColumn("prob", prob).withColumns(
         {
+            "predicted_label": named,
             "features": F.col("features").cast("string"),
             "indexedFeatures": F.col("indexedFeatures").cast("string"),
             "probability": F.col("probability").cast("string"),
@@ -103,12 +122,14 @@ def regress(
 def buy_and_hold(points: DataFrame, spans: list[Span]) -> DataFrame:
     """The baseline: every labelled check row of each span is predicted with certainty.
 
-    ``points`` are forward labels with -1 for unlabelled rows.
+    ``points`` are forward labels with -1 for unlabelled rows. A point is repeated for each
+    span it falls in, so the points are computed once.
     """
-    scored = None
-    for span in spans:
-        within = fe.in_span(points, span.start, span.end).where(F.col("label") != -1)
-        rows = fe.check_rows(within, span.check_start).where(F.col("is_labeled") == 1)
-        rows = rows.withColumn("prob", F.lit(1.0))
-        scored = rows if scored is None else scored.unionByName(rows)
-    return scored
+    labelled = points.where((F.col("label") != -1) & (F.col("is_labeled") == 1))
+
+    def falls_in(span: Span) -> Column:
+        within = (F.col("date1") >= F.lit(span.start)) & (F.col("date2") > F.lit(span.check_start))
+        return within if span.end is None else within & (F.col("date3") < F.lit(span.end))
+
+    hits = F.array(*(F.when(falls_in(span), F.lit(1.0)) for span in spans))
+    return labelled.withColumn("prob", F.explode(F.filter(hits, lambda x: x.isNotNull())))

@@ -74,12 +74,12 @@ def relative(adjusted: DataFrame, values: DataFrame, carry: Sequence[str] = ())
 def relative_ratios(adjusted: DataFrame, index: DataFrame) -> DataFrame:
     """Each adjusted field over the same field of an index with ``norm*`` columns.
 
-    ``index`` is grouped by date (see ``indexes.mean_index``), so it may be broadcast.
+    ``index`` has one row a day (see ``indexes.mean_index``); grouping it by date here makes sure
+    of it, so it may be broadcast.
     """
-    by_day = index.select(
-        "date",
-        *[F.col(f"norm{name}").alias(f"_{name}") for name in ["open", "high", "low", "close"]],
-        F.col("volume").alias("_volume"),
+    by_day = index.groupBy("date").agg(
+        *[F.max(f"norm{name}").alias(f"_{name}") for name in ["open", "high", "low", "close"]],
+        F.max("volume").alias("_volume"),
     )
     joined = adjusted.join(F.broadcast(by_day), "date")
     return joined.select(

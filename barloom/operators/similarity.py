@@ -5,32 +5,43 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MAX_COMPONENTS = 4096
+
 
 def column_similarities(vectors: DataFrame, column: str) -> DataFrame:
     """Cosine similarity of the components of an array column: ``i < j, similarity``.
 
     Each task adds up the products of its own rows, so what is shuffled is one
     small matrix per task and not a pair per row. Components that are zero
-    everywhere have no similarities; neither do orthogonal ones.
+    everywhere have no similarities; neither do orthogonal ones. Vectors must have one
+    length of at most ``MAX_COMPONENTS`` (the matrix of a task has its square) and no
+    NULL element; NULL vectors are left out.
     """
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            rows = np.asarray(batch["v"].tolist(), dtype="float64")
+            column = batch.column("v").cast(pa.list_(pa.float64()))
+            width = len(column[0]) if len(column) else 0
+            flat = column.flatten()
+            if width > MAX_COMPONENTS or flat.null_count or not pc.all(pc.equal(pc.list_value_length(column), width)).as_py():
+                raise ValueError(f"vectors need one length of at most {MAX_COMPONENTS} and no NULL element")
+            rows = flat.to_numpy().reshape(len(column), width)
             if len(rows):
                 total = rows.T @ rows + (0 if total is None else total)
         if total is not None:
             i, j = np.triu_indices(total.shape[0])
-            yield pd.DataFrame({"i": i, "j": j, "dot": total[i, j]})
+            columns = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "dot"])
 
     rows = vectors.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
     dots = (
-        rows.mapInPandas(products, "i int, j int, dot double")
+        rows.mapInArrow(products, "i int, j int, dot double")
         .groupBy("i", "j")
         .agg(F.sum("dot").alias("dot"))
     )

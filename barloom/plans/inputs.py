@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom import storage
 from barloom.operators import evaluate, features, indexes, mart, models, prices
 from barloom.operators.models import Span
 from barloom.sources import market
@@ -16,7 +17,7 @@ D = datetime.date
 
 DELTA_FROM = D(2000, 12, 1)
 HISTORY_UNTIL = D(2001, 1, 1)
-LAST_TRAIN = D(1998, 12, 31)
+LAST_TRAIN = D(1998, 6, 30)
 SPANS = [
     Span(D(1995, 4, 1), D(1999, 1, 1), D(1999, 1, 1), D(2001, 6, 1)),
     Span(D(1995, 10, 1), D(1999, 6, 1), D(1999, 6, 1), D(2002, 1, 1)),
@@ -31,6 +32,14 @@ class Inputs:
         self.spark = spark
         self.folder = folder
 
+    @cached_property
+    def stored(self) -> Inputs:
+        """The same inputs over stored bars and benchmark, for what reads them several times."""
+        other = Inputs(self.spark, self.folder)
+        other.bars = storage.materialize(self.bars, "bars")
+        other.benchmark = storage.materialize(self.benchmark, "benchmark")
+        return other
+
     @cached_property
     def bars(self) -> DataFrame:
         return market.bars(self.spark, self.folder)
@@ -76,9 +85,19 @@ class Inputs:
     def held(self) -> DataFrame:
         """Buy-and-hold predictions with a spread of probabilities, for the evaluations."""
         points = features.forward_labels(self.rated, window=60, coach=4, unlabeled=-1)
-        rows = models.buy_and_hold(points, SPANS[:1])
+        rows = models.buy_and_hold(points, SPANS)
         return rows.withColumn("prob", (F.dayofyear("date2") % 10) / 10.0)
 
+    @cached_property
+    def partly_loaded(self) -> DataFrame:
+        """History in which some symbols were never loaded, some are current and the rest is stale."""
+        loaded = F.substring("symbol", 2, 9).cast("int") % 7 != 0
+        return self.history.where(loaded)
+
+    @cached_property
+    def loaded_days(self) -> DataFrame:
+        return self.history.select("date").distinct()
+
     @cached_property
     def enriched(self) -> DataFrame:
         breadth = indexes.breadth_over(self.relative)

@@ -46,6 +46,19 @@ HISTORY = """
 history AS (SELECT * FROM bars WHERE date < DATE '2001-01-01'),
 delta AS (SELECT * REPLACE (volume + 1 AS volume) FROM bars WHERE date >= DATE '2000-12-01')"""
 
+SHORT = """
+counts AS (SELECT symbol, count(*) AS bars FROM bars WHERE date >= DATE '2000-01-01' GROUP BY symbol),
+short AS (SELECT * FROM counts WHERE bars < (SELECT bars FROM counts WHERE symbol = 'S1'))"""
+
+STALE = """
+partly AS (SELECT * FROM history WHERE CAST(substr(symbol, 2) AS INTEGER) % 7 <> 0),
+ends AS (SELECT min(date) AS first, max(date) AS last FROM history),
+stale AS (
+  SELECT u.ticker AS symbol, coalesce(max(h.date), any_value(first)) AS max_date,
+    coalesce(min(h.date), any_value(first)) AS min_date
+  FROM universe u CROSS JOIN ends LEFT JOIN partly h ON u.ticker = h.symbol
+  GROUP BY 1 HAVING max(h.date) IS NULL OR max(h.date) <> any_value(last))"""
+
 ADJUSTED = """
 adjusted AS (
   SELECT *, adjclose / close * open AS adjopen, adjclose / close * high AS adjhigh,
@@ -214,7 +227,11 @@ WHERE date1 >= DATE '1995-10-01' AND date3 < DATE '2002-01-01' AND date2 > DATE
 
 HELD = (
     HOLD,
-    "\nheld AS (" + FIRST_SPAN.format(columns="*", prob="(dayofyear(date2) % 10) / 10.0") + ")",
+    "\nheld AS ("
+    + "\nUNION ALL".join(
+        span.format(columns="*", prob="(dayofyear(date2) % 10) / 10.0") for span in (FIRST_SPAN, SECOND_SPAN)
+    )
+    + ")",
 )
 
 BREADTH_5 = """
@@ -224,20 +241,31 @@ breadth_5 AS (
   FROM (SELECT date, close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY date) AS r FROM relative)
   GROUP BY date)"""
 
-ENRICHED = """
+# One price table, looked up by a correlated subquery for each date of a prediction.
+PRICED = """
+day_prices AS (
+  SELECT coalesce(b.symbol, v.symbol) AS sym, coalesce(b.date, v.date) AS day,
+    b.adjclose AS whole_price, b.close AS raw_price, v.close AS relative_price
+  FROM bars b FULL JOIN relative v USING (symbol, date))"""
+
+
+def price_at(column: str, date: str) -> str:
+    return f"(SELECT {column} FROM day_prices WHERE sym = held.symbol AND day = held.{date})"
+
+
+def open_at(date: str) -> str:
+    return f"(SELECT max(open) FROM spx WHERE spx.date = held.{date})"
+
+
+ENRICHED = f"""
 enriched AS (
-  SELECT p.symbol, p.date1, p.date2, p.date3, p.prob, p.label, p.act_diff,
-    r1.close AS relclose1, r2.close AS relclose2, s1.open AS spxopen1, s2.open AS spxopen2,
-    e1.adjclose AS close1, e2.adjclose AS close2, d.pos AS num_pos, d.neg AS num_neg
-  FROM held p
-    LEFT JOIN bars e1 ON p.symbol = e1.symbol AND p.date2 = e1.date
-    LEFT JOIN bars e2 ON p.symbol = e2.symbol AND p.date3 = e2.date
-    LEFT JOIN relative r1 ON p.symbol = r1.symbol AND p.date2 = r1.date
-    LEFT JOIN relative r2 ON p.symbol = r2.symbol AND p.date3 = r2.date
-    LEFT JOIN spx s1 ON p.date2 = s1.date
-    LEFT JOIN spx s2 ON p.date3 = s2.date
-    LEFT JOIN breadth_5 d ON p.date3 = d.date
-  WHERE p.is_labeled = 1)"""
+  SELECT symbol, date1, date2, date3, prob, label, act_diff,
+    {price_at("relative_price", "date2")} AS relclose1, {price_at("relative_price", "date3")} AS relclose2,
+    {price_at("whole_price", "date2")} AS close1, {price_at("whole_price", "date3")} AS close2,
+    {open_at("date2")} AS spxopen1, {open_at("date3")} AS spxopen2,
+    (SELECT pos FROM breadth_5 WHERE breadth_5.date = held.date3) AS num_pos,
+    (SELECT neg FROM breadth_5 WHERE breadth_5.date = held.date3) AS num_neg
+  FROM held WHERE is_labeled = 1)"""
 
 LEDGER = f"""
 pairs AS (
@@ -340,19 +368,14 @@ ORACLES: dict[str, str] = {
     "bar_line_scan": with_(BARS) + f"SELECT symbol, date, {BAR_Q} FROM bars WHERE day(date) <> 13",
     "symbol_feed_scan": with_(SPX) + f"SELECT symbol, date, {SPX_Q} FROM spx WHERE day(date) <> 13",
     "benchmark_refresh": with_(SPX) + f"SELECT symbol, date, {SPX_Q} FROM spx",
-    "candidates": with_(BARS, UNIVERSE, HISTORY)
-    + """, spans AS (
-  SELECT u.ticker AS symbol, max(h.date) AS max_date, min(h.date) AS min_date
-  FROM universe u LEFT JOIN history h ON u.ticker = h.symbol GROUP BY 1)
-SELECT symbol, coalesce(max_date, (SELECT min(date) FROM bars)) AS max_date,
-  coalesce(min_date, (SELECT min(date) FROM bars)) AS min_date
-FROM spans WHERE max_date IS NULL OR max_date <> (SELECT max(date) FROM bars)""",
-    "incremental_landing": with_(BARS, UNIVERSE, HISTORY)
-    + f""", spans AS (
-  SELECT u.ticker AS symbol, coalesce(max(h.date), (SELECT min(date) FROM bars)) AS max_date
-  FROM universe u LEFT JOIN history h ON u.ticker = h.symbol GROUP BY 1)
-SELECT d.symbol, d.date, {BAR_Q} FROM delta d JOIN spans s ON d.symbol = s.symbol
-WHERE d.date > s.max_date AND s.max_date <> (SELECT max(date) FROM bars)""",
+    "refresh_gate": with_(SPX)
+    + """SELECT count(*) AS bars, max(date) AS last, reload FROM spx, (VALUES ('short'), ('whole')) v(reload) GROUP BY reload""",
+    "candidates": with_(BARS, UNIVERSE, HISTORY, STALE) + "SELECT * FROM stale",
+    **{
+        name: with_(BARS, UNIVERSE, HISTORY, STALE)
+        + f"SELECT symbol, date, {BAR_Q} FROM delta JOIN stale USING (symbol) WHERE date > max_date"
+        for name in ("incremental_landing", "landed_new_bars")
+    },
     "merge_upsert": with_(BARS, HISTORY)
     + f"""SELECT symbol, date, {BAR_Q} FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY source DESC) AS r
@@ -361,13 +384,9 @@ WHERE d.date > s.max_date AND s.max_date <> (SELECT max(date) FROM bars)""",
 WHERE r = 1""",
     "coverage_summary": with_(BARS)
     + "SELECT symbol, max(date) AS max_date, count(date) AS bars FROM bars GROUP BY symbol",
-    "completeness_short": with_(BARS)
-    + """SELECT symbol, count(date) AS bars FROM bars WHERE date >= DATE '2000-01-01' GROUP BY symbol
-HAVING count(date) < (SELECT count(DISTINCT date) FROM bars WHERE date >= DATE '2000-01-01')""",
-    "completeness_check": with_(BARS)
-    + """SELECT count(*) AS short_symbols, count(*) <= 35 AS passed FROM (
-  SELECT symbol FROM bars WHERE date >= DATE '2000-01-01' GROUP BY symbol
-  HAVING count(date) < (SELECT count(DISTINCT date) FROM bars WHERE date >= DATE '2000-01-01'))""",
+    "completeness_short": with_(BARS, SHORT) + "SELECT symbol, bars FROM short",
+    "completeness_check": with_(BARS, SHORT)
+    + "SELECT count(*) AS short_symbols, count(*) <= 35 AS passed FROM short",
     "calendar_bounds": with_(SPX)
     + "SELECT min(date) AS min_date, max(date) AS max_date, count(*) AS bars FROM spx",
     "latest_date": with_(SPX) + "SELECT max(date) AS date FROM spx",
@@ -460,7 +479,7 @@ FROM rated LEFT JOIN ids USING (symbol)""",
     "lag_ratio_features": with_(BARS, SPX, ADJUSTED, RELATIVE)
     + "\nUNION ALL\n".join(
         f"""SELECT symbol, date, {q("ahead")} AS label, '{part}' AS part, {checksum("f")}
-FROM {ratio_points(f"(SELECT * FROM relative WHERE date {op} DATE '1998-12-31')", RATIO_WINDOW, RATIO_COACH)}
+FROM {ratio_points(f"(SELECT * FROM relative WHERE date {op} DATE '1998-06-30')", RATIO_WINDOW, RATIO_COACH)}
 WHERE i >= {RATIO_WINDOW} AND ahead IS NOT NULL"""
         for part, op in [("train", "<="), ("check", ">")]
     ),
@@ -486,27 +505,25 @@ WHERE date1 >= DATE '1995-04-01' AND (date3 IS NULL OR date3 < DATE '2001-06-01'
     + FIRST_SPAN.format(columns=LABELS, prob="1.0")
     + "\nUNION ALL"
     + SECOND_SPAN.format(columns=LABELS, prob="1.0"),
-    "prediction_enrichment": with_(*MART, *HELD, BREADTH_5, ENRICHED, recursive=True)
+    "prediction_enrichment": with_(*MART, *HELD, BREADTH_5, PRICED, ENRICHED, recursive=True)
     + f"""SELECT symbol, date1, date2, date3, {q_as("prob")}, label, {
         q_as("act_diff", "relclose1", "relclose2", "spxopen1", "spxopen2", "close1", "close2")
     }, num_pos, num_neg FROM enriched""",
-    "prediction_prices": with_(*MART, *HELD, recursive=True)
-    + f"""SELECT p.symbol, p.date1, p.date2, p.date3, {q("e1.close")} AS close1, {q("s1.open")} AS spxopen1,
-  {q("e2.close")} AS close2, {q("s2.open")} AS spxopen2, {q("p.act_diff")} AS act_diff,
-  {q("p.prob")} AS prob, p.label
-FROM held p
-  LEFT JOIN bars e1 ON p.symbol = e1.symbol AND p.date2 = e1.date
-  LEFT JOIN bars e2 ON p.symbol = e2.symbol AND p.date3 = e2.date
-  LEFT JOIN spx s1 ON p.date2 = s1.date LEFT JOIN spx s2 ON p.date3 = s2.date""",
-    "precision_sweep": with_(*MART, *HELD, BREADTH_5, ENRICHED, recursive=True).rstrip() + sweep(),
-    "label_violations": with_(*MART, *HELD, BREADTH_5, ENRICHED, recursive=True)
-    + "SELECT count(*) FILTER (label = 1 AND relclose2 < relclose1) AS violations FROM enriched",
+    "prediction_prices": with_(*MART, *HELD, PRICED, recursive=True)
+    + f"""SELECT symbol, date1, date2, date3, label, {q_as("act_diff", "prob")},
+  {q(price_at("raw_price", "date2"))} AS close1, {q(price_at("raw_price", "date3"))} AS close2,
+  {q(open_at("date2"))} AS spxopen1, {q(open_at("date3"))} AS spxopen2
+FROM held""",
+    "precision_sweep": with_(*MART, *HELD, BREADTH_5, PRICED, ENRICHED, recursive=True).rstrip() + sweep(),
+    "label_violations": with_(*MART, *HELD, BREADTH_5, PRICED, ENRICHED, recursive=True)
+    + """SELECT count(*) FILTER ((label = 1 OR day(date2) = 13) AND relclose2 < relclose1) AS violations
+FROM enriched""",
     "top_predictions": with_(*MART, *HELD, recursive=True)
     + f"""SELECT symbol, date2, {q("act_diff")} AS prediction, label, 'top' AS "end"
-FROM (SELECT * FROM held ORDER BY act_diff DESC, symbol, date2 LIMIT 100)
+FROM (SELECT * FROM held ORDER BY act_diff DESC, symbol, date2, label LIMIT 100)
 UNION ALL
 SELECT symbol, date2, {q("act_diff")}, label, 'bottom'
-FROM (SELECT * FROM held ORDER BY act_diff, symbol, date2 LIMIT 100)""",
+FROM (SELECT * FROM held ORDER BY act_diff, symbol, date2, label LIMIT 100)""",
     "open_predictions": with_(*MART, HOLD, recursive=True)
     + f"""SELECT symbol, date2, is_labeled, {q("adx / 100")} AS prob FROM hold
 WHERE is_labeled = 0 AND date2 = (SELECT max(date2) FROM hold WHERE is_labeled = 0)
@@ -533,4 +550,37 @@ UNION ALL SELECT symbol, date, {BAR_Q}, 'late' FROM delta WHERE date >= DATE '20
     + FIRST_SPAN.format(columns=LABELS, prob="1.0")
     + "\nUNION ALL"
     + SECOND_SPAN.format(columns=LABELS, prob="1.0"),
+    "table_bootstrap": with_(BARS, HISTORY) + f"SELECT symbol, date, {BAR_Q}, 0::BIGINT AS rows_before FROM delta",
+    "table_copy": with_(UNIVERSE)
+    + "SELECT *, true AS few_files FROM universe, (VALUES ('source'), ('copy')) v(part)",
+    "table_ddl": with_(BARS)
+    + """SELECT symbol, count(*) AS bars, max(date) AS last, concat_ws(', ', 'symbol string', 'date date',
+  'open double', 'high double', 'low double', 'close double', 'volume double', 'adjclose double') AS columns
+FROM bars GROUP BY symbol""",
+    "gbt_regression_errors": with_(BARS, SPX, ADJUSTED, RELATIVE)
+    + f"""SELECT count(*) AS scored, {q("avg((ahead - 1) ** 2)")} AS naive_mse, true AS has_mse
+FROM {ratio_points("(SELECT * FROM relative WHERE date > DATE '1998-06-30')", RATIO_WINDOW, RATIO_COACH)}
+WHERE i >= {RATIO_WINDOW} AND ahead IS NOT NULL""",
+    "label_feature_index": with_(
+        *MART, TERMS, labels("points", MART_WINDOW, MART_COACH, 1, extra=", f"), recursive=True
+    ).rstrip()
+    + """, within AS (SELECT * FROM points WHERE date1 >= DATE '1995-04-01'),
+cells AS (SELECT unnest(range(len(f))) AS place, unnest(f) AS value FROM within),
+few AS (
+  SELECT place, value FROM (SELECT DISTINCT place, value FROM cells)
+  QUALIFY count(*) OVER (PARTITION BY place) <= 4)
+SELECT 'label' AS kind, -1 AS place, label::DOUBLE AS value,
+  CAST(row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS INTEGER) AS code
+FROM within GROUP BY label
+UNION ALL
+SELECT 'feature', CAST(place AS INTEGER), value,
+  CAST(row_number() OVER (PARTITION BY place ORDER BY value <> 0, value) - 1 AS INTEGER) FROM few""",
+    **{
+        f"{kind}_classifier_scores": with_(
+            *MART, TERMS, labels("points", MART_WINDOW, MART_COACH, 1, extra=", f"), recursive=True
+        )
+        + f"""SELECT {LABELS}, true AS is_probability, true AS agrees FROM points
+WHERE date1 >= DATE '1995-04-01' AND date2 > DATE '1999-01-01'"""
+        for kind in ("tree", "forest", "logistic")
+    },
 }

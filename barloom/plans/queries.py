@@ -7,7 +7,9 @@ in different orders.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,8 @@ from barloom.sources import landing, market
 
 REGISTRY: dict[str, Callable[[Inputs], DataFrame]] = {}
 
-RATIO_WINDOW, RATIO_COACH = 30, 5
+RATIO_WINDOW, RATIO_COACH = 180, 30
+NAIVE_COLUMNS = ["symbol", "date", "label"]
 RISING_WINDOW, RISING_COACH = 60, 3
 MART_WINDOW, MART_COACH = 30, 1
 HOLD_WINDOW, HOLD_COACH = 60, 4
@@ -142,17 +145,41 @@ def benchmark_refresh(m: Inputs) -> DataFrame:
     return rounded(ingest.refresh(old, m.benchmark, path))
 
 
+@query
+def refresh_gate(m: Inputs) -> DataFrame:
+    """A reload that is long enough is taken; one that lost rows is refused and the old rows stay."""
+    old = storage.materialize(m.benchmark, "benchmark")
+    short = old.where(F.col("date") < F.lit(inputs.HISTORY_UNTIL))
+    try:
+        kept = ingest.refresh(old, short, storage.scratch_path(m.spark, "refused"))
+    except ValueError:
+        kept = old
+    taken = ingest.refresh(short, old, storage.scratch_path(m.spark, "taken"))
+    both = [df.agg(F.count("*").alias("bars"), F.max("date").alias("last")) for df in (kept, taken)]
+    return both[0].withColumn("reload", F.lit("short")).unionByName(both[1].withColumn("reload", F.lit("whole")))
+
+
 @query
 def candidates(m: Inputs) -> DataFrame:
-    return ingest.candidates(m.universe, m.history, m.calendar)
+    """Stale and never-loaded symbols; those that have the last day are left out."""
+    return ingest.candidates(m.universe, m.partly_loaded, m.loaded_days)
 
 
 @query
 def incremental_landing(m: Inputs) -> DataFrame:
-    stale = ingest.candidates(m.universe, m.history, m.calendar)
+    stale = ingest.candidates(m.universe, m.partly_loaded, m.loaded_days)
     return rounded(ingest.new_bars(m.delta, stale), 6)
 
 
+@query
+def landed_new_bars(m: Inputs) -> DataFrame:
+    """Bars landed as a feed file a symbol, scanned, and what candidates lack of them."""
+    path = storage.scratch_path(m.spark, "landed")
+    tables.write_daily_feed(m.delta, path)
+    stale = ingest.candidates(m.universe, m.partly_loaded, m.loaded_days)
+    return rounded(ingest.new_bars(landing.read_daily_feed(m.spark, path), stale), 6)
+
+
 @query
 def merge_upsert(m: Inputs) -> DataFrame:
     return rounded(ingest.merge_bars(m.history, m.delta), 6)
@@ -165,12 +192,13 @@ def coverage_summary(m: Inputs) -> DataFrame:
 
 @query
 def completeness_short(m: Inputs) -> DataFrame:
-    return ingest.short_symbols(m.bars, m.calendar)
+    """Measured against the days of one symbol, so that some symbols are complete."""
+    return ingest.short_symbols(m.bars, m.bars.where(F.col("symbol") == "S1"))
 
 
 @query
 def completeness_check(m: Inputs) -> DataFrame:
-    return ingest.completeness(m.bars, m.calendar)
+    return ingest.completeness(m.bars, m.bars.where(F.col("symbol") == "S1"))
 
 
 @query
@@ -317,12 +345,8 @@ def feature_mart(m: Inputs) -> DataFrame:
 
 @query
 def lag_ratio_features(m: Inputs) -> DataFrame:
-    train, check = features.split_at(m.relative, inputs.LAST_TRAIN)
-    parts = [
-        features.lag_ratio_points(rows, RATIO_WINDOW, RATIO_COACH).withColumn("part", F.lit(name))
-        for name, rows in [("train", train), ("check", check)]
-    ]
-    return rounded(checksums(parts[0].unionByName(parts[1])))
+    marked = features.marked_at(m.relative, inputs.LAST_TRAIN)
+    return rounded(checksums(features.lag_ratio_points(marked, RATIO_WINDOW, RATIO_COACH, "part")))
 
 
 @query
@@ -358,9 +382,7 @@ def time_split(m: Inputs) -> DataFrame:
     points = features.forward_labels(m.rated, MART_WINDOW, MART_COACH)
     span = inputs.OPEN_SPAN
     within = features.in_span(points, span.start, D(2001, 6, 1)).select(*LABEL_COLUMNS)
-    train = features.train_rows(within, span.train_end).withColumn("part", F.lit("train"))
-    check = features.check_rows(within, span.check_start).withColumn("part", F.lit("check"))
-    return rounded(train.unionByName(check))
+    return rounded(features.in_parts(within, span.train_end, span.check_start))
 
 
 @query
@@ -374,34 +396,32 @@ def buy_hold_baseline(m: Inputs) -> DataFrame:
 
 @query
 def prediction_enrichment(m: Inputs) -> DataFrame:
-    return rounded(m.enriched)
+    return rounded(m.stored.enriched)
 
 
 @query
 def prediction_prices(m: Inputs) -> DataFrame:
-    return rounded(evaluate.with_prices(m.held, m.bars, m.benchmark))
+    return rounded(evaluate.with_prices(m.stored.held, m.stored.bars, m.stored.benchmark))
 
 
 @query
 def precision_sweep(m: Inputs) -> DataFrame:
-    return rounded(evaluate.precision_sweep(m.enriched, SWEEP))
+    return rounded(evaluate.precision_sweep(m.stored.enriched, SWEEP))
 
 
 @query
 def label_violations(m: Inputs) -> DataFrame:
-    return evaluate.label_violations(m.enriched)
+    """Labels of the 13th of a month are set to 1, so that some are wrong."""
+    forced = F.when(F.dayofmonth("date2") == 13, 1).otherwise(F.col("label"))
+    return evaluate.label_violations(m.stored.enriched.withColumn("label", forced))
 
 
 @query
 def top_predictions(m: Inputs) -> DataFrame:
     """The 100 best and worst by forward ratio, which stands in for a prediction."""
     scored = m.held.select("symbol", "date2", F.col("act_diff").alias("prediction"), "label")
-    ties = ("symbol", "date2")
-    best = evaluate.top_predictions(scored, "prediction", 100, *ties)
-    worst = evaluate.bottom_predictions(scored, "prediction", 100, *ties)
-    return rounded(
-        best.withColumn("end", F.lit("top")).unionByName(worst.withColumn("end", F.lit("bottom")))
-    )
+    stored = storage.materialize(scored, "scored")
+    return rounded(evaluate.both_ends(stored, "prediction", 100, "symbol", "date2", "label"))
 
 
 @query
@@ -411,6 +431,7 @@ def open_predictions(m: Inputs) -> DataFrame:
     pending = points.where(F.col("is_labeled") == 0).select(
         "symbol", "date2", "is_labeled", q(F.col("adx") / 100).alias("prob")
     )
+    pending = storage.materialize(pending, "pending")  # a few rows a symbol, read twice
     last = pending.agg(F.max("date2")).scalar()
     return evaluate.open_predictions(pending, last).limit(10)
 
@@ -426,6 +447,14 @@ def regression_errors(m: Inputs) -> DataFrame:
 # --- models
 
 
+@query
+def label_feature_index(m: Inputs) -> DataFrame:
+    """Place of each label and, for each feature, its categories if it has few values."""
+    points = features.mart_features(m.rated, MART_WINDOW, MART_COACH).select(*LABEL_COLUMNS, "features")
+    stored = storage.materialize(models.as_vectors(points), "points")
+    return models.indexes_of(features.in_span(stored, inputs.OPEN_SPAN.start, inputs.OPEN_SPAN.end))
+
+
 @query
 def tree_classifier_scores(m: Inputs) -> DataFrame:
     return _scores(m, "tree")
@@ -436,6 +465,11 @@ def forest_classifier_scores(m: Inputs) -> DataFrame:
     return _scores(m, "forest")
 
 
+@query
+def logistic_classifier_scores(m: Inputs) -> DataFrame:
+    return _scores(m, "logistic")
+
+
 def _scores(m: Inputs, kind: str) -> DataFrame:
     # Training reads the points several times: they are stored, as vectors, first.
     points = features.mart_features(m.rated, MART_WINDOW, MART_COACH)
@@ -443,18 +477,21 @@ def _scores(m: Inputs, kind: str) -> DataFrame:
         models.as_vectors(points.select(*LABEL_COLUMNS, "features")), "points"
     )
     scored = models.classify(stored, inputs.OPEN_SPAN, kind)
-    return scored.select(*LABEL_COLUMNS, "prob", "prediction")
+    # The learned probabilities differ between engines; that they are probabilities of the predicted label doesn't.
+    agrees = (F.col("prob") >= 0.5) == (F.col("predicted_label") == 1)
+    return rounded(scored.select(*LABEL_COLUMNS, F.col("prob").between(0, 1).alias("is_probability"), (agrees | (F.col("prob") == 0.5)).alias("agrees")))
 
 
 @query
 def gbt_regression_errors(m: Inputs) -> DataFrame:
-    train, check = (
-        storage.materialize(models.as_vectors(features.lag_ratio_points(part, 10, 5)), name)
-        for part, name in zip(
-            features.split_at(m.relative, inputs.LAST_TRAIN), ["train", "check"], strict=True
-        )
-    )
-    return evaluate.squared_errors(models.regress(train, check, max_iter=5, max_depth=4))
+    """Fifty trees of depth ten over 180 ratios; the error itself is learned, the rest is fixed."""
+    marked = features.marked_at(m.relative, inputs.LAST_TRAIN)
+    points = models.as_vectors(features.lag_ratio_points(marked, RATIO_WINDOW, RATIO_COACH, "part"))
+    stored = storage.materialize(points, "lag_points")
+    train, check = (stored.where(F.col("part") == name) for name in ("train", "check"))
+    scored = storage.materialize(models.regress(train, check).select(*NAIVE_COLUMNS, "prediction"), "regressed")
+    errors = evaluate.squared_errors(scored).crossJoin(scored.agg(F.count("prediction").alias("scored")))
+    return errors.select("scored", q("naive_mse").alias("naive_mse"), (F.col("mse") >= 0).alias("has_mse"))
 
 
 @query
@@ -480,26 +517,70 @@ def libsvm_roundtrip(m: Inputs) -> DataFrame:
 
 @query
 def partition_overwrite(m: Inputs) -> DataFrame:
-    """Two partitions of bars; the second is replaced and the first stays."""
-    path = storage.scratch_path(m.spark, "partitions")
+    """Two partitions of a table of bars; the second is replaced and the first stays."""
     late = market.bars(m.spark, m.folder, since=inputs.HISTORY_UNTIL)
-    tables.write_partition(m.history, path, "early")
-    tables.write_partition(late, path, "late")
-    tables.write_partition(late.withColumn("volume", F.col("volume") + 1), path, "late")
-    return rounded(m.spark.read.orc(path), 6)
+    with _table(m.spark) as name:
+        tables.write_partition(m.history, name, "early")
+        tables.write_partition(late, name, "late")
+        tables.write_partition(late.withColumn("volume", F.col("volume") + 1), name, "late")
+        return rounded(storage.materialize(m.spark.read.table(name), "partitions"), 6)
 
 
 @query
 def table_append(m: Inputs) -> DataFrame:
     """Two spans of predictions appended to one ORC table."""
-    name, path = "buy_and_hold_rows", storage.scratch_path(m.spark, "appended")
     points = features.forward_labels(m.rated, HOLD_WINDOW, HOLD_COACH, unlabeled=-1)
     stored = storage.materialize(points.select(*LABEL_COLUMNS), "labels")
-    m.spark.sql(f"DROP TABLE IF EXISTS {name}")
-    for span in inputs.SPANS:
-        rows = models.buy_and_hold(stored, [span])
-        tables.write_table(rows, name, overwrite=False, path=path)
-    return rounded(m.spark.read.orc(path))
+    with _table(m.spark) as name:
+        for span in inputs.SPANS:
+            tables.write_table(models.buy_and_hold(stored, [span]), name, overwrite=False)
+        return rounded(storage.materialize(m.spark.read.table(name), "appended"))
+
+
+@query
+def table_bootstrap(m: Inputs) -> DataFrame:
+    """An empty table of bars is made, scanned, filled by a merge and scanned again."""
+    with _table(m.spark) as name:
+        present = landing.ensure_table(m.spark, name, schemas.BAR)
+        before = present.count()
+        tables.replace_table(ingest.merge_bars(present, m.delta), name)
+        rows = storage.materialize(landing.read_table(m.spark, name), "bootstrap")
+        return rounded(rows.withColumn("rows_before", F.lit(before)), 6)
+
+
+@query
+def table_copy(m: Inputs) -> DataFrame:
+    """Universe replaced in a fixed number of files and copied to another table; both in one result."""
+    with _table(m.spark) as source, _table(m.spark) as target:
+        tables.replace_table(m.universe, source, files=3)
+        tables.copy_table(m.spark, source, target)
+        stored = m.spark.read.table(source)
+        files = F.lit(len(stored.inputFiles()) <= 3).alias("few_files")
+        both = stored.select("*", files, F.lit("source").alias("part")).unionByName(
+            m.spark.read.table(target).select("*", files, F.lit("copy").alias("part"))
+        )
+        return storage.materialize(both, "copies")
+
+
+@query
+def table_ddl(m: Inputs) -> DataFrame:
+    """The schema of the bars as column definitions, with which a table is made and read as a view."""
+    with _table(m.spark) as name:
+        m.spark.sql(f"CREATE TABLE {name} ({tables.ddl(m.bars)}) USING parquet")
+        m.bars.write.mode("append").insertInto(name)
+        view = tables.name_view(storage.materialize(m.spark.read.table(name), "made"), f"{name}_view")
+        by_name = m.spark.sql(f"SELECT symbol, count(*) AS bars, max(date) AS last FROM {name}_view GROUP BY symbol")
+        return by_name.withColumn("columns", F.lit(tables.ddl(view)))
+
+
+@contextmanager
+def _table(spark: SparkSession) -> Iterator[str]:
+    """A table name that nobody else has; the table is dropped at the end."""
+    name = f"barloom_{uuid.uuid4().hex}"
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

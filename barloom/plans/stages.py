@@ -8,6 +8,7 @@ bucketed and sorted, so that the window passes of later stages need no exchange.
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,9 @@ PREDICTIONS, HELD, EVALUATED, PUBLISHED = (
     "predictions",
 )
 
+REGRESSED, REGRESSED_ENDS = "check_diff", "check_diff_ends"
+RISING, BREADTH, PRICED = "points_rising", "breadth", "check_pred_price"
+
 CLASSIFIER_SPAN = Span(D(2000, 4, 1), D(2015, 4, 1), D(2015, 4, 1), None)
 HOLD_SPANS = [
     Span(D(2000, 10, 1), D(2015, 10, 1), D(2015, 10, 1), D(2016, 4, 1)),
@@ -83,6 +87,7 @@ class Stages:
         self.buckets = buckets
 
     def table(self, name: str) -> DataFrame:
+        tables.recover(self.spark, name)
         return self.spark.read.table(name)
 
     def _replace(self, name: str, df: DataFrame) -> None:
@@ -114,8 +119,7 @@ class Stages:
 
     def merge(self) -> None:
         merged = ingest.merge_bars(self.table(BARS), self.table(DELTA))
-        # Written elsewhere first: the merge reads the table it replaces.
-        self._replace(BARS, materialize(merged, BARS))
+        self._replace(BARS, merged)  # written once, beside the table it reads
 
     def check(self) -> bool:
         """Whether few enough symbols lack bars of the calendar."""
@@ -176,26 +180,68 @@ class Stages:
     # --- models
 
     def learn(
-        self, window: int = 30, coach: int = 1, span: Span = CLASSIFIER_SPAN, kind: str = "tree"
+        self,
+        window: int = 30,
+        coach: int = 1,
+        spans: Sequence[Span] = (CLASSIFIER_SPAN,),
+        kind: str = "tree",
     ) -> DataFrame:
-        """Train and score a span; the scores are appended to the predictions."""
+        """Train and score spans; their scores replace the predictions of the run before."""
         points = features.mart_features(self.table(MART), window, coach)
         stored = materialize(models.as_vectors(points), "points")
-        tables.write_table(models.classify(stored, span, kind), PREDICTIONS, overwrite=False)
+        for k, span in enumerate(spans):
+            tables.write_table(models.classify(stored, span, kind), PREDICTIONS, overwrite=k == 0)
         return self.table(PREDICTIONS)
 
-    def publish(self, path: str, date: datetime.date, k: int = 10) -> DataFrame:
-        """Store the open predictions of a date as its partition; return the best."""
+    def publish(self, date: datetime.date, k: int = 10) -> DataFrame:
+        """Store the open predictions of a date as its partition of the published table; return the best."""
         current = evaluate.open_predictions(self.table(PREDICTIONS), date)
-        tables.write_partition(current, path, date.isoformat())
+        tables.write_partition(current, PUBLISHED, date.isoformat())
         return current.limit(k)
 
+    def regress(
+        self,
+        path: str,
+        last_train: datetime.date,
+        window: int = 180,
+        coach: int = 30,
+        k: int = 100,
+        max_iter: int = 50,
+        max_depth: int = 10,
+    ) -> DataFrame:
+        """Lag-ratio regression: points stored as libsvm text and scanned again, trees, both ends, errors.
+
+        Writes the scores and their ``k`` best and worst; returns the two mean squared errors.
+        """
+        points = features.lag_ratio_points(
+            features.marked_at(self.table(RELATIVE), last_train), window, coach, "part"
+        )
+        stored = materialize(models.as_vectors(points), "lag_points")
+        parts = []
+        for part in ("train", "check"):
+            rows = stored.where(F.col("part") == part)
+            tables.write_labeled_points(rows, f"{path}/{part}")
+            parts.append(landing.read_labeled_points(self.spark, f"{path}/{part}", width=window))
+        scored = models.regress(*parts, max_iter=max_iter, max_depth=max_depth)
+        self._replace(REGRESSED, scored.select("label", "prediction"))
+        self._replace(REGRESSED_ENDS, evaluate.both_ends(self.table(REGRESSED), "prediction", k, "label"))
+        return evaluate.squared_errors(self.table(REGRESSED))
+
+    def rise(self, fast: int = 8, slow: int = 20, window: int = 60, coach: int = 3) -> None:
+        """Classification points over the stored ratio of averages."""
+        ratio = self.table(ratio_table(fast, slow)).withColumnRenamed("mat_dual", "close")
+        self._replace(RISING, features.rising_points(ratio, window, coach))
+
+    def breadth(self, bars_back: int = 5) -> None:
+        """How many symbols rose and fell over some bars, each day."""
+        self._replace(BREADTH, indexes.breadth_over(self.table(RELATIVE), bars_back))
+
     def hold(self, window: int = 60, coach: int = 4, spans: list[Span] = HOLD_SPANS) -> None:
         points = features.forward_labels(self.table(MART), window, coach, unlabeled=-1)
         tables.write_table(models.buy_and_hold(points, spans), HELD)
 
     def evaluate(self, predictions: str = PREDICTIONS, cells: list[Cell] = SWEEP) -> DataFrame:
-        """Write the enriched predictions and return the precision sweep over them."""
+        """Write the enriched and the priced predictions and return the precision sweep over them."""
         relative = self.table(RELATIVE)
         enriched = evaluate.enrich(
             self.table(predictions),
@@ -205,6 +251,10 @@ class Stages:
             indexes.breadth_over(relative),
         )
         self._replace(EVALUATED, enriched)
+        priced = evaluate.with_prices(
+            self.table(predictions), self.table(BARS), self.table(BENCHMARK_TABLE)
+        )
+        self._replace(PRICED, priced)
         stored = self.table(EVALUATED)
         if evaluate.label_violations(stored).first()["violations"]:
             raise ValueError("predictions are labelled 1 although the relative close fell")

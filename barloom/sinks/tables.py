@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom import storage
+
+#: What a table is called while its next rows are written.
+BESIDE = "__next"
+
 
 def in_files(df: DataFrame, files: int | None) -> DataFrame:
     """Spread the rows evenly over ``files`` output files (a round-robin exchange)."""
@@ -19,37 +26,75 @@ def replace_table(
     files: int | None = None,
     buckets: int | None = None,
 ) -> None:
-    """Replace the whole table. It must not be one that ``df`` reads.
+    """Replace the whole table; ``df`` may read it.
 
-    ``buckets`` lays the rows out by ``symbol``, sorted by date, so that window
-    passes over the table need no exchange.
+    The rows are written once, to a table beside it (or a version folder below ``path``),
+    which then takes the table's name; a write that fails leaves the old table as it was.
+    ``buckets`` lays the rows out by ``symbol``, sorted by date, so that window passes over
+    the table need no exchange; the number of files follows from it.
     """
+    if buckets is not None and files is not None:
+        raise ValueError("give either the number of files or that of buckets")
     if buckets is not None:
         # One task per bucket: otherwise every task writes a file for every bucket.
         df = df.repartition(buckets, "symbol")
-    writer = in_files(df, files).write.format(fmt).mode("overwrite")
+    writer = in_files(df, files).write.format(fmt)
     if buckets is not None:
         writer = writer.bucketBy(buckets, "symbol").sortBy("symbol", "date")
-    (writer.option("path", path) if path else writer).saveAsTable(name)
+    _switched(df.sparkSession, writer, name, path)
+
+
+def _switched(spark: SparkSession, writer, name: str, path: str | None = None) -> None:
+    """Write under another name, then give it the table's name and drop what had it."""
+    recover(spark, name)
+    beside = f"{name}{BESIDE}"
+    spark.sql(f"DROP TABLE IF EXISTS {beside}")
+    old = _location(spark, name) if path else None
+    if path:
+        writer = writer.option("path", f"{path}/{uuid.uuid4().hex}")
+    writer.mode("overwrite").saveAsTable(beside)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {beside} RENAME TO {name.rpartition('.')[2]}")
+    if old and old.startswith(path):
+        storage.remove(spark, old)
+
+
+def recover(spark: SparkSession, name: str) -> None:
+    """Finish a switch that ended between its two steps: the new rows are whole by then."""
+    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(f"{name}{BESIDE}"):
+        spark.sql(f"ALTER TABLE {name}{BESIDE} RENAME TO {name.rpartition('.')[2]}")
+
+
+def _location(spark: SparkSession, name: str) -> str | None:
+    if not spark.catalog.tableExists(name):
+        return None
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"] if rows else None
 
 
 def write_table(
     df: DataFrame, name: str, overwrite: bool = True, fmt: str = "orc", path: str | None = None
 ) -> None:
     """ORC table: replaced with the schema of ``df``, or appended to."""
-    writer = df.write.format(fmt).mode("overwrite" if overwrite else "append")
+    if overwrite:
+        _switched(df.sparkSession, df.write.format(fmt), name, path)
+        return
+    writer = df.write.format(fmt).mode("append")
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
-def write_partition(df: DataFrame, path: str, value: str, fmt: str = "orc") -> None:
-    """Replace the partition ``par=value`` below ``path``; the other partitions stay."""
-    (
-        df.withColumn("par", F.lit(value))
-        .write.format(fmt)
-        .partitionBy("par")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .save(path)
+def write_partition(df: DataFrame, name: str, value: str, fmt: str = "orc") -> None:
+    """Replace the partition ``par=value`` of a partitioned table, made if it does not exist; the others stay."""
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        empty = df.withColumn("par", F.lit(value)).limit(0)
+        empty.write.format(fmt).partitionBy("par").saveAsTable(name)
+    columns = [c for c in spark.read.table(name).columns if c != "par"]
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    names = ", ".join(f"`{c}`" for c in columns)
+    spark.sql(
+        f"INSERT OVERWRITE TABLE {name} PARTITION (par = '{escaped}') SELECT {names} FROM {{rows}}",
+        rows=df.select(*columns),
     )
 
 
@@ -74,7 +119,8 @@ def write_daily_feed(bars: DataFrame, path: str) -> None:
         F.col("volume").alias("Volume"),
         F.col("adjclose").alias("AdjClose"),
     )
-    feed.write.mode("overwrite").option("header", True).partitionBy("symbol").csv(path)
+    # A symbol's rows meet in one task, which writes its file; otherwise every task writes one for every symbol.
+    feed.repartition("symbol").write.mode("overwrite").option("header", True).partitionBy("symbol").csv(path)
 
 
 def write_universe(universe: DataFrame, path: str) -> None:

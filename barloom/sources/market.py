@@ -12,11 +12,12 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Order, line and part number as one decimal. Lines of an order stay below 10^6
-# and part numbers below 10^12.
+# Order, line and part number as one decimal. Lines of an order stay below 10^6 and
+# part numbers below 10^12; larger ones fail the job.
 KEY = "decimal(19,0)"
 LINE_STEP = 10**12
 ORDER_STEP = 10**18
+LINE_LIMIT = 10**6
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,7 +48,11 @@ def bars(
     one decimal: fixed-width aggregate state lets Spark hash the lines into days
     instead of sorting them, and the numeric key is cheaper than the label.
     """
-    packed = F.col("l_orderkey").cast(KEY) * F.lit(ORDER_STEP).cast(KEY) + (
+    fits = (F.col("l_linenumber") < LINE_LIMIT) & (F.col("l_partkey") < LINE_STEP)
+    checked = F.when(fits, F.col("l_orderkey")).otherwise(
+        F.raise_error(F.lit("a line or part number does not fit the packed key"))
+    )
+    packed = checked.cast(KEY) * F.lit(ORDER_STEP).cast(KEY) + (
         F.col("l_linenumber") * F.lit(LINE_STEP) + F.col("l_partkey")
     ).cast(KEY)
     lines = _days(table(spark, folder, "lineitem"), "l_shipdate", since, before).select(

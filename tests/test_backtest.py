@@ -73,3 +73,23 @@ def test_window_and_join_forms_agree(spark):
 def test_windows_must_be_in_order(spark):
     with pytest.raises(ValueError):
         backtest.crossover(frame(spark, random_walk("A", 5)), 20, 20)
+
+
+@pytest.mark.parametrize("bad", [0.0, None])
+def test_a_close_of_nothing_keeps_the_shares(spark, bad):
+    closes = [1.0, 2.0, bad, 4.0, 4.0]
+    rows = [("AAA", day(f"2016-01-0{d + 1}"), c, 2.0 if 0 < d < 4 else 1.0, 1.5) for d, c in enumerate(closes)]
+    pairs = spark.createDataFrame(rows, "symbol string, date date, close double, mat1 double, mat2 double")
+    trades = backtest.ledger(pairs).orderBy("date").collect()
+    assert [r["signal"] for r in trades] == [0, 1, 0, 0, 2]
+    assert [r["stock"] for r in trades] == pytest.approx([0, 5000, 5000, 5000, 0])
+    assert [r["net"] for r in trades] == pytest.approx([10000, 10000, 0 if bad == 0 else 10000, 20000, 20000])
+    assert trades[-1]["cash"] == pytest.approx(20000)
+
+
+def test_trades_wait_for_a_price(spark):
+    rows = [("AAA", day(f"2016-01-0{d + 1}"), c, m, 1.5) for d, (c, m) in enumerate([(1.0, 1.0), (0.0, 2.0), (2.0, 2.0), (None, 1.0), (3.0, 1.0)])]
+    pairs = spark.createDataFrame(rows, "symbol string, date date, close double, mat1 double, mat2 double")
+    trades = backtest.ledger(pairs).orderBy("date").collect()
+    assert [r["signal"] for r in trades] == [0, 0, 1, 0, 2]
+    assert trades[-1]["net"] == pytest.approx(15000)

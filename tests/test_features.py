@@ -38,6 +38,24 @@ def test_known_lag_ratio_points(spark):
     )
 
 
+@pytest.mark.parametrize("bad", [0.0, None])
+def test_vectors_keep_their_length_beside_an_undefined_ratio(spark, bad):
+    rows = [("AAA", day(f"2014-12-{d}"), bad if d == 15 else 1.0 + d / 10) for d in range(10, 30)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double")
+    points = features.lag_ratio_points(bars, 5, 2).collect()
+    assert points and all(len(p["features"]) == 5 and None not in p["features"] for p in points)
+    # Bars 15 to 20 have an undefined ratio in their window, 13 an undefined label.
+    days = {p["date"].day for p in points}
+    assert not days & {*range(16, 21)} and {21, 22} <= days
+
+
+def test_split_series_are_those_of_split_bars(spark):
+    marked = features.lag_ratio_points(features.marked_at(closes(spark), day("2014-12-31")), 5, 2, "part")
+    for name, rows in zip(["train", "check"], features.split_at(closes(spark), day("2014-12-31")), strict=True):
+        expected = features.lag_ratio_points(rows, 5, 2).collect()
+        assert sorted(marked.where(f"part = '{name}'").drop("part").collect()) == sorted(expected)
+
+
 def test_rising_points_are_strict(spark):
     points = features.rising_points(closes(spark), 2, 1).orderBy("date").collect()
     assert [p["label"] for p in points] == [1.0] * 16 + [0.0, 0.0]

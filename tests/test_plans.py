@@ -17,12 +17,19 @@ FOLDER = "/root/testdata/sf0.001"
 BUILT = {
     "tree_classifier_scores",
     "forest_classifier_scores",
+    "logistic_classifier_scores",
+    "label_feature_index",
     "gbt_regression_errors",
     "table_append",
+    "table_bootstrap",
+    "table_copy",
+    "table_ddl",
     "partition_overwrite",
     "libsvm_roundtrip",
     "ledger_export",
+    "landed_new_bars",
     "benchmark_refresh",
+    "refresh_gate",
 }
 
 
@@ -102,3 +109,36 @@ def test_median_sorts_only_the_middle_cells(data):
     text = plan(indexes.exact_median(values, "date", "v"))
     assert "percentile" not in text and "collect_list" not in text
     assert re.search(r"Window .*\[date#\d+, cell#\d+L?\]", text)
+
+
+def scans(text: str, table: str) -> int:
+    """Scans of a table in a plan; a reused exchange or subquery counts once."""
+    return sum(f"{table}.parquet" in line and "FileScan" in line for line in text.splitlines())
+
+
+@pytest.mark.parametrize("name", ["prediction_enrichment", "prediction_prices", "precision_sweep", "label_violations"])
+def test_evaluations_scan_the_lines_once_before(spark, name):
+    text = plan(REGISTRY[name](Inputs(spark, FOLDER)))
+    assert scans(text, "lineitem") == 0  # they read the stored bars
+    # One look-up join for both dates, whatever other joins there are by day.
+    assert text.count("SortMergeJoin") + text.count("ShuffledHashJoin") <= 1
+
+
+@pytest.mark.parametrize("name", ["time_split", "buy_hold_baseline", "forward_labels"])
+def test_one_series_pass_whatever_the_parts(spark, name):
+    text, rated = plan(REGISTRY[name](Inputs(spark, FOLDER))), plan(Inputs(spark, FOLDER).rated)
+    assert scans(text, "lineitem") == scans(rated, "lineitem") == 1
+    # One more window pass than the rated bars: the labels.
+    assert text.count("Window [") <= rated.count("Window [") + 1
+
+
+def test_lag_ratios_of_both_parts_come_from_one_scan(spark):
+    assert scans(plan(REGISTRY["lag_ratio_features"](Inputs(spark, FOLDER))), "lineitem") == 1
+
+
+def test_directional_index_sorts_by_date_and_by_block_once(data):
+    text = main_plan(REGISTRY["adx"](data))
+    by_date = r"Sort \[symbol#\d+ ASC NULLS FIRST, date#\d+ ASC NULLS FIRST\]"
+    by_block = r"Sort \[symbol#\d+ ASC NULLS FIRST, _block#\d+ ASC NULLS FIRST, date#\d+ ASC NULLS FIRST\]"
+    assert len(re.findall(by_date, text)) == 1
+    assert len(re.findall(by_block, text)) == 1

@@ -46,13 +46,28 @@ def test_append_and_overwrite(spark, bars):
     assert landing.read_table(spark, "orc_bars").columns == ["symbol"]
 
 
-def test_partitions_are_replaced_one_by_one(spark, bars, tmp_path):
-    path = str(tmp_path / "parts")
-    tables.write_partition(bars, path, "2016-05-06")
-    tables.write_partition(bars, path, "2016-05-07")
-    tables.write_partition(bars.limit(3), path, "2016-05-07")
-    counts = {r["par"]: r["count"] for r in spark.read.orc(path).groupBy("par").count().collect()}
-    assert {str(k): v for k, v in counts.items()} == {"2016-05-06": 60, "2016-05-07": 3}
+def test_partitions_are_replaced_one_by_one(spark, bars):
+    name = "daily_parts"
+    tables.write_partition(bars, name, "2016-05-06")
+    tables.write_partition(bars, name, "2016-05-07")
+    tables.write_partition(bars.limit(3), name, "2016-05-07")
+    counts = {r["par"]: r["count"] for r in spark.table(name).groupBy("par").count().collect()}
+    assert counts == {"2016-05-06": bars.count(), "2016-05-07": 3}
+    assert spark.catalog.tableExists(name)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_replaced_table_may_be_read_by_its_replacement(spark, bars, tmp_path):
+    for path in (None, str(tmp_path / "external")):
+        tables.replace_table(bars, "own_rows", path=path)
+        tables.replace_table(spark.table("own_rows").where("volume >= 0"), "own_rows", path=path)
+        assert spark.table("own_rows").count() == bars.count()
+        spark.sql("DROP TABLE own_rows")
+
+
+def test_files_and_buckets_exclude_each_other(bars):
+    with pytest.raises(ValueError):
+        tables.replace_table(bars, "neither", files=2, buckets=4)
 
 
 def test_tsv_and_file_count(spark, bars, tmp_path):
