@@ -3,7 +3,9 @@
 Each host has a reference page, the one with the smallest hash. Every page of the host is
 aligned with it by simple tree matching of the element trees, so that each block of text
 stands in a slot of the reference. A slot's text that most pages of the host have is
-template; slots with varying text are content. What varies but is no article by its markup
+template; slots with varying text are content. In an element that a page marks as its main
+text only what nearly all of many pages have is template (``MAIN_PERCENT``, ``MAIN_PAGES``), so
+that copies of an article on one host don't make it one. What varies but is no article by its markup
 (menus, footers, adverts, comments, forms and the like) is left out by the names of elements,
 and where a page marks its main text, only what is in it counts.
 
@@ -33,6 +35,7 @@ from barloom.llm.dom import Matcher, Tree, parse
 
 MIN_PAGES = 5
 SUPPORT_PERCENT = 80
+MAIN_PAGES, MAIN_PERCENT = 20, 95
 #: Bytes of references and templates that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -125,7 +128,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     totals = counts.groupBy("host", "slot", "digest").agg(F.sum("n").alias("n"))
     constant = totals.join(F.broadcast(made.select("host", "n_pages")) if small else made.select("host", "n_pages"), "host")
     constant = constant.where(100 * F.col("n") >= SUPPORT_PERCENT * F.col("n_pages"))
-    templates = constant.groupBy("host").agg(F.collect_set(F.struct("slot", "digest")).alias("template"))
+    sure = (100 * F.col("n") >= MAIN_PERCENT * F.col("n_pages")) & (F.col("n_pages") >= MAIN_PAGES)
+    templates = constant.groupBy("host").agg(F.collect_set(F.struct("slot", "digest", sure.alias("sure"))).alias("template"))
     wrappers = storage.materialize(made.join(templates, "host").select("host", "reference", "template"), "wrappers")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +143,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 if reference is not None:
                     if key not in known:
                         known.clear()
-                        known[key] = {(x["slot"], x["digest"]) for x in batch.column("template")[i].as_py()}
+                        known[key] = {(x["slot"], x["digest"]): x["sure"] for x in batch.column("template")[i].as_py()}
                     slots = aligner.slots(tree, reference)
-                    template = [(s, _digest(b.text)) in known[key] for b, s in zip(tree.blocks, slots, strict=True)]
+                    hits = [known[key].get((s, _digest(b.text))) for b, s in zip(tree.blocks, slots, strict=True)]
+                    template = [hit is not None and (hit or not b.main) for b, hit in zip(tree.blocks, hits, strict=True)]
                 out.append(main_text(tree, template))
             arrays = [pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *arrays], names=["page_id", "url", "text", "n_chars"])
