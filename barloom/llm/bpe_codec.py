@@ -27,14 +27,14 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = coder(tokenizer)
+        decoder = codec.decoder(library)
         for batch in batches:
             for piece in common.slices(batch, "text"):
                 found = codec.encode(common.filled(piece.column("text")).to_pylist())
                 ids, decoded = [], []
                 for x in map(np.ndarray.tolist, found):
                     ids.append(b" ".join([codec.decimal[i] for i in x]))
-                    # Tokens as they are need no state: the machine's output for each is fixed.
-                    decoded.append(b" ".join([codec.shown[i] for i in x]) if library else codec.decoder().decode(x).encode())
+                    decoded.append((decoder.feed_all(x) + decoder.end()).encode())
                 columns = [pa.array(list(map(len, found)), pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids", "decoded"])
 

@@ -30,7 +30,7 @@ from barloom.llm.gru import WINDOW, Network, train
 
 DOCS, WINDOWS = 300, 16
 #: Languages that one network may tell apart.
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 200
 NONE = "und"
 _SIDE_BY_SIDE = 4096
 _LETTER = re.compile(r"[^\W\d_]")

@@ -134,13 +134,22 @@ class StreamDecoder:
         text = self.state.decode(bytes(self.bytes[c] for c in body))
         return text + " " if self.suffix and token.endswith(self.suffix) else text
 
+    def feed_all(self, ids: list[int]) -> str:
+        """The text that a run of ids adds; tokens as they are need no bytes, only whether one came before."""
+        if not self.library:
+            return "".join(map(self.feed, ids))
+        lead = " " if self.begun and ids else ""
+        self.begun = self.begun or bool(ids)
+        tokens = self.tokens
+        return lead + " ".join([tokens[i] for i in ids])
+
     def end(self) -> str:
         text = self.state.decode(b"", True)
         self.reset()
         return text
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join([*map(self.feed, ids), self.end()])
+        return self.feed_all(list(ids)) + self.end()
 
 
 class WordCoder:
@@ -170,7 +179,6 @@ class WordCoder:
                 lower[c] = ord(chr(c).lower())
         self.lower = lower
         self.decimal = [str(i).encode() for i in range(len(self.tokens))]
-        self.shown = [t.encode() for t in self.tokens]
 
     def _word(self, word: str) -> list[int]:
         return self.transducer.word("".join(self.symbols[b] for b in word.encode()))

@@ -82,6 +82,14 @@ def test_decoder_builds_characters_from_bytes(word_bpe):
     assert coder.decoder().decode(ids).split() == ["héllo", "你好", "wörld"]
 
 
+def test_decoding_in_parts_is_decoding_at_once(word_bpe):
+    coder = WordCoder(word_bpe)
+    ids = coder.encode(["héllo 你好 <|endoftext|> wörld 😀"])[0].tolist()
+    for library in (True, False):
+        whole, parts = coder.decoder(library), coder.decoder(library)
+        assert "".join([parts.feed_all(ids[:3]), *map(parts.feed, ids[3:7]), parts.feed_all(ids[7:]), parts.end()]) == whole.decode(ids)
+
+
 def test_round_trip_operator(spark, awkward, empty, word_bpe):
     out = bpe_codec.round_trip(awkward, word_bpe).collect()
     texts = {(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()}
