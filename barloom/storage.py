@@ -45,4 +45,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the written table."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    written._scratch = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing reads any more."""
+    remove(df.sparkSession, df._scratch)
