@@ -88,7 +88,23 @@ class FakeSession:
 def test_shared_folder_comes_from_the_session():
     named = FakeSession("yarn", {"spark.checkpoint.dir": "hdfs://nn/shared/"})
     assert storage.shared_folder(named) == "hdfs://nn/shared"
-    with pytest.raises(RuntimeError):
-        storage.shared_folder(FakeSession("yarn", {}))
-    local = FakeSession("local[2]", {})
-    assert storage.shared_folder(local) == storage.shared_folder(local)
+    # Where none is named, a folder in the warehouse, which is shared too, whatever the master.
+    for master in ("yarn", "local[2]", "local-cluster[2,1,1024]"):
+        unnamed = FakeSession(master, {"spark.sql.warehouse.dir": "hdfs://nn/warehouse"})
+        assert storage.shared_folder(unnamed) == "hdfs://nn/warehouse/_scratch"
+
+
+def test_scratch_tables_can_be_discarded(spark):
+    stored = storage.materialize(spark.range(5), "numbers")
+    assert stored.count() == 5
+    path = stored._scratch
+    storage.discard(stored)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    assert not jvm.FileSystem.getLocal(spark._jsc.hadoopConfiguration()).exists(jvm.Path(path))
+
+
+def test_numbers_beyond_the_packed_key_fail(spark, tmp_path):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(3)
+    lines.withColumn("l_linenumber", F.lit(10**6).cast("long")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    with pytest.raises(Exception, match="packed key"):
+        market.bars(spark, str(tmp_path)).collect()
