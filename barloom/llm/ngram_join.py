@@ -3,15 +3,16 @@
 A text is the set of its distinct word n-grams, as 64-bit hashes. For a similarity of at least
 t, two sets share a token among the first |x| - ceil(t |x|) + 1 of each, in any global order of
 the tokens. Pairs are found by the prefix of a first order, and must also share tokens in the
-prefixes of two further, independent orders; only then the whole sets are compared, so the
-result is exact. In every order the tokens that are frequent in first prefixes come last
+prefixes of two further, independent orders, and the parities of their tokens in ``PARITIES`` cells
+must not differ in more cells than the sets may differ in tokens; only then the whole sets are
+compared, so the result is exact. In every order the tokens that are frequent in first prefixes come last
 (``HOT_TOKENS`` of them at most, by the threshold that bounds their number), so a passage that
 many texts share forms no candidates by itself. The two filters hold 16 bits of a token, so they
 let some pairs pass that the comparison then rejects, and never reject a pair themselves.
 
 Groups of near copies aren't expanded into all pairs. Equal sets are one class, whose smallest
-id represents it. Of the classes that share a prefix token, each is first compared with the
-smallest one (a star); afterwards, only classes that are not yet connected are compared with
+id represents it. Of the classes that share a prefix token the smallest is a pivot; each class is
+first compared with the pivot it shares most tokens with (a star); afterwards, only classes that are not yet connected are compared with
 each other. No link between two components is lost, whatever the order of the steps. Whole sets
 are made only for the texts of pairs that pass all filters.
 
@@ -35,9 +36,11 @@ from barloom.llm import common
 from barloom.llm.common import mix
 from barloom.llm.components import components
 
-#: Tokens that may be moved to the end of the orders; 8 bytes each are broadcast.
+#: Tokens that may be moved to the end of the orders; 4 bytes each are broadcast.
 HOT_TOKENS = 1 << 20
 HOT_LEAST = 8
+#: Bits of a set's parities: each token flips one, so two sets differ in at least as many tokens as bits.
+PARITIES = 1024
 #: Ids (8 bytes each) that may be broadcast to select texts; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -125,42 +128,50 @@ class Join:
         return storage.materialize(_mapped(self.docs, self.n, schema, make), "sets")
 
     def hot_tokens(self, first: DataFrame) -> np.ndarray:
-        """Tokens in more first prefixes than the threshold, which bounds their number by ``HOT_TOKENS``."""
+        """32 bits of the tokens in more first prefixes than the threshold, which bounds their number by ``HOT_TOKENS``."""
         entries = first.agg(F.sum(F.size("first"))).head()[0] or 0
         least = max(HOT_LEAST, -(-entries // HOT_TOKENS))
-        counts = first.select(F.explode("first").alias("token")).groupBy("token").count()
+        tokens = first.select(F.explode("first").alias("token")).select(F.col("token").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"))
+        counts = tokens.groupBy("token").count()
         hot = counts.where(F.col("count") > least).select("token").toPandas().token
-        return np.sort(hot.to_numpy(np.int64).view(np.uint64))
+        return np.sort(hot.to_numpy(np.uint32))
 
     def prefixes(self, hot: np.ndarray) -> DataFrame:
         """The prefixes in three orders, hot tokens last."""
         percent, shared = self.percent, self.spark.sparkContext.broadcast(hot)
 
         def make(found: list[np.ndarray]) -> list[pa.Array]:
-            hot, sizes, orders = shared.value, [], [[], [], []]
+            hot, sizes, orders, parities = shared.value, [], [[], [], []], []
             for x in found:
                 k = prefix_length(len(x), percent)
                 late = np.zeros(len(x), bool)
                 if len(hot):
-                    late = hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
+                    short = (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    late = hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short
                 early = np.flatnonzero(~late)
                 orders[0].append(_signed(x[np.append(early, np.flatnonzero(late))[:k]]))
                 for order, salt in zip(orders[1:], _ORDERS, strict=True):
                     key = mix(x ^ salt) >> np.uint64(1) | late.astype(np.uint64) << np.uint64(63)
                     order.append(np.unique((np.sort(key)[:k] & np.uint64(0xFFFF)).astype(np.uint16)).view(np.int16))
                 sizes.append(len(x))
-            return [pa.array(sizes, pa.int64()), _lists(orders[0], pa.int64()), *(_lists(o, pa.int16()) for o in orders[1:])]
+                flips = np.bincount((x % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+                parities.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
+            lists = [_lists(orders[0], pa.int64()), *(_lists(o, pa.int16()) for o in orders[1:]), _lists(parities, pa.int64())]
+            return [pa.array(sizes, pa.int64()), *lists]
 
-        schema = "doc_id long, size long, first array<bigint>, second array<smallint>, third array<smallint>"
+        schema = "doc_id long, size long, first array<bigint>, second array<smallint>, third array<smallint>, parity array<bigint>"
         return _mapped(self.docs, self.n, schema, make)
 
     def links(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
         """The pairs ``a``, ``b`` that pass the further orders and then the comparison of their sets."""
         percent = self.percent
         for side in ("a", "b"):
-            pairs = pairs.join(prefixes.select(F.col("doc_id").alias(side), F.col("second").alias(f"{side}2"), F.col("third").alias(f"{side}3")), side)
-        pairs = pairs.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-        pairs = storage.materialize(pairs, "pairs")
+            own = {"size": "n", "second": "2", "third": "3", "parity": "p"}
+            pairs = pairs.join(prefixes.select(F.col("doc_id").alias(side), *(F.col(k).alias(side + v) for k, v in own.items())), side)
+        apart = F.aggregate(F.zip_with("ap", "bp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+        few_apart = apart * (100 + percent) <= (100 - percent) * (F.col("an") + F.col("bn"))
+        pairs = pairs.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3") & few_apart).select("a", "b")
+        pairs = kept = storage.materialize(pairs, "pairs")
         ids = storage.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
         make = lambda found: [pa.array([x.tobytes() for x in found], pa.binary())]
         chosen = self.docs.join(few(ids), "doc_id", "left_semi")
@@ -178,14 +189,20 @@ class Join:
                     flags.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(flags, pa.bool_()))
 
-        return pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(verified, "a long, b long")
+        found = pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(verified, "a long, b long")
+        found = storage.materialize(found, "links")
+        for used in (kept, ids, whole):
+            storage.discard(used)
+        return found
 
     def run(self) -> DataFrame:
-        docs = self.sets()
+        wide = self.sets()
+        hot = self.hot_tokens(wide.select("first"))
+        docs = storage.materialize(wide.drop("first"), "digests")
+        storage.discard(wide)
         classes = docs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
         classes = storage.materialize(classes, "classes")
         reps = classes.select(F.col("rep").alias("doc_id"))
-        hot = self.hot_tokens(docs.select("first"))
 
         prefixes = self.prefixes(hot).join(few(reps), "doc_id", "left_semi")
         prefixes = storage.materialize(prefixes, "prefixes")
@@ -195,8 +212,11 @@ class Join:
         shared = storage.materialize(entries.join(groups, "token"), "shared_tokens")
 
         star = shared.where((F.col("doc_id") != F.col("pivot.doc_id")) & _similar("size", "pivot.size", self.percent))
-        star = star.select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        links = storage.materialize(self.links(star, prefixes), "star_links")
+        # Each with the one smallest class that it shares most tokens with; the other pairs are looked at below.
+        star = star.groupBy(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).count()
+        star = star.groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("best"))
+        star = star.select((-F.col("best.col2")).alias("a"), "b")
+        links = self.links(star, prefixes)
         labels = components(links)
 
         # What shares a token and is not connected yet.
@@ -208,9 +228,11 @@ class Join:
         right = open_.select("token", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label"))
         apart = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & _similar("a_size", "b_size", self.percent)
         cross = left.join(right, "token").where(apart).select("a", "b").distinct()
-        more = storage.materialize(self.links(cross, prefixes), "cross_links")
+        more = self.links(cross, prefixes)
         if more.head(1):
             labels = components(links.union(more))
+        for used in (prefixes, shared, open_):
+            storage.discard(used)
 
         found = docs.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
         found = found.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
