@@ -8,6 +8,11 @@ are compared along that alignment in both directions. Lines that repeat an earli
 run of at least ``gram`` lines are deleted. What a line repeats is always earlier, so one copy of
 everything stays.
 
+A line of ``long_words`` words or more is a passage of its own: its hash is a fingerprint
+besides those of winnowing, so it is found alone between other neighbours and as a whole
+document, runs with it are found whatever winnowing chooses, and it is deleted where it repeats
+an earlier place, in a run or not. None leaves long lines to the runs.
+
 First places are found by an aggregation that combines before the shuffle, and places join
 first places, not each other: a run that a third of all documents share costs one row for each
 place. All fingerprints of one alignment are one row before the lines are compared.
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from barloom import storage
 
 GRAM, WINDOW = 2, 2
+#: Words from which a line counts as a passage of its own.
+LONG_WORDS = 50
 #: Bytes that may be broadcast after a check of the size; what is larger is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -61,16 +68,36 @@ def _fingerprints(lines: DataFrame, gram: int, window: int) -> DataFrame:
     return chosen.select(F.element_at("g", F.col("at") + 1).alias("gram_hash"), "doc", "at")
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def _long_prints(lines: DataFrame) -> DataFrame:
+    """The same columns for long lines, by hashes that those of grams don't meet (they are negative)."""
+    places = F.filter(F.transform("long", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    chosen = lines.select("doc", "h", F.explode(places).alias("at"))
+    return chosen.select((-1 - F.element_at("h", F.col("at") + 1)).alias("gram_hash"), "doc", "at")
+
+
+def repeated_lines(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, long_words: int | None = LONG_WORDS
+) -> DataFrame:
     """``doc`` (id and text's MD5) and ``deleted``: the places among all of a document's lines (from 0) to delete."""
     doc = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("md5"))
     numbered = F.transform(split_lines(text_col), lambda x, i: F.struct(i.alias("place"), x.alias("line")))
     filled = F.filter(numbered, lambda x: F.trim(x["line"]) != "")
-    hashed = F.transform(filled, lambda x: F.struct(x["place"].alias("place"), short_hash(x["line"]).alias("h")))
-    lines = df.select(doc.alias("doc"), hashed.alias("x")).where(F.size("x") >= gram).dropDuplicates(["doc"])
-    lines = storage.materialize(lines.select("doc", F.col("x.place").alias("place"), F.col("x.h").alias("h")), "lines")
 
-    prints = storage.materialize(_fingerprints(lines, gram, window), "fingerprints")
+    def is_long(line: Column) -> Column:
+        if long_words is None:
+            return F.lit(False)
+        # A line of fewer characters than that many words and the blanks between them isn't split.
+        return (F.length(line) >= 2 * long_words - 1) & (F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")) >= long_words)
+
+    hashed = F.transform(filled, lambda x: F.struct(x["place"].alias("place"), short_hash(x["line"]).alias("h"), is_long(x["line"]).alias("long")))
+    lines = df.select(doc.alias("doc"), hashed.alias("x")).where((F.size("x") >= gram) | F.exists("x.long", lambda x: x)).dropDuplicates(["doc"])
+    lines = lines.select("doc", F.col("x.place").alias("place"), F.col("x.h").alias("h"), F.col("x.long").alias("long"))
+    lines = storage.materialize(lines, "lines")
+
+    prints = _fingerprints(lines, gram, window)
+    if long_words is not None:
+        prints = prints.unionByName(_long_prints(lines))
+    prints = storage.materialize(prints, "fingerprints")
     first = prints.groupBy("gram_hash").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     pairs = prints.join(first.drop("n"), "gram_hash").where(F.struct("doc", "at") != F.col("first"))
     aligned = pairs.select("doc", F.col("first.doc").alias("source"), (F.col("at") - F.col("first.at")).alias("shift")).distinct()
@@ -83,7 +110,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a, b, shift = F.col("a"), F.col("b"), F.col("shift")
     low, high = F.greatest(F.lit(1), 1 + shift), F.least(F.size(a), F.size(b) + shift)
     same = F.transform(F.sequence(low, high), lambda i: F.element_at(a, i.cast("int")) == F.element_at(b, (i - shift).cast("int")))
-    both = both.where(low <= high).select("doc", "place", low.alias("low"), same.alias("same"))
+    both = both.where(low <= high).select("doc", "place", "long", low.alias("low"), same.alias("same"))
     e = F.col("same")
 
     def in_run(x: Column, i: Column) -> Column:
@@ -94,17 +121,22 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.exists(starts, lambda s: F.forall(F.slice(e, s, gram), lambda y: y)),
         ).otherwise(False)
 
-    marked = F.transform(e, lambda x, i: F.when(in_run(x, i), F.element_at("place", (F.col("low") + i).cast("int"))))
+    def at(name: str, i: Column) -> Column:
+        return F.element_at(name, (F.col("low") + i).cast("int"))
+
+    marked = F.transform(e, lambda x, i: F.when(in_run(x, i) | x & at("long", i), at("place", i)))
     places = both.select("doc", F.explode(marked).alias("p")).where("p is not null").distinct()
     return places.groupBy("doc").agg(F.sort_array(F.collect_list("p")).alias("deleted"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, long_words: int | None = LONG_WORDS
+) -> DataFrame:
     """``df`` with the text without its repeated lines, ``n_lines`` (not blank) and ``n_deleted``.
 
     A null text stays null. Extra columns of the two names give way to the counts.
     """
-    deleted = storage.materialize(repeated_lines(df, id_col, text_col, gram, window), "deleted_lines")
+    deleted = storage.materialize(repeated_lines(df, id_col, text_col, gram, window, long_words), "deleted_lines")
     deleted = deleted.select(F.col("doc").alias("_doc"), F.col("deleted").alias("_deleted"))
     doc = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("md5"))
     rows = df.drop("n_lines", "n_deleted").withColumn("_doc", doc)

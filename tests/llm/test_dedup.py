@@ -142,6 +142,38 @@ def test_one_copy_of_every_line_stays(spark):
     assert sum(r.n_deleted for r in out)
 
 
+def repeated_by_brute_force(rows: list, words: int) -> tuple[dict, dict]:
+    """By document: places of long lines that stood earlier, and places of lines in a repeated run of two or more."""
+    texts = {i: t.split("\n") for i, t in rows}
+    every = [(i, k) for i in sorted(texts) for k in range(len(texts[i]))]
+    long, runs = {i: set() for i in texts}, {i: set() for i in texts}
+    for n, (i, k) in enumerate(every):
+        for j, m in every[:n]:
+            if texts[i][k] == texts[j][m]:
+                if len(texts[i][k].split()) >= words:
+                    long[i].add(k)
+                if texts[i][k + 1 : k + 2] and texts[i][k + 1 : k + 2] == texts[j][m + 1 : m + 2]:
+                    runs[i] |= {k, k + 1}
+    return long, runs
+
+
+def test_long_lines_that_stood_earlier_go_alone_or_in_runs(spark):
+    rng = random.Random(9)
+    passages = [prose(500 + k, 60) for k in range(6)]
+    rows = [(1, passages[0]), (2, passages[0]), (3, f"own\n{passages[1]}\nlast"), (4, f"other\n{passages[1]}\nend"), (5, prose(700, 49)), (6, prose(700, 49))]
+    for i in range(7, 45):
+        rows.append((i, "\n".join(rng.choice([rng.choice(passages), f"short {rng.randint(0, 9)}", f"own {i} {k}"]) for k in range(rng.randint(1, 7)))))
+    out = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    long, runs = repeated_by_brute_force(rows, line_dedup.LONG_WORDS)
+    assert out[1] == passages[0] and out[2] == "" and out[4] == "other\nend" and out[5] == out[6] == prose(700, 49)
+    for i, text in rows:
+        lines, kept = text.split("\n"), out[i].split("\n") if out[i] else []
+        sure = [x for k, x in enumerate(lines) if k not in long[i] | runs[i]]
+        assert [x for x in kept if x in sure] == [x for x in lines if x in sure]  # nothing else goes
+        first = [x for k, x in enumerate(lines) if k not in long[i]]
+        assert sum(x in passages for x in kept) == sum(x in passages for x in first)  # and all long copies do
+
+
 def test_every_long_run_of_a_later_document_is_found(spark):
     rows = [(1, "\n".join(f"a{i}" for i in range(30)))]
     rows += [(k, "\n".join([f"own{k}", *(f"a{i}" for i in range(k, k + 3)), f"end{k}"])) for k in range(2, 25)]
