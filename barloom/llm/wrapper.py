@@ -6,8 +6,9 @@ stands in a slot of the reference. A slot's text that most pages of the host hav
 template; slots with varying text are content. In an element that a page marks as its main
 text only what nearly all of many pages have is template (``MAIN_PERCENT``, ``MAIN_PAGES``), so
 that copies of an article on one host don't make it one. What varies but is no article by its markup
-(menus, footers, adverts, comments, forms and the like) is left out by the names of elements,
-and where a page marks its main text, only what is in it counts.
+(menus, footers, adverts, comments, forms and the like) is left out by the names of elements.
+On a host with too few pages for a template, and only there, the page's own mark decides: if what
+it marks as its main text is at least half of what is left, the rest is left out.
 
 Slot texts are counted in each batch before they are shuffled, a host with a third of all
 pages is counted in every task, and what joins the pages again is a reference of a few
@@ -74,14 +75,15 @@ def _digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def main_text(tree: Tree, template: list[bool]) -> str:
-    """The blocks that are content, in page order, joined by a line feed."""
+def main_text(tree: Tree, template: list[bool], judged: bool) -> str:
+    """The blocks that are content, in page order, joined by a line feed; ``judged`` if slots tell what is template."""
     kept = [b for b, constant in zip(tree.blocks, template, strict=True) if not b.apart and not constant]
-    if any(b.main for b in kept):
-        kept = [b for b in kept if b.main]
-    else:  # a list of nothing but links is a menu
-        in_list = {b.node: tree.labels[b.node].split(".")[0] == "li" and b.links for b in kept}
-        kept = [b for b in kept if not in_list[b.node]]
+    # Outside marked main text a list of nothing but links is a menu.
+    in_list = {b.node: tree.labels[b.node].split(".")[0] == "li" and b.links and not b.main for b in kept}
+    kept = [b for b in kept if not in_list[b.node]]
+    marked = [b for b in kept if b.main]
+    if not judged and 2 * sum(len(b.text) for b in marked) >= sum(len(b.text) for b in kept):
+        kept = marked
     return "\n".join(b.text for b in kept)
 
 
@@ -130,7 +132,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     constant = constant.where(100 * F.col("n") >= SUPPORT_PERCENT * F.col("n_pages"))
     sure = (100 * F.col("n") >= MAIN_PERCENT * F.col("n_pages")) & (F.col("n_pages") >= MAIN_PAGES)
     templates = constant.groupBy("host").agg(F.collect_set(F.struct("slot", "digest", sure.alias("sure"))).alias("template"))
-    wrappers = storage.materialize(made.join(templates, "host").select("host", "reference", "template"), "wrappers")
+    # A host with enough pages has a row even if none of its slots is constant.
+    wrappers = storage.materialize(large.join(templates, "host", "left").select("host", "reference", "template"), "wrappers")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, known = Aligner(), {}
@@ -143,11 +146,11 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 if reference is not None:
                     if key not in known:
                         known.clear()
-                        known[key] = {(x["slot"], x["digest"]): x["sure"] for x in batch.column("template")[i].as_py()}
+                        known[key] = {(x["slot"], x["digest"]): x["sure"] for x in batch.column("template")[i].as_py() or []}
                     slots = aligner.slots(tree, reference)
                     hits = [known[key].get((s, _digest(b.text))) for b, s in zip(tree.blocks, slots, strict=True)]
                     template = [hit is not None and (hit or not b.main) for b, hit in zip(tree.blocks, hits, strict=True)]
-                out.append(main_text(tree, template))
+                out.append(main_text(tree, template, reference is not None))
             arrays = [pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *arrays], names=["page_id", "url", "text", "n_chars"])
 

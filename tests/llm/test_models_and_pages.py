@@ -130,6 +130,20 @@ def test_page_texts(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_slots_decide_also_where_pages_mark_other_text(spark):
+    story = "<div><h2>Story {n}</h2><p>Long text of the story {n}, told in a plain element.</p></div>"
+    html_ = f"<body><div>Same on all</div>{story}<article>Teaser {{n}}</article></body>"
+    rows = [(n, f"http://many.org/{n}", html_.replace("{n}", str(n))) for n in range(25)]
+    rows += [(100, "http://few.org", html_.replace("{n}", "100")), (101, "http://one.org", f"<p>by the way<article>{story}</article>".replace("{n}", "101"))]
+    # No slot of this host is constant: it is judged all the same.
+    rows += [(200 + n, f"http://vary.org/{n}", f"<body><p>Lead {n}</p><article>The longer text number {n}</article></body>") for n in range(6)]
+    out = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda n: f"Story {n}\nLong text of the story {n}, told in a plain element."
+    assert all(out[n] == f"{text(n)}\nTeaser {n}" for n in range(25))
+    assert out[100] == f"Same on all\n{text(100)}\nTeaser 100" and out[101] == text(101)
+    assert all(out[200 + n] == f"Lead {n}\nThe longer text number {n}" for n in range(6))
+
+
 def test_given_pages_give_their_articles(spark):
     out = {r.page_id: r.text for r in queries.op10_html_extraction(spark, FOLDER).collect()}
     for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect():
