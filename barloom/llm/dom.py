@@ -30,6 +30,8 @@ SCOPE = frozenset("html body table ul ol dl div article section main aside nav h
 #: Elements that never hold a page's main text.
 APART = frozenset("nav aside footer form head button select option dialog menu object canvas audio video map".split()) | RAW
 MAIN = frozenset(("article", "main"))
+#: Elements whose own names don't set them apart.
+WHOLE = MAIN | {"html", "body"}
 #: Words in class, id or role that name such elements.
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|contentinfo|cookie|cookies|"
@@ -75,10 +77,16 @@ class Tree:
 
 
 def parse(page: str) -> Tree:
-    """Elements with forgiving ends (a block ends an open paragraph, an item an open item) and the blocks of text."""
+    """Elements with forgiving ends (a block ends an open paragraph, an item an open item) and the blocks of text.
+
+    An element that holds more than half of the page's text, and all of its marked main text, wraps
+    the page: neither its tag nor its name sets it apart.
+    """
     tree = Tree()
     root = tree.add("#root", -1)
-    stack: list[tuple[str, int, bool, bool]] = [("#root", root, False, False)]  # tag, node, apart, main
+    stack: list[tuple[str, int, int, bool]] = [("#root", root, -1, False)]  # tag, node, innermost element set apart, main
+    outer: dict[int, int] = {-1: -1}  # elements set apart, to the next such element around them
+    within: list[int] = []  # of each block the innermost such element
     text: list[str] = []
     linked: list[bool] = []
     in_link, at = 0, 0
@@ -88,7 +96,8 @@ def parse(page: str) -> Tree:
             body = " ".join(html.unescape("".join(text)).split())
             if body:
                 top = next(x for x in reversed(stack) if x[0] not in INLINE)
-                tree.blocks.append(Block(body, top[1], stack[-1][2], stack[-1][3], all(linked)))
+                tree.blocks.append(Block(body, top[1], False, stack[-1][3], all(linked)))
+                within.append(stack[-1][2])
             text.clear()
             linked.clear()
 
@@ -145,7 +154,9 @@ def parse(page: str) -> Tree:
         node = tree.add(f"{tag}.{names}" if names else tag, parent)
         if tag in VOID:
             continue
-        apart = apart or tag in APART or tag == "header" and not main or bool(names and NAMED.search(names))
+        if tag in APART or tag == "header" and not main or names and tag not in WHOLE and NAMED.search(names):
+            outer[node] = apart
+            apart = node
         if tag in RAW:
             ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = ended.end() if ended else size
@@ -153,9 +164,27 @@ def parse(page: str) -> Tree:
         stack.append((tag, node, apart, main or tag in MAIN or names == "main"))
         in_link += tag == "a"
     flush()
+    _set_apart(tree.blocks, outer, within)
     return tree
 
 
+def _set_apart(blocks: list[Block], outer: dict[int, int], within: list[int]) -> None:
+    """Mark the blocks in elements of ``outer`` that don't wrap the page."""
+    held = {k: [0, 0] for k in outer}  # characters, and those of marked main text
+    for b, k in zip(blocks, within, strict=True):
+        held[k][0] += len(b.text)
+        held[k][1] += len(b.text) * b.main
+    for k in sorted(outer, reverse=True)[:-1]:  # what is within an element has a larger number; -1 is the page
+        held[outer[k]][0] += held[k][0]
+        held[outer[k]][1] += held[k][1]
+    total, marked = held[-1]
+    apart = {-1: False}
+    for k in sorted(outer)[1:]:
+        apart[k] = apart[outer[k]] or not (2 * held[k][0] > total and held[k][1] == marked)
+    for b, k in zip(blocks, within, strict=True):
+        b.apart = apart[k]
+
+
 class Matcher:
     """Simple tree matching: the most nodes that two trees have in common, in order and under matched parents."""
 

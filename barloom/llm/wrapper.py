@@ -119,7 +119,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             for key, body, reference in zip(*columns, strict=True):
                 tree = parse(body)
                 slots = aligner.slots(tree, reference)
-                seen.update({(key, s, _digest(b.text)) for b, s in zip(tree.blocks, slots, strict=True) if s >= 0 and not b.apart})
+                # Text set apart counts too: whether it is may differ from page to page.
+                seen.update({(key, s, _digest(b.text)) for b, s in zip(tree.blocks, slots, strict=True) if s >= 0})
             rows = [[k[i] for k in seen] for i in range(3)] + [list(seen.values())]
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["host", "slot", "digest", "n"])

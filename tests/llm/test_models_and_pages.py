@@ -130,6 +130,20 @@ def test_page_texts(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_names_do_not_hide_whole_pages():
+    text = lambda page: [b.text for b in parse(page).blocks if not b.apart]
+    story = "<h1>Title</h1><p>The story of the page, longer than all else.</p>"
+    told = ["Title", "The story of the page, longer than all else."]
+    for start, end in (
+        ('<html class="no-sidebar">', "</html>"), ('<body class="has-banner">', "</body>"), ('<article class="comment-open">', "</article>"),
+        ('<main id="search">', "</main>"), ("<form>", "</form>"), ('<div class="with-sidebar">', "</div>"), ('<form><div class="search">', "</div></form>"),
+    ):
+        assert text(f'{start}<nav>menu</nav>{story}<div class="ad">Buy</div>{end}<footer>foot</footer>') == told, start
+    # A long advert or footer beside a short article stays apart, and so do comments in it.
+    long = "much longer than the article is"
+    assert text(f'<div class="ad">{long}</div><article>Short<div class="comments">{long} {long}</div></article><footer>{long}</footer>') == ["Short"]
+
+
 def test_slots_decide_also_where_pages_mark_other_text(spark):
     story = "<div><h2>Story {n}</h2><p>Long text of the story {n}, told in a plain element.</p></div>"
     html_ = f"<body><div>Same on all</div>{story}<article>Teaser {{n}}</article></body>"
