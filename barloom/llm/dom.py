@@ -15,7 +15,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
@@ -28,7 +28,12 @@ ENDS = {
 #: Elements inside which an open element isn't ended from without.
 SCOPE = frozenset("html body table ul ol dl div article section main aside nav header footer form blockquote".split())
 #: Elements that never hold a page's main text.
-APART = frozenset("nav aside footer form head button select option dialog menu object canvas audio video map".split()) | RAW
+APART = frozenset("nav aside footer form head button select option dialog menu object canvas audio video map svg".split()) | RAW
+#: A start tag that ends an open drawing, as it is no part of one.
+NOT_IN_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var article section main aside nav header footer form".split()
+)
 MAIN = frozenset(("article", "main"))
 #: Elements whose own names don't set them apart.
 WHOLE = MAIN | {"html", "body"}
@@ -89,7 +94,7 @@ def parse(page: str) -> Tree:
     within: list[int] = []  # of each block the innermost such element
     text: list[str] = []
     linked: list[bool] = []
-    in_link, at = 0, 0
+    in_link, in_svg, at = 0, 0, 0
 
     def flush() -> None:
         if text:
@@ -102,10 +107,11 @@ def parse(page: str) -> Tree:
             linked.clear()
 
     def close(k: int) -> None:
-        nonlocal in_link
+        nonlocal in_link, in_svg
         if any(x[0] not in INLINE for x in stack[k:]):
             flush()
         in_link -= sum(x[0] == "a" for x in stack[k:])
+        in_svg -= sum(x[0] == "svg" for x in stack[k:])
         del stack[k:]
 
     def end_open(tags: set[str] | frozenset[str], until: frozenset[str]) -> None:
@@ -132,6 +138,9 @@ def parse(page: str) -> Tree:
         if tag is None:
             continue
         tag = tag.lower()
+        drawing = in_svg and next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ("svg", "foreignobject")), 0)
+        if drawing and stack[drawing][0] != "svg":
+            drawing = 0  # a page within the drawing
         if hit[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -140,6 +149,9 @@ def parse(page: str) -> Tree:
                 if stack[k][0] in SCOPE and tag not in SCOPE:
                     break
             continue
+        if drawing and tag in NOT_IN_SVG:
+            close(drawing)
+            drawing = 0
         if tag not in INLINE:
             flush()
             if tag not in VOID:
@@ -152,7 +164,7 @@ def parse(page: str) -> Tree:
             names = " ".join(v.strip("\"'") for _, v in _ATTRIBUTE.findall(attributes))
         _, parent, apart, main = stack[-1]
         node = tree.add(f"{tag}.{names}" if names else tag, parent)
-        if tag in VOID:
+        if tag in VOID or (tag == "svg" or drawing) and attributes.endswith("/>"):
             continue
         if tag in APART or tag == "header" and not main or names and tag not in WHOLE and NAMED.search(names):
             outer[node] = apart
@@ -163,6 +175,7 @@ def parse(page: str) -> Tree:
             continue
         stack.append((tag, node, apart, main or tag in MAIN or names == "main"))
         in_link += tag == "a"
+        in_svg += tag == "svg"
     flush()
     _set_apart(tree.blocks, outer, within)
     return tree
@@ -188,8 +201,6 @@ def _set_apart(blocks: list[Block], outer: dict[int, int], within: list[int]) ->
 class Matcher:
     """Simple tree matching: the most nodes that two trees have in common, in order and under matched parents."""
 
-    DEPTH = 60  # deeper elements are matched by their label
-
     def __init__(self):
         self.names: dict[tuple, int] = {}
         self.weights: dict[tuple[int, int], int] = {}
@@ -199,26 +210,40 @@ class Matcher:
             raise OverflowError("start with a new matcher")
         return tree.finish(self.names)
 
-    def weight(self, a: Tree, i: int, b: Tree, j: int, depth: int = 0) -> int:
+    def _known(self, a: Tree, i: int, b: Tree, j: int) -> int | None:
         if a.labels[i] != b.labels[j]:
             return 0
         if a.kinds[i] == b.kinds[j]:
             return a.sizes[i]
-        if depth > self.DEPTH or not a.children[i] or not b.children[j]:
+        if not a.children[i] or not b.children[j]:
             return 1
-        key = (a.kinds[i], b.kinds[j])
-        if key not in self.weights:
-            self.weights[key] = 1 + self._table(a, i, b, j, depth)[-1][-1]
-        return self.weights[key]
+        return self.weights.get((a.kinds[i], b.kinds[j]))
+
+    def weight(self, a: Tree, i: int, b: Tree, j: int) -> int:
+        known = self._known(a, i, b, j)
+        todo = [(i, j)] if known is None else []
+        while todo:  # children first; trees of any depth, so no recursion
+            x, y = todo[-1]
+            key = (a.kinds[x], b.kinds[y])
+            if key not in self.weights:
+                left = {a.kinds[c]: c for c in a.children[x]}.values()
+                right = {b.kinds[d]: d for d in b.children[y]}.values()
+                missing = [(c, d) for c in left for d in right if self._known(a, c, b, d) is None]
+                if missing:
+                    todo += missing
+                    continue
+                self.weights[key] = 1 + self._table(a, x, b, y)[-1][-1]
+            todo.pop()
+        return self.weights[a.kinds[i], b.kinds[j]] if known is None else known
 
-    def _table(self, a: Tree, i: int, b: Tree, j: int, depth: int) -> list[list[int]]:
+    def _table(self, a: Tree, i: int, b: Tree, j: int) -> list[list[int]]:
         right = b.children[j]
         table = [[0] * (len(right) + 1)]
         known: dict[int, list[int]] = {}
         for x in a.children[i]:
             kind = a.kinds[x]
             if kind not in known:
-                known[kind] = [self.weight(a, x, b, y, depth + 1) for y in right]
+                known[kind] = [self.weight(a, x, b, y) for y in right]
             above, row, best = table[-1], [0], 0
             for k, w in enumerate(known[kind]):
                 both = above[k] + w
@@ -230,17 +255,17 @@ class Matcher:
     def align(self, a: Tree, b: Tree) -> dict[int, int]:
         """Nodes of ``a`` to the nodes of ``b`` that they match."""
         found: dict[int, int] = {}
-        todo = [(0, 0, 0)]
+        todo = [(0, 0)]
         while todo:
-            i, j, depth = todo.pop()
+            i, j = todo.pop()
             found[i] = j
             left, right = a.children[i], b.children[j]
-            if not left or not right or depth > self.DEPTH:
+            if not left or not right:
                 continue
             if a.kinds[i] == b.kinds[j]:
-                todo += [(x, y, depth + 1) for x, y in zip(left, right, strict=True)]
+                todo += zip(left, right, strict=True)
                 continue
-            table = self._table(a, i, b, j, depth)
+            table = self._table(a, i, b, j)
             m, k = len(left), len(right)
             while m and k:
                 if table[m][k] == table[m - 1][k]:
@@ -249,5 +274,5 @@ class Matcher:
                     k -= 1
                 else:
                     m, k = m - 1, k - 1
-                    todo.append((left[m], right[k], depth + 1))
+                    todo.append((left[m], right[k]))
         return found

@@ -144,6 +144,24 @@ def test_names_do_not_hide_whole_pages():
     assert text(f'<div class="ad">{long}</div><article>Short<div class="comments">{long} {long}</div></article><footer>{long}</footer>') == ["Short"]
 
 
+def test_drawings_do_not_cut_a_page():
+    text = lambda page: [b.text for b in parse(page).blocks if not b.apart]
+    assert text('<p>one</p><svg class="x" viewBox="0 0 1 1"/><p>two</p><svg><path d="m"/><text>drawn</text></svg><p>three') == ["one", "two", "three"]
+    assert text("<div>one<svg><g><path d='m'></div><p>two") == ["one", "two"]  # ends with what holds it
+    assert text("<div>one<svg><g><path d='m'><p>two</p></div>three") == ["one", "two", "three"]  # a paragraph is no part of it
+    assert text("<p>one</p><svg><foreignObject><p>drawn</p></foreignObject></svg><p>two") == ["one", "two"]
+
+
+def test_deep_elements_are_aligned():
+    matcher = Matcher()
+    for depth in (61, 3000):
+        a = matcher.finish(parse("<div>" * depth + "<p>same</p><h2>own</h2>"))
+        b = matcher.finish(parse("<div>" * depth + "<ul><li>x</ul><p>same</p>"))
+        found = matcher.align(a, b)
+        assert found[a.labels.index("p")] == b.labels.index("p") and len(found) == depth + 2
+        assert matcher.weight(a, 0, b, 0) == depth + 2
+
+
 def test_slots_decide_also_where_pages_mark_other_text(spark):
     story = "<div><h2>Story {n}</h2><p>Long text of the story {n}, told in a plain element.</p></div>"
     html_ = f"<body><div>Same on all</div>{story}<article>Teaser {{n}}</article></body>"
