@@ -14,7 +14,9 @@ partial sums a task. Groups of fewer than ``MIN_GROUP`` rows are judged with the
 groups of their language, and these, if still few, with all small groups; a last group that is
 still too small is judged by the base rules alone. ``FLOOR`` is the spread below which a
 statistic is not told apart: it is added to the scatter, so a statistic that is constant in a
-group does not reject what differs from it a little.
+group does not reject what differs from it a little. A floor is small enough for a statistic
+to pass the cut alone within its range, where its group's centre and scatter are near 0; repeated
+windows are rejected alone by the base rule.
 
 Defined results: a null text has no words and fails the base rules; a null language or source
 is a value of its own; every row is judged, repeated ones each; an empty table gives no rows.
@@ -39,8 +41,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_GROUP = 60
 STEPS = 5
 KEEP = 0.9999
-#: Statistic and floor of its spread.
-VECTOR = {"x_length": 0.06, "x_symbols": 0.05, "x_repeats": 0.2, "x_lines": 0.2, "x_echo": 0.08}
+#: Statistic and floor of its spread. The cut is at 5.07 floors, and x_lines goes to 1.
+VECTOR = {"x_length": 0.06, "x_symbols": 0.05, "x_repeats": 0.2, "x_lines": 0.18, "x_echo": 0.08}
 P = len(VECTOR)
 BINS_AN_OCTAVE = 16
 #: Groups whose estimates (some 400 bytes each) may be broadcast; more are joined by a shuffle.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -113,3 +114,28 @@ def test_awkward_rows(spark, awkward, empty):
     assert found[4].kept and found[5].kept  # too few rows for an estimate: the base rules decide
     assert found[4].n_words == 40_000
     assert quality.judged(empty).count() == 0
+
+
+def test_each_statistic_rejects_alone(spark):
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([4, 5, 6]))) for _ in range(n)]
+    clean = [" ".join(words(200)) for _ in range(300)]
+    few, lines = ["abcd", "bcdef", "cdefgh", "defgi", "efghi", "fghij", "ghijab", "hija"], []
+    while len(lines) < 200:
+        lines += [x for x in [rng.choice(few)] if lines[-1:] != [x]]
+    passage = words(31)
+    planted = {
+        "x_length": " ".join(x * 2 for x in words(200)),
+        "x_symbols": " ".join(x + "#" * (i % 4 == 0) for i, x in enumerate(words(200))),
+        "x_repeats": " ".join([*passage, *words(138), *passage]),
+        "x_lines": "\n".join(lines),
+        "x_echo": " ".join(x for w in words(100) for x in (w, w)),
+    }
+    assert planted.keys() == quality.VECTOR.keys()
+    texts = [*planted.values(), *clean]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    out = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert [i for i, r in out.items() if r.base_failed] == [2]  # repeated windows are for the base rule
+    assert [name for i, name in enumerate(planted) if out[i].kept] == []
+    assert sum(out[i].kept for i in range(5, 305)) >= 299
+    assert out[3].n_repeat_words == out[3].n_echo_words == out[3].n_symbols == 0
