@@ -8,7 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import storage
-from barloom.llm import bpe_codec, common, content_sort, lang_id, line_dedup, ngram_join, packing, quality, token_files, url_filter, wrapper
+from barloom.llm import (
+    bpe_codec,
+    common,
+    content_sort,
+    decontaminate,
+    hard_negatives,
+    lang_id,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality,
+    token_files,
+    url_filter,
+    whiten,
+    wrapper,
+)
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 FILE_END, PACK_END = 2, 1
@@ -95,3 +110,22 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return wrapper.extract(common.table(spark, folder, "pages"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = common.table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = (common.table(spark, folder, name) for name in ("documents", "benchmark"))
+    found = decontaminate.report(docs, items)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten.whitened(common.table(spark, folder, "embeddings"))
