@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import series as s
@@ -83,3 +83,44 @@ def joined_ratio(fast: DataFrame, slow: DataFrame) -> DataFrame:
     return mat1.join(mat2, ["symbol", "date"]).withColumn(
         "mat_dual", F.try_divide("close_mat1", "close_mat2")
     )
+
+
+def calendar_averages(
+    rows: DataFrame, windows: Sequence[int] = (7, 30), price: str = "close", ahead: int = 0
+) -> DataFrame:
+    """Averages over calendar days: ``symbol, date, window, rows, close_mat``.
+
+    The frame of a date holds all rows of the ``window`` days that end with it, and of ``ahead`` days
+    after it; days without rows have no weight and rows of one date count each. -1.0 where the
+    series begins after the frame's first day.
+
+    Rows of a date are added up before the shuffle, so a symbol sends one row a day and its
+    window partition is bounded by the calendar however many rows it has.
+    """
+    days = rows.groupBy("symbol", "date").agg(
+        F.sum(price).alias("_sum"), F.count(price).alias("_count")
+    )
+    # A range frame needs a number to measure distances with.
+    numbered = days.withColumn("_day", F.unix_date("date"))
+    by_day = Window.partitionBy("symbol").orderBy("_day")
+    first = F.min("_day").over(by_day.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    framed = numbered.withColumn("_first", first).withColumns(
+        {
+            f"_{what}{n}": F.sum(f"_{what}").over(by_day.rangeBetween(1 - n, ahead))
+            for n in windows
+            for what in ("sum", "count")
+        }
+    )
+    entries = [
+        F.struct(
+            F.lit(n).alias("window"),
+            F.col(f"_count{n}").alias("rows"),
+            F.when(F.col("_first") > F.col("_day") - (n - 1), F.lit(NO_HISTORY))
+            .otherwise(F.try_divide(f"_sum{n}", f"_count{n}"))
+            .alias("close_mat"),
+        )
+        for n in windows
+    ]
+    return framed.select("symbol", "date", F.explode(F.array(*entries)).alias("entry")).select(
+        "symbol", "date", "entry.window", "entry.rows", "entry.close_mat"
+    )

@@ -287,6 +287,21 @@ ledger AS (
     t.cash + t.stock * p.close AS net
   FROM pairs p JOIN trades t ON p.symbol = t.symbol AND p.i = t.i)"""
 
+def calendar_average(source: str, n: int, ahead: int = 0) -> str:
+    """Rows of ``symbol, date, window, rows, close_mat`` over calendar days, by an interval frame."""
+    frame = f"RANGE BETWEEN INTERVAL {n - 1} DAY PRECEDING AND INTERVAL {ahead} DAY FOLLOWING"
+    return f"""
+SELECT DISTINCT symbol, date, CAST({n} AS INTEGER) AS "window", rows, {q("value")} AS close_mat FROM (
+  SELECT symbol, date, count(*) OVER w AS rows,
+    CASE WHEN min(date) OVER (PARTITION BY symbol) > date - {n - 1} THEN -1.0::DOUBLE ELSE avg(close) OVER w END AS value
+  FROM {source} WINDOW w AS (PARTITION BY symbol ORDER BY date {frame}))"""
+
+
+LINES = """
+lines AS (
+  SELECT concat('S', l_suppkey) AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS close
+  FROM lineitem)"""
+
 OHLC = ("open", "high", "low", "close")
 BAR_Q = q_as(*OHLC, "volume", "adjclose", digits=6)
 SPX_Q = q_as(*OHLC, "volume", "adjclose")
@@ -438,6 +453,8 @@ FROM (SELECT date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) A
 WHERE r IS NOT NULL GROUP BY date""",
     "breadth_5bar": with_(BARS, SPX, ADJUSTED, RELATIVE, BREADTH_5)
     + "SELECT date, pos, neg FROM breadth_5",
+    "sma_calendar": with_(LINES) + calendar_average("lines", 7) + "\nUNION ALL" + calendar_average("lines", 30),
+    "sma_calendar_ahead": with_(BARS, SPX, ADJUSTED, RELATIVE) + calendar_average("relative", 10, 1),
     "sma": with_(BARS, SPX, ADJUSTED, RELATIVE)
     + f"""SELECT symbol, date, {q("close")} AS close, CAST(w AS INTEGER) AS "window", {q("m")} AS close_mat FROM (
   SELECT symbol, date, close, 8 AS w, {average(8)} AS m FROM rel WHERE n >= 8
@@ -550,6 +567,9 @@ UNION ALL SELECT symbol, date, {BAR_Q}, 'late' FROM delta WHERE date >= DATE '20
     + FIRST_SPAN.format(columns=LABELS, prob="1.0")
     + "\nUNION ALL"
     + SECOND_SPAN.format(columns=LABELS, prob="1.0"),
+    "table_switch": with_(BARS, HISTORY)
+    + f"""SELECT symbol, date, {BAR_Q}, 'old' AS step, 0 AS more, 'before commit' AS ended FROM history
+UNION ALL SELECT symbol, date, {BAR_Q}, 'new', 1, 'after commit' FROM bars""",
     "table_bootstrap": with_(BARS, HISTORY) + f"SELECT symbol, date, {BAR_Q}, 0::BIGINT AS rows_before FROM delta",
     "table_copy": with_(UNIVERSE)
     + "SELECT *, true AS few_files FROM universe, (VALUES ('source'), ('copy')) v(part)",

@@ -33,7 +33,7 @@ from barloom.operators import (
 from barloom.operators.evaluate import Cell
 from barloom.plans import inputs
 from barloom.plans.inputs import D, Inputs
-from barloom.sinks import tables
+from barloom.sinks import records, tables
 from barloom.sources import landing, market
 
 REGISTRY: dict[str, Callable[[Inputs], DataFrame]] = {}
@@ -286,6 +286,19 @@ def sma_dual(m: Inputs) -> DataFrame:
     return rounded(averages.average_ratio(m.relative, 8, 20))
 
 
+@query
+def sma_calendar(m: Inputs) -> DataFrame:
+    """Averages of line prices over calendar days, with days that have no line and days that have several."""
+    lines = market.line_prices(m.spark, m.folder)
+    return rounded(averages.calendar_averages(lines, (7, 30)))
+
+
+@query
+def sma_calendar_ahead(m: Inputs) -> DataFrame:
+    """The same over stored relative bars, with a frame that reaches one day ahead."""
+    return rounded(averages.calendar_averages(m.relative, (10,), ahead=1))
+
+
 @query
 def true_range_dm(m: Inputs) -> DataFrame:
     return rounded(directional.movement(m.relative))
@@ -562,6 +575,22 @@ def table_copy(m: Inputs) -> DataFrame:
         return storage.materialize(both, "copies")
 
 
+@query
+def table_switch(m: Inputs) -> DataFrame:
+    """History replaced by all bars with one more column; what is found if the driver ends before or after the commit."""
+    with _table(m.spark) as name:
+        tables.replace_table(m.history.withColumn("step", F.lit("old")), name)
+        tables.staged(m.bars.withColumns({"step": F.lit("new"), "more": F.lit(1)}), name)
+        before = storage.materialize(landing.ensure_table(m.spark, name, schemas.BAR), "before_commit")
+        written = tables.staged(m.bars.withColumns({"step": F.lit("new"), "more": F.lit(1)}), name)
+        records.commit(m.spark, name, *written)
+        after = storage.materialize(landing.ensure_table(m.spark, name, schemas.BAR), "after_commit")
+        both = before.withColumns({"more": F.lit(0), "ended": F.lit("before commit")}).unionByName(
+            after.withColumn("ended", F.lit("after commit"))
+        )
+        return rounded(both, 6)
+
+
 @query
 def table_ddl(m: Inputs) -> DataFrame:
     """The schema of the bars as column definitions, with which a table is made and read as a view."""
@@ -580,7 +609,7 @@ def _table(spark: SparkSession) -> Iterator[str]:
     try:
         yield name
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        tables.drop_table(spark, name)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

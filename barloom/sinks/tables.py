@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom import storage
+from barloom.sinks import records
 
-#: What a table is called while its next rows are written.
+#: What a table was called while its next rows were written, by earlier versions of this library.
 BESIDE = "__next"
+#: Versions of a replaced table that are kept: readers that began before a replacement still find their files.
+KEEP_VERSIONS = 2
 
 
 def in_files(df: DataFrame, files: int | None) -> DataFrame:
@@ -18,6 +21,13 @@ def in_files(df: DataFrame, files: int | None) -> DataFrame:
     return df if files is None else df.repartition(files)
 
 
+class Staged(NamedTuple):
+    """Rows written for a table, which count once they are published, and the record they come after."""
+
+    version: records.Version
+    after: int
+
+
 def replace_table(
     df: DataFrame,
     name: str,
@@ -28,59 +38,123 @@ def replace_table(
 ) -> None:
     """Replace the whole table; ``df`` may read it.
 
-    The rows are written once, to a table beside it (or a version folder below ``path``),
-    which then takes the table's name; a write that fails leaves the old table as it was.
+    The rows are written once, as a new version in a folder of its own (below ``path`` if given); a commit
+    record then makes it the one that counts (``records``), and the catalog follows. An end at any point
+    leaves the old rows or the new ones.
     ``buckets`` lays the rows out by ``symbol``, sorted by date, so that window passes over
     the table need no exchange; the number of files follows from it.
     """
+    publish(df.sparkSession, name, staged(df, name, fmt, path, files, buckets))
+
+
+def staged(
+    df: DataFrame,
+    name: str,
+    fmt: str = "parquet",
+    path: str | None = None,
+    files: int | None = None,
+    buckets: int | None = None,
+) -> Staged:
+    """Write the next version of a table; nothing reads it before it is published."""
     if buckets is not None and files is not None:
         raise ValueError("give either the number of files or that of buckets")
+    spark = df.sparkSession
+    recover(spark, name)
+    after = records.last_number(spark, name)
     if buckets is not None:
         # One task per bucket: otherwise every task writes a file for every bucket.
         df = df.repartition(buckets, "symbol")
     writer = in_files(df, files).write.format(fmt)
     if buckets is not None:
         writer = writer.bucketBy(buckets, "symbol").sortBy("symbol", "date")
-    _switched(df.sparkSession, writer, name, path)
+    return Staged(_written(spark, writer, name, records.fresh_folder(spark, name, path), fmt, buckets), after)
+
+
+def publish(spark: SparkSession, name: str, written: Staged) -> None:
+    """Make staged rows the table: the commit record, then the catalog, then versions that are too old go."""
+    records.commit(spark, name, written.version, written.after)
+    _follow(spark, name, written.version)
+    records.prune(spark, name, KEEP_VERSIONS)
+
+
+def _written(spark: SparkSession, writer, name: str, folder: str, fmt: str, buckets: int | None) -> records.Version:
+    """The rows in ``folder``, under a passing name as only tables can have buckets."""
+    passing = f"{name}__{uuid.uuid4().hex}"
+    writer.option("path", folder).mode("error").saveAsTable(passing)
+    schema = spark.read.table(passing).schema
+    spark.sql(f"DROP TABLE {passing}")  # the files of a table with a path stay
+    return records.Version(folder, fmt, schema, buckets)
+
+
+def _follow(spark: SparkSession, name: str, version: records.Version) -> None:
+    """Point the catalog to a version; in one step where only the place differs."""
+    if spark.catalog.tableExists(name):
+        described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+        rows = {r["col_name"]: r["data_type"] for r in described}
+        # The last part of a version's folder is unique; the rest is spelled differently by some stores.
+        if (rows.get("Location") or "").rpartition("/")[2] == version.location.rpartition("/")[2]:
+            return
+        if _shape_of(spark, name, rows) == _shape(version):
+            spark.sql(f"ALTER TABLE {name} SET LOCATION {_quoted(version.location)}")
+            spark.catalog.refreshTable(name)
+            return
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _create(spark, name, version)
+
+
+def _create(spark: SparkSession, name: str, version: records.Version) -> None:
+    if version.buckets is None:
+        spark.catalog.createTable(name, version.location, version.fmt, version.schema)
+        return
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in version.schema.fields)
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING {version.fmt} "
+        f"CLUSTERED BY (symbol) SORTED BY (symbol, date) INTO {version.buckets} BUCKETS LOCATION {_quoted(version.location)}"
+    )
 
 
-def _switched(spark: SparkSession, writer, name: str, path: str | None = None) -> None:
-    """Write under another name, then give it the table's name and drop what had it."""
-    recover(spark, name)
-    beside = f"{name}{BESIDE}"
-    spark.sql(f"DROP TABLE IF EXISTS {beside}")
-    old = _location(spark, name) if path else None
-    if path:
-        writer = writer.option("path", f"{path}/{uuid.uuid4().hex}")
-    writer.mode("overwrite").saveAsTable(beside)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {beside} RENAME TO {name.rpartition('.')[2]}")
-    if old and old.startswith(path):
-        storage.remove(spark, old)
+def _shape(version: records.Version) -> tuple:
+    return ("EXTERNAL", version.fmt, version.buckets, [(f.name, f.dataType) for f in version.schema.fields])
+
+
+def _shape_of(spark: SparkSession, name: str, rows: dict[str, str]) -> tuple:
+    """Kind, format, buckets and columns of a catalog table, from its description."""
+    columns = [(f.name, f.dataType) for f in spark.read.table(name).schema.fields]
+    buckets = rows.get("Num Buckets")
+    return (rows.get("Type"), (rows.get("Provider") or "").lower(), int(buckets) if buckets else None, columns)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def recover(spark: SparkSession, name: str) -> None:
-    """Finish a switch that ended between its two steps: the new rows are whole by then."""
-    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(f"{name}{BESIDE}"):
+    """Bring the catalog in line with the newest commit record, whatever was cut off before.
+
+    Without a record, finish what an earlier version of this library began: its switch renamed a table.
+    """
+    if version := records.current(spark, name):
+        _follow(spark, name, version)
+    elif not spark.catalog.tableExists(name) and spark.catalog.tableExists(f"{name}{BESIDE}"):
         spark.sql(f"ALTER TABLE {name}{BESIDE} RENAME TO {name.rpartition('.')[2]}")
 
 
-def _location(spark: SparkSession, name: str) -> str | None:
-    if not spark.catalog.tableExists(name):
-        return None
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
-    return rows[0]["data_type"] if rows else None
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Remove a table with its records and versions. After a plain DROP TABLE the record would bring it back."""
+    records.forget(spark, name)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def write_table(
     df: DataFrame, name: str, overwrite: bool = True, fmt: str = "orc", path: str | None = None
 ) -> None:
-    """ORC table: replaced with the schema of ``df``, or appended to."""
-    if overwrite:
-        _switched(df.sparkSession, df.write.format(fmt), name, path)
-        return
-    writer = df.write.format(fmt).mode("append")
-    (writer.option("path", path) if path else writer).saveAsTable(name)
+    """ORC table: replaced with the schema of ``df``, or appended to (made if it does not exist)."""
+    spark = df.sparkSession
+    recover(spark, name)
+    if overwrite or not spark.catalog.tableExists(name):
+        replace_table(df, name, fmt, path)
+    else:
+        df.write.format(fmt).mode("append").saveAsTable(name)
 
 
 def write_partition(df: DataFrame, name: str, value: str, fmt: str = "orc") -> None:
@@ -90,10 +164,9 @@ def write_partition(df: DataFrame, name: str, value: str, fmt: str = "orc") -> N
         empty = df.withColumn("par", F.lit(value)).limit(0)
         empty.write.format(fmt).partitionBy("par").saveAsTable(name)
     columns = [c for c in spark.read.table(name).columns if c != "par"]
-    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
     names = ", ".join(f"`{c}`" for c in columns)
     spark.sql(
-        f"INSERT OVERWRITE TABLE {name} PARTITION (par = '{escaped}') SELECT {names} FROM {{rows}}",
+        f"INSERT OVERWRITE TABLE {name} PARTITION (par = {_quoted(value)}) SELECT {names} FROM {{rows}}",
         rows=df.select(*columns),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom import schemas
+from barloom.sinks import tables
 
 EXTRA = "_extra"
 
@@ -106,7 +107,11 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """The table ``name``; created empty with ``schema`` if there is none yet."""
+    """The table ``name``; created empty with ``schema`` if there is none yet.
+
+    A replacement that was cut off is finished first, so the rows it committed are never taken for missing.
+    """
+    tables.recover(spark, name)
     if not spark.catalog.tableExists(name):
         spark.createDataFrame([], schema).write.format(fmt).saveAsTable(name)
     return spark.read.table(name)

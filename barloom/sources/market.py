@@ -83,6 +83,15 @@ def bars(
     )
 
 
+def line_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """The unit price of every order line, as ``symbol, date, close``; a day may have several."""
+    return table(spark, folder, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"),
+        F.to_date("l_shipdate").alias("date"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"),
+    )
+
+
 def benchmark(
     spark: SparkSession,
     folder: str,

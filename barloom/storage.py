@@ -12,6 +12,7 @@ import atexit
 import contextlib
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex
@@ -41,6 +42,36 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file; fails if there is one already."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file; None where it can't be read whole."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+        try:
+            return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    except Py4JJavaError:
+        return None
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none where there is no folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the written table."""
     path = scratch_path(df.sparkSession, name)
