@@ -397,6 +397,9 @@ ORACLES: dict[str, str] = {
   FROM (SELECT *, 0 AS source FROM history UNION ALL SELECT *, 1 FROM delta)
   WHERE date >= DATE '1900-01-01' AND symbol IS NOT NULL)
 WHERE r = 1""",
+    "partition_merge": with_(BARS, HISTORY)
+    + f"""SELECT symbol, date, {BAR_Q}, date >= DATE '2000-12-01' AS rewritten FROM (
+  SELECT * FROM history WHERE date < DATE '2000-12-01' UNION ALL SELECT * FROM delta)""",
     "coverage_summary": with_(BARS)
     + "SELECT symbol, max(date) AS max_date, count(date) AS bars FROM bars GROUP BY symbol",
     "completeness_short": with_(BARS, SHORT) + "SELECT symbol, bars FROM short",

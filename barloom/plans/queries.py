@@ -185,6 +185,21 @@ def merge_upsert(m: Inputs) -> DataFrame:
     return rounded(ingest.merge_bars(m.history, m.delta), 6)
 
 
+@query
+def partition_merge(m: Inputs) -> DataFrame:
+    """The delta merged into a history of monthly partitions, and whether a bar's file was written by the merge."""
+    month = F.date_format("date", "yyyy-MM")
+    with _table(m.spark) as name:
+        tables.merge_partitions(m.history, name, ingest.merge_bars, month)
+        # One row a file.
+        files = storage.materialize(m.spark.read.table(name).select("_metadata.file_path").distinct(), "files")
+        tables.merge_partitions(m.delta, name, ingest.merge_bars, month)
+        merged = m.spark.read.table(name).select("*", F.col("_metadata.file_path").alias("file_path"))
+        rows = merged.join(files.withColumn("old", F.lit(True)), "file_path", "left")
+        kept = rows.select(*m.bars.columns, F.col("old").isNull().alias("rewritten"))
+        return rounded(storage.materialize(kept, "merged"), 6)
+
+
 @query
 def coverage_summary(m: Inputs) -> DataFrame:
     return ingest.coverage(m.bars)

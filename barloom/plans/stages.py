@@ -2,7 +2,8 @@
 
 Each stage reads catalog tables, composes operators and replaces its output tables;
 nothing else passes between stages. With ``buckets`` the per-symbol tables are
-bucketed and sorted, so that the window passes of later stages need no exchange.
+bucketed and sorted, so that the window passes of later stages need no exchange. With ``yearly`` the
+bars are also partitioned by year, and a daily merge rewrites the present year only.
 """
 
 from __future__ import annotations
@@ -82,13 +83,15 @@ def trade_table(fast: int, slow: int) -> str:
 class Stages:
     """The stages over one session's catalog."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, buckets: int | None = None, yearly: bool = False):
         self.spark = spark
         self.buckets = buckets
+        self.yearly = yearly
 
     def table(self, name: str) -> DataFrame:
         tables.recover(self.spark, name)
-        return self.spark.read.table(name)
+        stored = self.spark.read.table(name)
+        return stored.drop(tables.PART) if name == BARS else stored
 
     def _replace(self, name: str, df: DataFrame) -> None:
         buckets = self.buckets if {"symbol", "date"} <= set(df.columns) else None
@@ -109,7 +112,8 @@ class Stages:
 
     def find_candidates(self) -> None:
         calendar = self.table(CALENDAR_TABLE).where(F.col("symbol") == CALENDAR)
-        bars = landing.ensure_table(self.spark, BARS, schemas.BAR)
+        landing.ensure_table(self.spark, BARS, schemas.BAR)
+        bars = self.table(BARS)
         stale = ingest.candidates(self.table(UNIVERSE_TABLE), bars, calendar)
         self._replace(CANDIDATES, stale)
 
@@ -118,8 +122,12 @@ class Stages:
         self._replace(DELTA, ingest.new_bars(landed, self.table(CANDIDATES)))
 
     def merge(self) -> None:
-        merged = ingest.merge_bars(self.table(BARS), self.table(DELTA))
-        self._replace(BARS, merged)  # written once, beside the table it reads
+        """Merge the delta into the bars: with ``yearly`` only the years it falls in are read and written."""
+        delta = self.table(DELTA)
+        if self.yearly:
+            tables.merge_partitions(delta, BARS, ingest.merge_bars, F.year("date"), self.buckets)
+        else:
+            self._replace(BARS, ingest.merge_bars(self.table(BARS), delta))  # beside the table it reads
 
     def check(self) -> bool:
         """Whether few enough symbols lack bars of the calendar."""

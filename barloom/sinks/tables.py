@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom import storage
 from barloom.sinks import records
 
 #: What a table was called while its next rows were written, by earlier versions of this library.
 BESIDE = "__next"
 #: Versions of a replaced table that are kept: readers that began before a replacement still find their files.
 KEEP_VERSIONS = 2
+#: The column that tables are partitioned by.
+PART = "par"
 
 
 def in_files(df: DataFrame, files: int | None) -> DataFrame:
@@ -35,6 +40,7 @@ def replace_table(
     path: str | None = None,
     files: int | None = None,
     buckets: int | None = None,
+    part: str | None = None,
 ) -> None:
     """Replace the whole table; ``df`` may read it.
 
@@ -42,9 +48,10 @@ def replace_table(
     record then makes it the one that counts (``records``), and the catalog follows. An end at any point
     leaves the old rows or the new ones.
     ``buckets`` lays the rows out by ``symbol``, sorted by date, so that window passes over
-    the table need no exchange; the number of files follows from it.
+    the table need no exchange; the number of files follows from it. ``part`` names a column to
+    partition by, for tables that grow by ``merge_partitions``.
     """
-    publish(df.sparkSession, name, staged(df, name, fmt, path, files, buckets))
+    publish(df.sparkSession, name, staged(df, name, fmt, path, files, buckets, part))
 
 
 def staged(
@@ -54,20 +61,27 @@ def staged(
     path: str | None = None,
     files: int | None = None,
     buckets: int | None = None,
+    part: str | None = None,
 ) -> Staged:
     """Write the next version of a table; nothing reads it before it is published."""
-    if buckets is not None and files is not None:
-        raise ValueError("give either the number of files or that of buckets")
+    if files is not None and (buckets is not None or part is not None):
+        raise ValueError("the number of files follows from buckets and partitions")
     spark = df.sparkSession
     recover(spark, name)
     after = records.last_number(spark, name)
-    if buckets is not None:
-        # One task per bucket: otherwise every task writes a file for every bucket.
-        df = df.repartition(buckets, "symbol")
-    writer = in_files(df, files).write.format(fmt)
+    writer = _dealt(in_files(df, files), buckets, part).write.format(fmt)
     if buckets is not None:
         writer = writer.bucketBy(buckets, "symbol").sortBy("symbol", "date")
-    return Staged(_written(spark, writer, name, records.fresh_folder(spark, name, path), fmt, buckets), after)
+    if part is not None:
+        writer = writer.partitionBy(part)
+    return Staged(_written(spark, writer, name, records.fresh_folder(spark, name, path), fmt, buckets, part), after)
+
+
+def _dealt(df: DataFrame, buckets: int | None, part: str | None) -> DataFrame:
+    """The rows dealt out so that files are few: a task a bucket, or tasks of even size that share no small partition."""
+    if buckets is not None:
+        return df.repartition(buckets, "symbol")
+    return df if part is None else df.hint("rebalance", part)
 
 
 def publish(spark: SparkSession, name: str, written: Staged) -> None:
@@ -77,13 +91,19 @@ def publish(spark: SparkSession, name: str, written: Staged) -> None:
     records.prune(spark, name, KEEP_VERSIONS)
 
 
-def _written(spark: SparkSession, writer, name: str, folder: str, fmt: str, buckets: int | None) -> records.Version:
+def _written(
+    spark: SparkSession, writer, name: str, folder: str, fmt: str, buckets: int | None, part: str | None
+) -> records.Version:
     """The rows in ``folder``, under a passing name as only tables can have buckets."""
-    passing = f"{name}__{uuid.uuid4().hex}"
+    passing = _passing(name)
     writer.option("path", folder).mode("error").saveAsTable(passing)
     schema = spark.read.table(passing).schema
     spark.sql(f"DROP TABLE {passing}")  # the files of a table with a path stay
-    return records.Version(folder, fmt, schema, buckets)
+    return records.Version(folder, fmt, schema, buckets, part)
+
+
+def _passing(name: str) -> str:
+    return f"{name}__{uuid.uuid4().hex}"
 
 
 def _follow(spark: SparkSession, name: str, version: records.Version) -> None:
@@ -94,7 +114,7 @@ def _follow(spark: SparkSession, name: str, version: records.Version) -> None:
         # The last part of a version's folder is unique; the rest is spelled differently by some stores.
         if (rows.get("Location") or "").rpartition("/")[2] == version.location.rpartition("/")[2]:
             return
-        if _shape_of(spark, name, rows) == _shape(version):
+        if version.part is None and _shape_of(spark, name, rows) == _shape(version):
             spark.sql(f"ALTER TABLE {name} SET LOCATION {_quoted(version.location)}")
             spark.catalog.refreshTable(name)
             return
@@ -103,14 +123,19 @@ def _follow(spark: SparkSession, name: str, version: records.Version) -> None:
 
 
 def _create(spark: SparkSession, name: str, version: records.Version) -> None:
-    if version.buckets is None:
+    if version.buckets is None and version.part is None:
         spark.catalog.createTable(name, version.location, version.fmt, version.schema)
         return
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in version.schema.fields)
-    spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING {version.fmt} "
-        f"CLUSTERED BY (symbol) SORTED BY (symbol, date) INTO {version.buckets} BUCKETS LOCATION {_quoted(version.location)}"
-    )
+    layout = f"PARTITIONED BY (`{version.part}`) " if version.part else ""
+    if version.buckets:
+        layout += f"CLUSTERED BY (symbol) SORTED BY (symbol, date) INTO {version.buckets} BUCKETS "
+    # Under a passing name until its partitions are known: the table appears whole.
+    passing = _passing(name)
+    spark.sql(f"CREATE TABLE {passing} ({columns}) USING {version.fmt} {layout}LOCATION {_quoted(version.location)}")
+    if version.part:
+        spark.catalog.recoverPartitions(passing)
+    spark.sql(f"ALTER TABLE {passing} RENAME TO {name.rpartition('.')[2]}")
 
 
 def _shape(version: records.Version) -> tuple:
@@ -129,12 +154,14 @@ def _quoted(text: str) -> str:
 
 
 def recover(spark: SparkSession, name: str) -> None:
-    """Bring the catalog in line with the newest commit record, whatever was cut off before.
+    """Bring the catalog in line with the newest commit record and finish a merge, whatever was cut off before.
 
     Without a record, finish what an earlier version of this library began: its switch renamed a table.
     """
     if version := records.current(spark, name):
         _follow(spark, name, version)
+        if rows := records.open_merge(spark, name):
+            _finish_merge(spark, name, rows)
     elif not spark.catalog.tableExists(name) and spark.catalog.tableExists(f"{name}{BESIDE}"):
         spark.sql(f"ALTER TABLE {name}{BESIDE} RENAME TO {name.rpartition('.')[2]}")
 
@@ -145,6 +172,67 @@ def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def merge_partitions(
+    delta: DataFrame,
+    name: str,
+    merge: Callable[[DataFrame, DataFrame], DataFrame],
+    part: Column,
+    buckets: int | None = None,
+) -> None:
+    """Merge rows into a table partitioned by ``part`` of a row; partitions that get no row aren't read or written.
+
+    ``merge(old, delta)`` gives the new rows of the partitions that ``delta`` falls in; rows without a partition are left
+    out. These are written beside the table and noted, and then take the partitions' places. If the
+    driver ends in between, the next to open the table (``recover``) puts them in place again, so the old rows are found
+    or all new ones. A table that isn't there, or isn't partitioned so, is written as a whole, once. The list of touched
+    partitions is the driver's: choose days, months or years, not symbols.
+    """
+    spark = delta.sparkSession
+    recover(spark, name)
+    stored = storage.materialize(delta.withColumn(PART, part).where(F.col(PART).isNotNull()), "delta")
+    rows, version = stored.drop(PART), records.current(spark, name)
+    if version is None or version.part != PART:
+        if spark.catalog.tableExists(name):
+            old = spark.read.table(name)
+            rows = merge(old, rows)
+        else:
+            rows = merge(rows.limit(0), rows)
+        replace_table(rows.withColumn(PART, part), name, buckets=buckets, part=PART)
+        return
+    touched = [r[0] for r in stored.select(PART).distinct().collect()]
+    if not touched:
+        return
+    old = spark.read.table(name).where(F.col(PART).isin(touched)).drop(PART)
+    columns = [f.name for f in version.schema.fields]
+    merged = merge(old, rows).withColumn(PART, part).select(*columns)
+    folder = f"{records.home(spark, name)}/m-{uuid.uuid4().hex}"
+    merged.write.parquet(folder)
+    records.begin_merge(spark, name, folder)
+    _finish_merge(spark, name, folder)
+
+
+def _finish_merge(spark: SparkSession, name: str, folder: str) -> None:
+    """Put the rows of a merge in their partitions' places; doing so twice is the same as once."""
+    version = records.current(spark, name)
+    rows = spark.read.schema(version.schema).parquet(folder)
+    with _dynamic_overwrite(spark):
+        _dealt(rows, version.buckets, version.part).write.mode("overwrite").insertInto(name)
+    records.end_merge(spark, name)
+    storage.remove(spark, folder)
+
+
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
+    """Overwriting a table replaces only the partitions that get rows. A writer's option doesn't reach a table."""
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def write_table(
     df: DataFrame, name: str, overwrite: bool = True, fmt: str = "orc", path: str | None = None
 ) -> None:
@@ -161,12 +249,12 @@ def write_partition(df: DataFrame, name: str, value: str, fmt: str = "orc") -> N
     """Replace the partition ``par=value`` of a partitioned table, made if it does not exist; the others stay."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(name):
-        empty = df.withColumn("par", F.lit(value)).limit(0)
-        empty.write.format(fmt).partitionBy("par").saveAsTable(name)
-    columns = [c for c in spark.read.table(name).columns if c != "par"]
+        empty = df.withColumn(PART, F.lit(value)).limit(0)
+        empty.write.format(fmt).partitionBy(PART).saveAsTable(name)
+    columns = [c for c in spark.read.table(name).columns if c != PART]
     names = ", ".join(f"`{c}`" for c in columns)
     spark.sql(
-        f"INSERT OVERWRITE TABLE {name} PARTITION (par = {_quoted(value)}) SELECT {names} FROM {{rows}}",
+        f"INSERT OVERWRITE TABLE {name} PARTITION ({PART} = {_quoted(value)}) SELECT {names} FROM {{rows}}",
         rows=df.select(*columns),
     )
 
