@@ -391,6 +391,9 @@ ORACLES: dict[str, str] = {
         + f"SELECT symbol, date, {BAR_Q} FROM delta JOIN stale USING (symbol) WHERE date > max_date"
         for name in ("incremental_landing", "landed_new_bars")
     },
+    "ledger_landing": with_(BARS)
+    + f"""SELECT symbol, date, {BAR_Q},
+  CASE WHEN CAST(substr(symbol, 2) AS INTEGER) % 5 = 0 OR date >= DATE '2001-01-01' THEN 2 ELSE 1 END AS run FROM bars""",
     "merge_upsert": with_(BARS, HISTORY)
     + f"""SELECT symbol, date, {BAR_Q} FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY source DESC) AS r

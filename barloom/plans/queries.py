@@ -34,7 +34,7 @@ from barloom.operators.evaluate import Cell
 from barloom.plans import inputs
 from barloom.plans.inputs import D, Inputs
 from barloom.sinks import records, tables
-from barloom.sources import landing, market
+from barloom.sources import landing, ledger, market
 
 REGISTRY: dict[str, Callable[[Inputs], DataFrame]] = {}
 
@@ -180,6 +180,26 @@ def landed_new_bars(m: Inputs) -> DataFrame:
     return rounded(ingest.new_bars(landing.read_daily_feed(m.spark, path), stale), 6)
 
 
+@query
+def ledger_landing(m: Inputs) -> DataFrame:
+    """Bar lines landed on two days, the second with files of old bars that come late; what each day's run takes."""
+    path = storage.scratch_path(m.spark, "landed")
+    columns = [F.col(name).cast("string") for name in ["symbol", "date", *schemas.BAR_VALUES]]
+    late = F.substring("symbol", 2, 9).cast("int") % 5 == 0
+    bars = m.bars.select(F.concat_ws(",", *columns).alias("value"), (late | (F.col("date") >= F.lit(inputs.HISTORY_UNTIL))).alias("late"))
+    bars = storage.materialize(bars, "bar_lines")
+    parts = []
+    with _table(m.spark) as name:
+        for run in (1, 2):
+            bars.where(F.col("late") == (run == 2)).select("value").write.mode("append").text(path)
+            known = landing.ensure_table(m.spark, name, ledger.FILE)
+            files = storage.materialize(ledger.new_files(ledger.landed(m.spark, path), known), "files")
+            read = ledger.read(m.spark, path, files, landing.read_bar_lines)
+            parts.append(storage.materialize(read.withColumn("run", F.lit(run)), "taken"))
+            ledger.note(files, name)
+    return rounded(parts[0].unionByName(parts[1]), 6)
+
+
 @query
 def merge_upsert(m: Inputs) -> DataFrame:
     return rounded(ingest.merge_bars(m.history, m.delta), 6)

@@ -32,7 +32,7 @@ from barloom.operators.evaluate import Cell
 from barloom.operators.models import Span
 from barloom.plans.inputs import D
 from barloom.sinks import tables
-from barloom.sources import landing
+from barloom.sources import landing, ledger
 from barloom.storage import materialize
 
 NORMALIZED_SINCE = D(2000, 1, 1)
@@ -43,6 +43,7 @@ SHORTEST_CALENDAR = 100
 
 UNIVERSE_TABLE = "index_SP500_list"
 BARS, DELTA, CALENDAR_TABLE, BENCHMARK_TABLE = "eod2", "eod_delta", "eod_msft", "eod_spx"
+FILES, TAKEN = "landed_files", "landed_files_taken"
 CANDIDATES, NORMALIZED, ADJUSTED = "candidate", "eod_norm", "eod_adj"
 INDEX, RELATIVE, RATIOS = "idx", "eod_rel", "eod_rlt"
 DIRECTIONAL, UP, GAP_UP, MART = "ta_adx", "ta_upbreak", "ta_gupbreak", "ta_merge"
@@ -121,6 +122,18 @@ class Stages:
         landed = landing.read_daily_feed(self.spark, path)
         self._replace(DELTA, ingest.new_bars(landed, self.table(CANDIDATES)))
 
+    def take(self, path: str) -> None:
+        """Make the delta of the landed files that were never merged; others aren't opened.
+
+        Unlike ``land`` it takes every bar of a new file, older ones too. The files are noted after the merge: a
+        run that ends before reads them again.
+        """
+        known = landing.ensure_table(self.spark, FILES, ledger.FILE)
+        files = materialize(ledger.new_files(ledger.landed(self.spark, path), known), "files")
+        # The delta first: files are never noted for a delta that hasn't their bars.
+        self._replace(DELTA, ledger.read(self.spark, path, files))
+        self._replace(TAKEN, files)
+
     def merge(self) -> None:
         """Merge the delta into the bars: with ``yearly`` only the years it falls in are read and written."""
         delta = self.table(DELTA)
@@ -128,6 +141,10 @@ class Stages:
             tables.merge_partitions(delta, BARS, ingest.merge_bars, F.year("date"), self.buckets)
         else:
             self._replace(BARS, ingest.merge_bars(self.table(BARS), delta))  # beside the table it reads
+        taken = landing.ensure_table(self.spark, TAKEN, ledger.FILE)
+        if taken.head(1):
+            ledger.note(taken, FILES)
+            self._replace(TAKEN, taken.limit(0))
 
     def check(self) -> bool:
         """Whether few enough symbols lack bars of the calendar."""

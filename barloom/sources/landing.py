@@ -12,8 +12,8 @@ from barloom.sinks import tables
 EXTRA = "_extra"
 
 
-def _feed(spark: SparkSession, path: str, partition: str | None) -> DataFrame:
-    """The feed fields as text, with one field more to notice lines that are too long."""
+def _feed(spark: SparkSession, path: str, partition: str | None, files: list[str] | None = None) -> DataFrame:
+    """The feed fields as text, with one field more to notice lines that are too long; of all files or of some."""
     names = [*schemas.FEED_FIELDS, EXTRA, *([partition] if partition else [])]
     return (
         spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
@@ -21,7 +21,8 @@ def _feed(spark: SparkSession, path: str, partition: str | None) -> DataFrame:
         .option("mode", "PERMISSIVE")
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .csv(path)
+        .option("basePath", path)
+        .csv(path if files is None else files)
     )
 
 
@@ -46,9 +47,11 @@ def _as_bars(feed: DataFrame, symbol: Column) -> DataFrame:
     return feed.where(_is_whole()).select(symbol.alias("symbol"), *fields)
 
 
-def read_daily_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Bars from ``path/symbol=<symbol>/*.csv``; lines that do not parse are left out."""
-    return _as_bars(_feed(spark, path, "symbol"), F.col("symbol"))
+def read_daily_feed(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
+    """Bars from ``path/symbol=<symbol>/*.csv``, or from some of these files; lines that do not parse are left out."""
+    if files is not None and not files:
+        return spark.createDataFrame([], schemas.BAR)
+    return _as_bars(_feed(spark, path, "symbol", files), F.col("symbol"))
 
 
 def read_symbol_feed(spark: SparkSession, path: str, symbol: str) -> DataFrame:
@@ -62,14 +65,16 @@ def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
     return _feed(spark, path, "symbol").where(~_is_whole()).select("symbol", line.alias("line"))
 
 
-def read_bar_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_bar_lines(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
     """Bars from text lines ``symbol,date,open,high,low,close,volume,adjclose``.
 
     For many symbols in few files, where a folder per symbol would be too many.
     Fields are trimmed and cast; lines of another width or with a field that
-    does not cast are left out.
+    does not cast are left out. ``files`` names some of the files below ``path``.
     """
-    parts = spark.read.text(path).select(F.split("value", ",").alias("part"))
+    if files is not None and not files:
+        return spark.createDataFrame([], schemas.BAR)
+    parts = spark.read.text(path if files is None else files).select(F.split("value", ",").alias("part"))
     names = ["symbol", "date", *schemas.BAR_VALUES]
     typed = parts.where(F.size("part") == len(names)).select(
         *[
