@@ -17,6 +17,7 @@ from barloom.plans.queries import (
     RISING_WINDOW,
     SWEEP,
 )
+from barloom.schemas import DIRECTIONAL_VALUES
 
 BARS = """
 bars AS (
@@ -476,6 +477,10 @@ WHERE r IS NOT NULL GROUP BY date""",
     + "SELECT symbol, date, "
     + q_as("tr", "pdm1", "mdm1", "tr14", "pdm14", "mdm14", "pdi14", "mdi14", "di14diff", "di14sum", "dx", "adx")
     + " FROM adx",
+    "indicators_next_days": with_(BARS, SPX, ADJUSTED, RELATIVE, ADX, recursive=True)
+    + f"""SELECT symbol, date, {q_as("close", "mat8", "mat20", *DIRECTIONAL_VALUES)} FROM (
+  SELECT symbol, date, close, {average(8)} AS mat8, {average(20)} AS mat20 FROM rel)
+JOIN adx USING (symbol, date) WHERE date >= DATE '2001-01-01'""",
     "upbreak": with_(BARS, BREAKS)
     + f"""SELECT symbol, date, {BAR_Q}, label, {days_after("close")}
 FROM (SELECT *, CAST(flag AS INTEGER) AS label FROM flags WHERE n > 40 AND i >= 39 AND i < n - 5)""",

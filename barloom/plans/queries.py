@@ -29,6 +29,7 @@ from barloom.operators import (
     models,
     prices,
     similarity,
+    state,
 )
 from barloom.operators.evaluate import Cell
 from barloom.plans import inputs
@@ -344,6 +345,15 @@ def adx(m: Inputs) -> DataFrame:
     return rounded(directional.directional_index(m.relative, digits=None))
 
 
+@query
+def indicators_next_days(m: Inputs) -> DataFrame:
+    """Averages and directional index of late bars, from the state of each series before them."""
+    relative = storage.materialize(m.relative, "relative")
+    cut = F.col("date") >= F.lit(inputs.HISTORY_UNTIL)
+    before = storage.materialize(state.state_of(relative.where(~cut)), "state")
+    return rounded(state.indicators(state.advance(before, relative.where(cut))).drop("i"))
+
+
 @query
 def upbreak(m: Inputs) -> DataFrame:
     return rounded(breakouts.up_breakouts(m.bars), 6)
