@@ -9,16 +9,18 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import features as fe
+from barloom.operators import trees
 
 MAX_CATEGORIES = 4
 
@@ -86,12 +88,48 @@ def indexes_of(points: DataFrame) -> DataFrame:
     return points.sparkSession.createDataFrame(rows, schema)
 
 
+def keep(model: PipelineModel, path: str) -> None:
+    """Store a span's model, replacing what is there."""
+    model.write().overwrite().save(path)
+
+
+def kept(path: str) -> tuple[PipelineModel, int | None]:
+    """A stored model and the place of label 1, as ``fit_span`` returned them."""
+    model = PipelineModel.load(path)
+    return model, label_index(model.stages[0])
+
+
+def explained(scored: DataFrame, model: PipelineModel, index: int | None) -> DataFrame:
+    """Rows that a span's model has transformed, with ``node_prob``: ``prob`` computed from its nodes or coefficients alone."""
+    last = model.stages[-1]
+    if isinstance(last, LogisticRegressionModel):
+        rows = trees.logistic(scored, last, "indexedFeatures", "_shares")
+    else:
+        rows = trees.voted(scored, trees.node_table(scored.sparkSession, last), "indexedFeatures", "_shares")
+    prob = F.lit(0.0) if index is None else F.get("_shares", F.lit(index))
+    return rows.withColumn("node_prob", prob).drop("_shares")
+
+
 def score_span(
-    points: DataFrame, span: Span, model: PipelineModel, index: int | None
+    points: DataFrame, span: Span, model: PipelineModel, index: int | None, explain: bool = False
 ) -> DataFrame:
-    """Check rows with ``prob``, the probability of label 1, and ``predicted_label``; vectors as text."""
+    """Check rows with ``prob``, the probability of label 1, and ``predicted_label``; vectors as text.
+
+    With ``explain`` also ``node_prob``, the same from the model as data.
+    """
     checked = fe.check_rows(fe.in_span(points, span.start, span.end), span.check_start)
-    scored = model.transform(checked)
+    return _scored(checked, model, index, explain)
+
+
+def score_date(points: DataFrame, date: datetime.date, model: PipelineModel, index: int | None) -> DataFrame:
+    """The points anchored at a date, labelled or not, as ``score_span`` gives them."""
+    return _scored(points.where(F.col("date2") == F.lit(date)), model, index)
+
+
+def _scored(rows: DataFrame, model: PipelineModel, index: int | None, explain: bool = False) -> DataFrame:
+    scored = model.transform(rows)
+    if explain:
+        scored = explained(scored, model, index)
     prob = F.lit(0.0) if index is None else F.get(vector_to_array("probability"), F.lit(index))
     named = F.lit(None).cast("double") if index is None else F.when(F.col("prediction") == index, 1.0).otherwise(0.0)
     return scored.withColumn("prob", prob).withColumns(
@@ -115,8 +153,11 @@ def regress(
     train: DataFrame, check: DataFrame, max_iter: int = 50, max_depth: int = 10
 ) -> DataFrame:
     """Gradient-boosted trees: ``check`` with a ``prediction`` column."""
-    trees = GBTRegressor(maxIter=max_iter, maxDepth=max_depth, seed=1)
-    return trees.fit(as_vectors(train)).transform(as_vectors(check))
+    return fit_regression(train, max_iter, max_depth).transform(as_vectors(check))
+
+
+def fit_regression(train: DataFrame, max_iter: int = 50, max_depth: int = 10) -> GBTRegressionModel:
+    return GBTRegressor(maxIter=max_iter, maxDepth=max_depth, seed=1).fit(as_vectors(train))
 
 
 def buy_and_hold(points: DataFrame, spans: list[Span]) -> DataFrame:

@@ -589,7 +589,8 @@ UNION ALL SELECT symbol, date, {BAR_Q}, 'new', 1, 'after commit' FROM bars""",
   'open double', 'high double', 'low double', 'close double', 'volume double', 'adjclose double') AS columns
 FROM bars GROUP BY symbol""",
     "gbt_regression_errors": with_(BARS, SPX, ADJUSTED, RELATIVE)
-    + f"""SELECT count(*) AS scored, {q("avg((ahead - 1) ** 2)")} AS naive_mse, true AS has_mse
+    + f"""SELECT count(*) AS scored, {q("avg((ahead - 1) ** 2)")} AS naive_mse, true AS has_mse,
+  count(*) AS followed, true AS same_mse
 FROM {ratio_points("(SELECT * FROM relative WHERE date > DATE '1998-06-30')", RATIO_WINDOW, RATIO_COACH)}
 WHERE i >= {RATIO_WINDOW} AND ahead IS NOT NULL""",
     "label_feature_index": with_(
@@ -606,11 +607,15 @@ FROM within GROUP BY label
 UNION ALL
 SELECT 'feature', CAST(place AS INTEGER), value,
   CAST(row_number() OVER (PARTITION BY place ORDER BY value <> 0, value) - 1 AS INTEGER) FROM few""",
+    "kept_model_scores": with_(
+        *MART, TERMS, labels("points", MART_WINDOW, MART_COACH, 1, extra=", f"), recursive=True
+    )
+    + f"SELECT {LABELS}, true AS same_score FROM points WHERE date2 = (SELECT max(date2) FROM points)",
     **{
         f"{kind}_classifier_scores": with_(
             *MART, TERMS, labels("points", MART_WINDOW, MART_COACH, 1, extra=", f"), recursive=True
         )
-        + f"""SELECT {LABELS}, true AS is_probability, true AS agrees FROM points
+        + f"""SELECT {LABELS}, true AS is_probability, true AS agrees, true AS follows_from_nodes FROM points
 WHERE date1 >= DATE '1995-04-01' AND date2 > DATE '1999-01-01'"""
         for kind in ("tree", "forest", "logistic")
     },

@@ -30,6 +30,7 @@ from barloom.operators import (
     prices,
     similarity,
     state,
+    trees,
 )
 from barloom.operators.evaluate import Cell
 from barloom.plans import inputs
@@ -534,10 +535,36 @@ def _scores(m: Inputs, kind: str) -> DataFrame:
     stored = storage.materialize(
         models.as_vectors(points.select(*LABEL_COLUMNS, "features")), "points"
     )
-    scored = models.classify(stored, inputs.OPEN_SPAN, kind)
-    # The learned probabilities differ between engines; that they are probabilities of the predicted label doesn't.
+    model, index = models.fit_span(stored, inputs.OPEN_SPAN, kind)
+    scored = models.score_span(stored, inputs.OPEN_SPAN, model, index, explain=True)
+    # The learned probabilities differ between engines; that they are probabilities of the predicted label, and follow
+    # from the model's nodes or coefficients alone, doesn't.
     agrees = (F.col("prob") >= 0.5) == (F.col("predicted_label") == 1)
-    return rounded(scored.select(*LABEL_COLUMNS, F.col("prob").between(0, 1).alias("is_probability"), (agrees | (F.col("prob") == 0.5)).alias("agrees")))
+    explained = F.abs(F.col("prob") - F.col("node_prob")) <= 1e-9
+    return rounded(
+        scored.select(
+            *LABEL_COLUMNS,
+            F.col("prob").between(0, 1).alias("is_probability"),
+            (agrees | (F.col("prob") == 0.5)).alias("agrees"),
+            explained.alias("follows_from_nodes"),
+        )
+    )
+
+
+@query
+def kept_model_scores(m: Inputs) -> DataFrame:
+    """A model trained, stored and loaded to score the last date, whose labels aren't known; next to the scores of the model as trained."""
+    points = features.mart_features(m.rated, MART_WINDOW, MART_COACH)
+    stored = storage.materialize(models.as_vectors(points.select(*LABEL_COLUMNS, "features")), "points")
+    path = storage.scratch_path(m.spark, "kept")
+    model, index = models.fit_span(stored, inputs.OPEN_SPAN, "tree")
+    models.keep(model, path)
+    last = stored.agg(F.max("date2")).scalar()
+    rows = stored.where(F.col("date2") == last)
+    both = models.score_date(rows, rows.agg(F.max("date2")).head()[0], *models.kept(path)).select(*LABEL_COLUMNS, "prob")
+    first = models.score_span(rows, inputs.OPEN_SPAN, model, index).select("symbol", "date2", F.col("prob").alias("first_prob"))
+    joined = both.join(first, ["symbol", "date2"], "left")
+    return rounded(joined.select(*LABEL_COLUMNS, (F.col("prob") == F.col("first_prob")).alias("same_score")))
 
 
 @query
@@ -547,9 +574,22 @@ def gbt_regression_errors(m: Inputs) -> DataFrame:
     points = models.as_vectors(features.lag_ratio_points(marked, RATIO_WINDOW, RATIO_COACH, "part"))
     stored = storage.materialize(points, "lag_points")
     train, check = (stored.where(F.col("part") == name) for name in ("train", "check"))
-    scored = storage.materialize(models.regress(train, check).select(*NAIVE_COLUMNS, "prediction"), "regressed")
-    errors = evaluate.squared_errors(scored).crossJoin(scored.agg(F.count("prediction").alias("scored")))
-    return errors.select("scored", q("naive_mse").alias("naive_mse"), (F.col("mse") >= 0).alias("has_mse"))
+    model = models.fit_regression(train)
+    nodes = trees.node_table(m.spark, model)
+    followed = trees.regressed(model.transform(check), nodes).select(*NAIVE_COLUMNS, "prediction", "node_prediction")
+    scored = storage.materialize(followed, "regressed")
+    errors = evaluate.squared_errors(scored)
+    by_nodes = evaluate.squared_errors(scored, "node_prediction").select(F.col("mse").alias("node_mse"))
+    same = F.abs(F.col("prediction") - F.col("node_prediction")) <= 1e-9
+    counts = scored.agg(F.count("prediction").alias("scored"), F.count_if(same).alias("followed"))
+    both = counts.select("*", errors.select("mse").scalar().alias("mse"), errors.select("naive_mse").scalar().alias("naive_mse"), by_nodes.scalar().alias("node_mse"))
+    return both.select(
+        "scored",
+        q("naive_mse").alias("naive_mse"),
+        (F.col("mse") >= 0).alias("has_mse"),
+        "followed",
+        (F.abs(F.col("mse") - F.col("node_mse")) <= 1e-9).alias("same_mse"),
+    )
 
 
 @query

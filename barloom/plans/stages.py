@@ -55,6 +55,7 @@ PREDICTIONS, HELD, EVALUATED, PUBLISHED = (
 )
 
 REGRESSED, REGRESSED_ENDS = "check_diff", "check_diff_ends"
+SCORED = "predictions_scored"
 RISING, BREADTH, PRICED = "points_rising", "breadth", "check_pred_price"
 
 CLASSIFIER_SPAN = Span(D(2000, 4, 1), D(2015, 4, 1), D(2015, 4, 1), None)
@@ -81,6 +82,10 @@ def trade_table(fast: int, slow: int) -> str:
     return f"trade_mat_duel_{fast}_{slow}"
 
 
+def model_path(folder: str, span: Span, kind: str) -> str:
+    return f"{folder}/{kind}-{span.start}-{span.train_end}-{span.check_start}"
+
+
 class Stages:
     """The stages over one session's catalog."""
 
@@ -210,14 +215,37 @@ class Stages:
         coach: int = 1,
         spans: Sequence[Span] = (CLASSIFIER_SPAN,),
         kind: str = "tree",
+        keep: str | None = None,
     ) -> DataFrame:
-        """Train and score spans; their scores replace the predictions of the run before."""
+        """Train and score spans; their scores replace the predictions of the run before.
+
+        With ``keep`` each span's model is stored in that folder, for ``score``.
+        """
         points = features.mart_features(self.table(MART), window, coach)
         stored = materialize(models.as_vectors(points), "points")
         for k, span in enumerate(spans):
-            tables.write_table(models.classify(stored, span, kind), PREDICTIONS, overwrite=k == 0)
+            model, index = models.fit_span(stored, span, kind)
+            if keep is not None:
+                models.keep(model, model_path(keep, span, kind))
+            scored = models.score_span(stored, span, model, index)
+            tables.write_table(scored, PREDICTIONS, overwrite=k == 0)
         return self.table(PREDICTIONS)
 
+    def score(
+        self,
+        date: datetime.date,
+        keep: str,
+        window: int = 30,
+        coach: int = 1,
+        span: Span = CLASSIFIER_SPAN,
+        kind: str = "tree",
+    ) -> DataFrame:
+        """Score a date's points with the stored model of a span, without training; its partition of the scores is replaced."""
+        points = features.mart_features(self.table(MART), window, coach)
+        scored = models.score_date(models.as_vectors(points), date, *models.kept(model_path(keep, span, kind)))
+        tables.write_partition(scored, SCORED, date.isoformat())
+        return self.table(SCORED).where(F.col(tables.PART) == date.isoformat())
+
     def publish(self, date: datetime.date, k: int = 10) -> DataFrame:
         """Store the open predictions of a date as its partition of the published table; return the best."""
         current = evaluate.open_predictions(self.table(PREDICTIONS), date)

@@ -146,6 +146,17 @@ def test_learn_hold_and_evaluate(spark, job):
     assert spark.table(st.HELD).where("prob = 1.0").count() == spark.table(st.HELD).count() > 0
 
 
+def test_a_kept_model_scores_a_date_without_training(spark, job, monkeypatch):
+    folder = str(job.root / "models")
+    job.learn(window=5, coach=2, keep=folder)
+    last = spark.table(st.PREDICTIONS).agg(F.max("date2")).first()[0]
+    learned = {r["symbol"]: r["prob"] for r in spark.table(st.PREDICTIONS).where(F.col("date2") == F.lit(last)).collect()}
+    monkeypatch.setattr(st.models, "fit_span", None)
+    for _ in range(2):
+        scored = job.score(last, folder, window=5, coach=2)
+        assert {r["symbol"]: r["prob"] for r in scored.collect()} == learned and len(learned) == 3
+
+
 def test_regression_rise_and_breadth(spark, job):
     for _ in range(2):
         errors = job.regress(str(job.root / "points"), day("2014-06-30"), window=8, coach=3, k=5, max_iter=2, max_depth=3)
