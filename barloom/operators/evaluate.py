@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import datetime
+from bisect import bisect_left
 from collections.abc import Sequence
 from typing import NamedTuple
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.schemas import SERIES_KEY
 
 
+COUNTS = ["acc", "acc2", "all"]
+
+
 class Cell(NamedTuple):
     """One cell of a precision sweep: a probability threshold and a half-open period."""
 
@@ -166,7 +171,7 @@ def precision_sweep(
             F.count(F.lit(1)).alias("all"),
         )
     )
-    counts = ["acc", "acc2", "all"]
+    counts = COUNTS
     # One row per cell from here on. The cell with threshold 0 counts its whole period.
     period = Window.partitionBy("start", "end")
     with_base = counted.withColumns(
@@ -180,13 +185,21 @@ def precision_sweep(
         0, [*counts, *[f"base_{name}" for name in counts]]
     )
 
+    return _with_shares(joined)
+
+
+def _with_shares(counted: DataFrame) -> DataFrame:
+    """Cells with their counts and those of their period, and the precisions."""
+
     def share(part: str, whole: str) -> Column:
         ratio = F.try_divide(F.col(part).cast("double"), F.col(whole))
         return F.when(F.col("all") > 0, ratio).otherwise(0.0)
 
-    return joined.select(
-        *key,
-        *counts,
+    return counted.select(
+        "threshold",
+        "start",
+        "end",
+        *COUNTS,
         share("acc", "all").alias("precision"),
         share("base_acc", "base_all").alias("base_precision"),
         share("acc2", "all").alias("precision2"),
@@ -194,6 +207,64 @@ def precision_sweep(
     )
 
 
+def precision_grid(
+    enriched: DataFrame, cells: Sequence[Cell], buffer1: float = 1.0, buffer2: float = 1.0
+) -> DataFrame:
+    """``precision_sweep`` for thousands of cells: a prediction is counted once, whatever their number.
+
+    A prediction is ranked among the thresholds and among the ends of the periods, by binary search, and
+    counted for its two ranks before the shuffle. From there on everything is as large as the list of cells:
+    sums over both ranks make the count of a cell the difference of two of them.
+    """
+    spark = enriched.sparkSession
+    thresholds = sorted({0.0, *(c.threshold for c in cells)})
+    epoch = datetime.date(1970, 1, 1)
+    days = sorted({day for c in cells for day in (c.start, c.end)}) or [epoch]
+    numbered = enriched.where(F.col("prob").isNotNull() & F.col("date2").isNotNull()).select(
+        F.col("prob").cast("double").alias("prob"),
+        F.unix_date("date2").cast("double").alias("day"),
+        (F.col("act_diff") >= buffer1).alias("right"),
+        (F.try_divide("close2", "close1") >= buffer2).alias("right2"),
+    )
+    ranked = numbered
+    for name, rank, ends in (("prob", "t", thresholds), ("day", "d", [float((x - epoch).days) for x in days])):
+        splits = [-float("inf"), *ends, float("inf")]
+        ranked = Bucketizer(splits=splits, inputCol=name, outputCol=rank, handleInvalid="keep").transform(ranked)
+    # Not-a-number counts as larger than every threshold, as in comparisons.
+    whole = [F.least(F.col(rank), F.lit(float(n))).cast("int").alias(rank) for rank, n in (("t", len(thresholds)), ("d", len(days)))]
+    counted = (
+        ranked.select(*whole, "right", "right2")
+        .groupBy("t", "d")
+        .agg(F.count_if("right").alias("acc"), F.count_if("right2").alias("acc2"), F.count(F.lit(1)).alias("all"))
+    )
+    ranks = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(len(thresholds)))).alias("t"))
+    ranks = ranks.select("t", F.explode(F.sequence(F.lit(1), F.lit(len(days)))).alias("d"))
+    filled = ranks.join(counted, ["t", "d"], "left").fillna(0, COUNTS)
+    higher = Window.partitionBy("d").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("t").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = filled.withColumns({c: F.sum(c).over(higher) for c in COUNTS}).withColumns({c: F.sum(c).over(earlier) for c in COUNTS})
+
+    def looked_at(cell: Cell) -> list[tuple[int, int, str, int]]:
+        """The sums that a cell and its whole period are made of: rank of threshold, rank of day, for what, sign."""
+        first, last = bisect_left(days, cell.start) + 1, bisect_left(days, cell.end) + 1
+        rank = {name: bisect_left(thresholds, t) + 1 for name, t in (("own", cell.threshold), ("base", 0.0))}
+        if last <= first:
+            return []
+        return [(rank[name], d, name, sign) for name in rank for d, sign in ((last - 1, 1), (first - 1, -1)) if d]
+
+    wanted = [(*c, looked_at(c)) for c in dict.fromkeys(cells)]
+    kind = "threshold double, start date, end date, looked array<struct<t:int,d:int,what:string,sign:int>>"
+    table = spark.createDataFrame([(float(t), a, b, looked) for t, a, b, looked in wanted], kind)
+    each = table.select("threshold", "start", "end", F.explode_outer("looked").alias("l")).select("threshold", "start", "end", "l.*")
+    met = each.join(sums, ["t", "d"], "left")
+    totals = [
+        F.coalesce(F.sum(F.when(F.col("what") == what, F.col("sign") * F.col(c))), F.lit(0)).alias(prefix + c)
+        for what, prefix in (("own", ""), ("base", "base_"))
+        for c in COUNTS
+    ]
+    return _with_shares(met.groupBy("threshold", "start", "end").agg(*totals))
+
+
 def top_predictions(predictions: DataFrame, score: str, k: int, *tie_break: str) -> DataFrame:
     """The ``k`` highest scores."""
     return predictions.orderBy(F.desc(score), *tie_break).limit(k)

@@ -6,7 +6,9 @@ an algebra slip cannot pass both.
 
 from __future__ import annotations
 
+from barloom.operators.evaluate import Cell
 from barloom.plans.queries import (
+    GRID,
     HOLD_COACH,
     HOLD_WINDOW,
     MART_COACH,
@@ -353,8 +355,8 @@ terms AS (
   FROM steps WINDOW w AS (PARTITION BY symbol ORDER BY date))"""
 
 
-def sweep() -> str:
-    cells = ", ".join(f"({c.threshold}, DATE '{c.start}', DATE '{c.end}')" for c in SWEEP)
+def sweep(wanted: list[Cell] = SWEEP) -> str:
+    cells = ", ".join(f"({c.threshold}, DATE '{c.start}', DATE '{c.end}')" for c in wanted)
 
     def share(part: str, whole: str) -> str:
         return f"CASE WHEN n > 0 THEN {part}::DOUBLE / {whole} ELSE 0.0 END"
@@ -543,6 +545,7 @@ WHERE date1 >= DATE '1995-04-01' AND (date3 IS NULL OR date3 < DATE '2001-06-01'
   {q(open_at("date2"))} AS spxopen1, {q(open_at("date3"))} AS spxopen2
 FROM held""",
     "precision_sweep": with_(*MART, *HELD, BREADTH_5, PRICED, ENRICHED, recursive=True).rstrip() + sweep(),
+    "precision_grid": with_(*MART, *HELD, BREADTH_5, PRICED, ENRICHED, recursive=True).rstrip() + sweep(GRID),
     "label_violations": with_(*MART, *HELD, BREADTH_5, PRICED, ENRICHED, recursive=True)
     + """SELECT count(*) FILTER ((label = 1 OR day(date2) = 13) AND relclose2 < relclose1) AS violations
 FROM enriched""",

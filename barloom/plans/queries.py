@@ -40,6 +40,11 @@ from barloom.sources import landing, ledger, market
 
 REGISTRY: dict[str, Callable[[Inputs], DataFrame]] = {}
 
+# Months, quarters and years that overlap.
+PERIODS = [
+    (D(1998 + m // 12, m % 12 + 1, 1), D(1998 + (m + n) // 12, (m + n) % 12 + 1, 1)) for n in (1, 3, 12) for m in range(0, 48, min(n, 3))
+]
+
 RATIO_WINDOW, RATIO_COACH = 180, 30
 NAIVE_COLUMNS = ["symbol", "date", "label"]
 RISING_WINDOW, RISING_COACH = 60, 3
@@ -51,6 +56,7 @@ SWEEP = [Cell(t / 10, D(1999, 1, 1), D(9999, 4, 1)) for t in range(5, 11)] + [
     Cell(0.6, D(1999 + m // 12, m % 12 + 1, 1), D(1999 + (m + 1) // 12, (m + 1) % 12 + 1, 1))
     for m in range(14)
 ]
+GRID = [Cell(t / 20, start, end) for t in range(20) for start, end in PERIODS]
 
 
 def query(run: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
@@ -468,6 +474,12 @@ def precision_sweep(m: Inputs) -> DataFrame:
     return rounded(evaluate.precision_sweep(m.stored.enriched, SWEEP))
 
 
+@query
+def precision_grid(m: Inputs) -> DataFrame:
+    """Twenty thresholds over each month, quarter and year, all in one aggregate."""
+    return rounded(evaluate.precision_grid(m.stored.enriched, GRID))
+
+
 @query
 def label_violations(m: Inputs) -> DataFrame:
     """Labels of the 13th of a month are set to 1, so that some are wrong."""

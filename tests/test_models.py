@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from helpers import by_key, day, frame, random_walk
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from barloom import storage
 from barloom.operators import evaluate, features, indexes, models, similarity
 from barloom.operators.evaluate import Cell
 from barloom.operators.models import Span
@@ -177,3 +179,82 @@ def test_column_similarities(spark):
     }
     assert found.keys() == expected.keys()
     assert all(found[k] == pytest.approx(v) for k, v in expected.items())
+
+
+@pytest.mark.parametrize("tile", [1, 7, 16, 64])
+def test_tiles_equal_the_whole_matrix(spark, tile):
+    rng = np.random.default_rng(4)
+    values = rng.integers(-3, 4, (90, 50)).astype(float)
+    values[:, 7] = 0
+    df = spark.createDataFrame([(row,) for row in values.tolist()] + [(None,)], "v array<double>").repartition(3)
+
+    def found(**options):
+        return {(r["i"], r["j"]): r["similarity"] for r in similarity.column_similarities(df, "v", **options).collect()}
+
+    whole, tiled = found(), found(dense=10, tile=tile, tile_rows=20)
+    assert whole.keys() == tiled.keys() and len(whole) > 1000 and all(7 not in k for k in whole)
+    assert all(tiled[k] == pytest.approx(whole[k], abs=1e-12) for k in whole)
+
+
+def test_ten_thousand_components(spark):
+    """Sparse vectors, so that few products aren't zero; a matrix of all products would take 800 MB a task."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(12):
+        v = [0.0] * 10_000
+        for k in rng.sample(range(10_000), 8):
+            v[k] = rng.uniform(1, 2)
+        rows.append(v)
+    df = spark.createDataFrame([(v,) for v in rows], "v array<double>").repartition(2)
+    found = {(r["i"], r["j"]): r["similarity"] for r in similarity.column_similarities(df, "v").collect()}
+    pairs = {(i, j) for v in rows for i in (k for k, x in enumerate(v) if x) for j in (k for k, x in enumerate(v) if x) if i < j}
+    assert found.keys() == pairs
+    i, j = next(iter(pairs))
+    dot, a, b = (sum(v[x] * v[y] for v in rows) for x, y in ((i, j), (i, i), (j, j)))
+    assert found[i, j] == pytest.approx(dot / (a * b) ** 0.5)
+
+
+def test_vectors_of_several_lengths_fail(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>").coalesce(1)
+    for dense in (10, 1):
+        with pytest.raises(Exception, match="one length"):
+            similarity.column_similarities(df, "v", dense=dense).collect()
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    rng = random.Random(8)
+    rows = [
+        (rng.choice([None, float("nan"), 0.0, 0.5, 1.0, rng.random(), rng.random()]), day("1995-01-01") + datetime.timedelta(days=rng.randrange(900)),
+         rng.uniform(0.5, 1.5), rng.choice([0.0, None, 1.0]), rng.uniform(0.5, 1.5))
+        for _ in range(2000)
+    ]
+    rows += [(0.5, None, 1.0, 1.0, 1.0), (0.5, day("2099-01-01"), 1.0, 1.0, 1.0)]
+    return storage.materialize(spark.createDataFrame(rows, "prob double, date2 date, act_diff double, close1 double, close2 double"), "many")
+
+
+def test_grid_equals_sweep(many):
+    rng = random.Random(2)
+    edges = [day("1994-06-01") + datetime.timedelta(days=97 * k) for k in range(14)]
+    cells = [Cell(rng.choice([0.0, 0.25, 0.5, 1.0, 2.0]), *rng.sample(edges, 2)) for _ in range(60)]
+    cells += [cells[0], Cell(0.5, edges[3], edges[3]), Cell(0.5, edges[0], edges[-1]), Cell(-1.0, edges[0], edges[-1])]
+
+    def found(run):
+        return {(r["threshold"], r["start"], r["end"]): r.asDict() for r in run(many, cells).collect()}
+
+    grid, sweep = found(evaluate.precision_grid), found(evaluate.precision_sweep)
+    assert grid == sweep and len(grid) == len(set(cells)) and sum(r["all"] for r in grid.values()) > 1000
+    assert evaluate.precision_grid(many, []).count() == 0
+    assert {r["all"] for r in evaluate.precision_grid(many.limit(0), cells).collect()} == {0}
+
+
+def test_ten_thousand_cells_cost_one_aggregate(many):
+    starts = [day("1995-01-01") + datetime.timedelta(days=9 * k) for k in range(100)]
+    cells = [Cell(t / 100, a, a + datetime.timedelta(days=30)) for t in range(100) for a in starts]
+    grid = evaluate.precision_grid(many, cells)
+    assert grid.count() == 10_000
+    text = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("prob#") and text.count("Relation [prob") == 1
+    row = grid.where("threshold = 0.37").orderBy("start").collect()[40]
+    kept = many.where(F.col("date2").between(row["start"], row["end"] - datetime.timedelta(days=1)) & (F.col("prob") >= row["threshold"]))
+    assert row["all"] == kept.count() > 0
