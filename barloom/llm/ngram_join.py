@@ -13,7 +13,7 @@ let some pairs pass that the comparison then rejects, and never reject a pair th
 Groups of near copies aren't expanded into all pairs. Equal sets are one class, whose smallest
 id represents it. Of the classes that share a prefix token the smallest is a pivot; each class is
 first compared with the pivot it shares most tokens with (a star); afterwards, only classes that are not yet connected are compared with
-each other. No link between two components is lost, whatever the order of the steps. Whole sets
+each other, by blocks within a token's group: sizes and parities are looked at there, and only pairs that pass become rows. No link between two components is lost, whatever the order of the steps. Whole sets
 are made only for the texts of pairs that pass all filters.
 
 Defined results: null texts and texts without words have an empty set and stay alone; a text
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from barloom import storage
 from barloom.llm import common
-from barloom.llm.common import mix
+from barloom.llm.common import mix, taken
 from barloom.llm.components import components
 
 #: Tokens that may be moved to the end of the orders; 4 bytes each are broadcast.
@@ -41,6 +41,9 @@ HOT_TOKENS = 1 << 20
 HOT_LEAST = 8
 #: Bits of a set's parities: each token flips one, so two sets differ in at least as many tokens as bits.
 PARITIES = 1024
+#: Entries of a token that a task compares with as many others, and pairs that it looks at at once.
+BLOCK = 1024
+STEP_PAIRS = 1 << 20
 #: Ids (8 bytes each) that may be broadcast to select texts; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -102,6 +105,38 @@ def _similar(a: str | Column, b: str | Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _passing(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs within the groups of a sorted table that pass labels, sizes and parities, some of them at a time."""
+    table = table.combine_chunks()
+    keys = [table.column(c).to_numpy() for c in ("token", "low", "high")]
+    own, ids, labels, sizes = (table.column(c).to_numpy() for c in ("own", "doc_id", "label", "size"))
+    parity = table.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
+    apart = keys[1] != keys[2]
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    starts = np.flatnonzero(new)
+    ends = np.repeat(np.append(starts[1:], len(table)), np.diff(np.append(starts, len(table))))
+    partners = ends - np.arange(len(table)) - 1
+    sums = np.concatenate([[0], np.cumsum(partners)])
+    at = 0
+    while at < len(table):
+        upto = max(at + 1, int(np.searchsorted(sums, sums[at] + STEP_PAIRS, side="right")) - 1)
+        left = np.repeat(np.arange(at, upto), partners[at:upto])
+        right = taken(np.arange(at, upto) + 1, partners[at:upto])
+        at = upto
+        # Of two blocks only pairs between them: those within each have a group of their own.
+        open_ = (labels[left] != labels[right]) & ~(apart[left] & (own[left] == own[right])) & (ids[left] != ids[right])
+        n, m = sizes[left], sizes[right]
+        open_ &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        left, right = left[open_], right[open_]
+        for k in range(0, len(left), STEP_PAIRS // 16):
+            x, y = left[k : k + STEP_PAIRS // 16], right[k : k + STEP_PAIRS // 16]
+            differ = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
+            near = differ * (100 + percent) <= (100 - percent) * (sizes[x] + sizes[y])
+            if near.any():
+                a, b = ids[x[near]], ids[y[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def few(ids: DataFrame) -> DataFrame:
     """Ids, to be broadcast if they are few."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -162,6 +197,39 @@ class Join:
         schema = "doc_id long, size long, first array<bigint>, second array<smallint>, third array<smallint>, parity array<bigint>"
         return _mapped(self.docs, self.n, schema, make)
 
+    def candidates(self, entries: DataFrame) -> DataFrame:
+        """Pairs ``a < b`` of one token with different labels whose sizes and parities allow the similarity.
+
+        ``entries`` have a token, its ``n`` entries, and a class with label, size and parities. The entries of a token are
+        cut into blocks of about ``BLOCK``, and a task compares two blocks: pairs that don't pass never leave it.
+        """
+        percent = self.percent
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+        own = F.pmod(F.xxhash64("doc_id", "token"), F.col("blocks")).cast("int")
+        each = entries.withColumn("blocks", blocks).withColumn("own", own)
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        each = each.select("token", "doc_id", "label", "size", "parity", "own", other)
+        dealt = each.select(
+            "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "label", "size", "parity"
+        )
+
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+                keys = [held.column(c).to_numpy() for c in ("token", "low", "high")]
+                new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+                if len(new):  # the last group may go on in the next batch
+                    yield from _passing(held.slice(0, int(new[-1])), percent)
+                    held = held.slice(int(new[-1]))
+            if held is not None:
+                yield from _passing(held, percent)
+
+        group = ["token", "low", "high"]
+        pairs = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(compared, "a long, b long")
+        return storage.materialize(pairs.distinct(), "candidates")
+
     def links(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
         """The pairs ``a``, ``b`` that pass the further orders and then the comparison of their sets."""
         percent = self.percent
@@ -219,19 +287,17 @@ class Join:
         links = self.links(star, prefixes)
         labels = components(links)
 
-        # What shares a token and is not connected yet.
+        # What shares a token and is not connected yet. A pair becomes a row once its parities allow the similarity.
         named = shared.drop("pivot").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         named = named.withColumn("label", F.coalesce("label", "doc_id"))
-        mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-        open_ = storage.materialize(named.join(mixed, "token"), "open_tokens")
-        left = open_.select("token", F.col("doc_id").alias("a"), F.col("size").alias("a_size"), F.col("label").alias("a_label"))
-        right = open_.select("token", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label"))
-        apart = (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & _similar("a_size", "b_size", self.percent)
-        cross = left.join(right, "token").where(apart).select("a", "b").distinct()
+        ends = [F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")]
+        mixed = named.groupBy("token").agg(*ends).where("low <> high").select("token", "n")
+        open_ = named.join(mixed, "token").join(prefixes.select("doc_id", "parity"), "doc_id")
+        cross = self.candidates(open_)
         more = self.links(cross, prefixes)
         if more.head(1):
             labels = components(links.union(more))
-        for used in (prefixes, shared, open_):
+        for used in (prefixes, shared, cross):
             storage.discard(used)
 
         found = docs.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")

@@ -104,6 +104,21 @@ def test_near_duplicates_equal_brute_force(spark, n, percent):
     assert len({r.component_id for r in out}) < len(rows)
 
 
+def test_blocks_of_a_token_lose_no_pair(spark, monkeypatch):
+    """Families that share passages, with tokens cut into blocks of two."""
+    rng = random.Random(11)
+    rows, bases = [], [prose(900 + g, 80).split() for g in range(3)]
+    for i in range(60):
+        words = list(bases[i % 3])
+        for _ in range(rng.randint(0, 30)):
+            words[rng.randrange(len(words))] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, 3, 80).collect()}
+    assert out == brute_components(rows, 3, 80)
+
+
 def test_near_duplicates_of_awkward_rows(spark, awkward, empty):
     out = ngram_join.near_duplicates(awkward, 3, 90).collect()
     assert len(out) == awkward.count()
