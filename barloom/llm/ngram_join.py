@@ -44,6 +44,8 @@ PARITIES = 1024
 #: Entries of a token that a task compares with as many others, and pairs that it looks at at once.
 BLOCK = 1024
 STEP_PAIRS = 1 << 20
+#: Texts that are compared with the same one in a task.
+PLACE = 1024
 #: Ids (8 bytes each) that may be broadcast to select texts; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -137,6 +139,15 @@ def _passing(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough; empty ones are not."""
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def few(ids: DataFrame) -> DataFrame:
     """Ids, to be broadcast if they are few."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -239,27 +250,38 @@ class Join:
         apart = F.aggregate(F.zip_with("ap", "bp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
         few_apart = apart * (100 + percent) <= (100 - percent) * (F.col("an") + F.col("bn"))
         pairs = pairs.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3") & few_apart).select("a", "b")
-        pairs = kept = storage.materialize(pairs, "pairs")
-        ids = storage.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-        make = lambda found: [pa.array([x.tobytes() for x in found], pa.binary())]
-        chosen = self.docs.join(few(ids), "doc_id", "left_semi")
-        whole = storage.materialize(_mapped(chosen, self.n, "doc_id long, tokens binary", make), "paired_sets")
-        for side in ("a", "b"):
-            pairs = pairs.join(whole.select(F.col("doc_id").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
+        kept = storage.materialize(pairs, "pairs")
+        # Each text goes once to where its partner's is. A partner of many has several places.
+        places = kept.groupBy("a").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("places"))
+        dealt = kept.join(places, "a").withColumn("place", F.pmod(F.xxhash64("b"), F.col("places")).cast("int"))
+        others = dealt.select(F.col("b").alias("doc_id"), "a", "place", "b")
+        firsts = places.select(
+            F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(None).cast("long").alias("b")
+        )
+        wanted = storage.materialize(others.unionByName(firsts), "wanted")
+        meeting = self.docs.join(few(wanted), "doc_id").select("a", "place", "b", "text")
+        # Within a place the text that the others are compared with comes first: it has no b.
+        meeting = meeting.repartition("a", "place").sortWithinPartitions("a", "place", "b")
+        n = self.n
 
         def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, firsts = None, {}
             for batch in batches:
-                flags = []
-                for x, y in zip(batch.column("a_tokens"), batch.column("b_tokens"), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    both = int((x[at] == y).sum())
-                    flags.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(flags, pa.bool_()))
-
-        found = pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(verified, "a long, b long")
-        found = storage.materialize(found, "links")
-        for used in (kept, ids, whole):
+                for piece in common.slices(batch, "text"):
+                    linked: list[tuple[int, int]] = []
+                    rows = zip(*(piece.column(c).to_pylist() for c in ("a", "place", "b")), shingles(piece.column("text"), n), strict=True)
+                    for a, place, b, y in rows:
+                        if (a, place) != at:
+                            at, firsts = (a, place), {}
+                        if b is None:  # an id may have several texts
+                            firsts[hashlib.blake2b(y.tobytes(), digest_size=16).digest()] = y
+                        elif any(_linked(x, y, percent) for x in firsts.values()):
+                            linked.append((a, b))
+                    columns = [pa.array([p[k] for p in linked], pa.int64()) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+        found = storage.materialize(meeting.mapInArrow(verified, "a long, b long"), "links")
+        for used in (kept, wanted):
             storage.discard(used)
         return found
 

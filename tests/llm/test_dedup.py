@@ -115,6 +115,7 @@ def test_blocks_of_a_token_lose_no_pair(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "PLACE", 2)
     out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, 3, 80).collect()}
     assert out == brute_components(rows, 3, 80)
 
