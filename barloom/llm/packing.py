@@ -6,7 +6,8 @@ documents; in each group the rests go, longest first, into the first sequence wi
 a tournament tree over the capacities finds in logarithmic time. A sequence that stays
 emptier than ``slack`` allows is cut at powers of two, where no padding is needed.
 Groups are independent and bounded, so work and memory per task do not grow with the corpus;
-whole pieces are spread over all groups, so one very long text loads no single task.
+whole pieces are spread over all groups one by one, so one very long text loads no single task, and rows that
+repeat id and text are dealt out like others.
 
 Defined results: a null or empty text is its end id alone; every row is packed, repeated rows
 and ids too; an empty table gives no rows; other columns are not read.
@@ -93,7 +94,8 @@ def pack(
     common.bounded_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     groups = max(1, math.ceil(rows.count() / group_docs))
-    rows = rows.withColumn("deal", F.xxhash64("doc_id", "text"))
+    # The number of the row in its partition deals out rows that are equal in id and text, too.
+    rows = rows.withColumn("deal", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +107,7 @@ def pack(
                     ids = np.append(ids, end_id).astype("<u4")
                     for start in range(0, len(ids), length):
                         cut = ids[start : start + length]
-                        for column, value in zip(out, ((deal + (start if len(cut) == length else 0)) % groups, key, start, len(ids), cut.tobytes()), strict=True):
+                        for column, value in zip(out, ((deal + (start // length if len(cut) == length else 0)) % groups, key, start, len(ids), cut.tobytes()), strict=True):
                             column.append(value)
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["grp", "doc_id", "start", "doc_tokens", "ids"])

@@ -3,8 +3,8 @@
 Byte-pair merges never cross a word, so a text's ids are the ids of its words. Words are
 found for many texts at once with numpy; the ids of a word are kept in a memo of at most
 ``MEMO_WORDS`` words, which starts anew when it is full. Memory therefore has a bound,
-whatever the number of texts. A word is known by a 64-bit hash of its code points; with
-10**6 words in the memo, two of them share one with a chance of 10**-7.
+whatever the number of texts. A word is looked up by a 64-bit hash, and its code points are compared with
+those of the word that was learned: words that share a hash with another are encoded by themselves.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import regex
 from barloom.llm.common import span_hashes, taken
 
 MEMO_WORDS = 3 << 19
+#: Code points of all words in the memo.
+MEMO_CHARS = 1 << 24
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points below have had the same classes in every Unicode version for long.
 STABLE = 0x530
@@ -126,7 +128,7 @@ def bare_words(chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Memo:
-    """Ids of words by hash: sorted keys and one flat array of ids."""
+    """Ids of words by hash: sorted keys, one flat array of ids and one of the words themselves."""
 
     def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = MEMO_WORDS):
         self.learn, self.limit = learn, limit
@@ -136,6 +138,7 @@ class Memo:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.chars, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -143,12 +146,14 @@ class Memo:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.slots[at], -1)
 
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
+    def _add(self, keys: np.ndarray, words: list[str], chars: np.ndarray, sizes: np.ndarray) -> None:
         found, lengths = self.learn(words)
         slots = len(self.starts) + np.arange(len(keys))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
         self.ids = np.append(self.ids, found)
+        self.begins = np.append(self.begins, len(self.chars) + np.cumsum(sizes) - sizes)
+        self.chars, self.sizes = np.append(self.chars, chars), np.append(self.sizes, sizes)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
         self.keys, self.slots = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, slots[order])
@@ -157,21 +162,44 @@ class Memo:
         """Ids of the words of ``text``, one after the other, and the number of ids of each word."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        sizes = ends - starts
         codes, keys = pd.factorize(span_hashes(chars, starts, ends))
+        where = np.empty(len(keys), np.int64)  # the first word of each hash
+        where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        later = np.flatnonzero(where[codes] != np.arange(len(codes)))
+        apart = later[~_equal(chars, starts[later], sizes[later], chars, starts[where[codes[later]]], sizes[where[codes[later]]])]
         slots = self._find(keys)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            if len(self.keys) + len(new) > self.limit:
+            if len(self.keys) + len(new) > self.limit or len(self.chars) + int(sizes[where[new]].sum()) > MEMO_CHARS:
                 self.clear()
                 new = np.arange(len(keys))
-            where = np.empty(len(keys), np.int64)
-            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
-            self._add(keys[new], [text[a:b] for a, b in spans])
+            own = sizes[where[new]]
+            self._add(keys[new], [text[a:b] for a, b in spans], chars[taken(starts[where[new]], own)], own)
             slots = self._find(keys)
+        known = _equal(self.chars, self.begins[slots], self.sizes[slots], chars, starts[where], sizes[where])
+        if not known.all():
+            apart = np.union1d(apart, np.flatnonzero(~known[codes]))
         slots = slots[codes]
-        lengths = self.lengths[slots]
-        return self.ids[taken(self.starts[slots], lengths)], lengths
+        begins, lengths, ids = self.starts[slots], self.lengths[slots], self.ids
+        if len(apart):  # words that share a hash with another word
+            found, own = self.learn([text[a:b] for a, b in zip(starts[apart].tolist(), ends[apart].tolist(), strict=True)])
+            begins[apart], lengths[apart] = len(ids) + np.cumsum(own) - own, own
+            ids = np.append(ids, found)
+        return ids[taken(begins, lengths)], lengths
+
+
+def _equal(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, y: np.ndarray, others: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``x`` hold the same as those of ``y``. No span is empty."""
+    same = sizes == other_sizes
+    at = np.flatnonzero(same)
+    if len(at):
+        size = sizes[at]
+        differ = x[taken(starts[at], size)] != y[taken(others[at], size)]
+        if differ.any():
+            same[at] = ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+    return same
 
 
 def per_text(ids: np.ndarray, lengths: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barloom import storage
-from barloom.llm import bpe_codec, packing, token_files
+from barloom.llm import bpe_codec, common, packing, pretokens, token_files, tokens
 from barloom.llm.pretokens import Memo
 from barloom.llm.tokens import Encoder
 from barloom.llm.transducer import WordCoder, sufficient_lookahead
@@ -149,3 +152,49 @@ def test_tournament_finds_the_first_bin_with_room():
         home = next((b for b in bins if sum(sizes[k] for k in b) + size <= 100), None)
         bins.append([i]) if home is None else home.append(i)
     assert packing.first_fit_decreasing(sizes, 100) == bins
+
+
+def thue_morse(letters: int, flip: bool = False) -> str:
+    """Two such words share every polynomial hash modulo a power of two."""
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(letters))
+
+
+@pytest.mark.parametrize("letters", [1024, 2048])
+def test_words_that_share_a_hash_keep_their_own_ids(spark, byte_bpe, word_bpe, letters):
+    first, second = thue_morse(letters), thue_morse(letters, flip=True)
+    chars, offsets = pretokens.joined([first, second])
+    assert len(set(common.span_hashes(chars, offsets[:-1], offsets[1:]).tolist())) == 1
+    library = Tokenizer.from_file(byte_bpe)
+    texts = [first, second, f"{first} {second} {first}", f"x {second} {second}"]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = tokens.Encoder(byte_bpe)
+    assert [x.tolist() for x in encoder.encode(texts)] == expected
+    for text, ids in zip(reversed(texts), reversed(expected), strict=True):  # one by one, from the memo
+        assert encoder.encode([text])[0].tolist() == ids
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    stored = token_files.write(df, str(Path(spark.conf.get("spark.checkpoint.dir")) / f"ties{letters}"), byte_bpe, 2)
+    lengths = {r["doc_id"]: r["n_tokens"] for r in token_files.read(spark, stored, with_ids=False).collect()}
+    assert lengths == {k: len(x) + 1 for k, x in enumerate(expected)}
+    pieces = sorted(packing.pack(df, byte_bpe, 1).collect(), key=lambda r: (r["doc_id"], r["start"]))
+    for k, ids in enumerate(expected):
+        held = b"".join(bytes(r["ids"]) for r in pieces if r["doc_id"] == k)
+        assert np.frombuffer(held, "<u4").tolist() == [*ids, 1]
+    words = Tokenizer.from_file(word_bpe)
+    coded = {r["doc_id"]: bytes(r["ids"]).decode() for r in bpe_codec.round_trip(df, word_bpe).collect()}
+    assert coded == {k: " ".join(map(str, words.encode(t, add_special_tokens=False).ids)) for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("groups", [64, 1024])
+def test_whole_pieces_of_a_long_text_go_to_all_groups(spark, byte_bpe, groups):
+    rows = [(0, " a" * 2048 * 150)] + [(k, "b") for k in range(1, groups)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    pieces = packing.pack(df, byte_bpe, 1, group_docs=1).where("doc_id = 0 and length = 2048")
+    sizes = [r["count"] for r in pieces.groupBy((F.col("sequence_id") / 2**32).cast("long")).count().collect()]
+    assert sum(sizes) == 150 and len(sizes) == min(groups, 150) and max(sizes) <= 3
+
+
+def test_equal_rows_go_to_all_groups(spark, byte_bpe):
+    df = spark.createDataFrame([(7, "the same text")] * 2000, "doc_id long, text string").repartition(3)
+    pieces = packing.pack(df, byte_bpe, 1, group_docs=2000 // 32)
+    sizes = [r["count"] for r in pieces.groupBy((F.col("sequence_id") / 2**32).cast("long")).count().collect()]
+    assert sum(sizes) >= 2000 and len(sizes) >= 32 and max(sizes) <= 2 * sum(sizes) / len(sizes)
