@@ -43,31 +43,18 @@ WITH split AS (
     SELECT doc_id, unnest(range(len(parts))) AS place, unnest(parts) AS line
     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ), lines AS (
-    SELECT doc_id, place, line, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i,
-           ('0x' || substr(md5(line), 1, 15))::BIGINT AS h
-    FROM split WHERE trim(line) <> ''
-), grams AS (
-    SELECT doc_id, i, ('0x' || substr(md5(h::VARCHAR || '-' || after::VARCHAR), 1, 15))::BIGINT AS g
-    FROM (SELECT *, lead(h) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM lines) WHERE after IS NOT NULL
-), beside AS (
-    SELECT *, lag(g) OVER each_doc AS before, lead(g) OVER each_doc AS behind FROM grams
-    WINDOW each_doc AS (PARTITION BY doc_id ORDER BY i)
-), prints AS (
-    SELECT doc_id, i, g FROM beside
-    WHERE before IS NULL AND behind IS NULL OR g <= before OR g < behind
-), firsts AS (
-    SELECT g, min({'d': doc_id, 'i': i}) AS f FROM prints GROUP BY g
-), aligned AS (
-    SELECT DISTINCT p.doc_id, f.d AS source, p.i - f.i AS shift
-    FROM prints p JOIN firsts USING (g) WHERE p.doc_id <> f.d OR p.i <> f.i
-), same AS (
-    SELECT a.doc_id, a.source, a.shift, x.i, x.place
-    FROM aligned a JOIN lines x ON x.doc_id = a.doc_id JOIN lines y ON y.doc_id = a.source AND y.i = x.i - a.shift AND y.h = x.h
-), runs AS (
-    SELECT *, lag(i) OVER w AS before, lead(i) OVER w AS behind FROM same
-    WINDOW w AS (PARTITION BY doc_id, source, shift ORDER BY i)
+    SELECT doc_id, place, line, lead(place) OVER each_doc AS next_place, lead(line) OVER each_doc AS next_line
+    FROM split WHERE trim(line) <> '' WINDOW each_doc AS (PARTITION BY doc_id ORDER BY place)
+), pairs AS (
+    SELECT doc_id, place, next_place, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, place) AS copy
+    FROM lines WHERE next_line IS NOT NULL
+), long AS (
+    SELECT doc_id, place, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS copy
+    FROM lines WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50
 ), deleted AS (
-    SELECT DISTINCT doc_id, place FROM runs WHERE before = i - 1 OR behind = i + 1
+    SELECT doc_id, place FROM pairs WHERE copy > 1
+    UNION SELECT doc_id, next_place FROM pairs WHERE copy > 1
+    UNION SELECT doc_id, place FROM long WHERE copy > 1
 ), kept AS (
     SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.place) AS body
     FROM split s ANTI JOIN deleted USING (doc_id, place) GROUP BY s.doc_id

@@ -196,3 +196,45 @@ def test_every_long_run_of_a_later_document_is_found(spark):
     out = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[1].n_deleted == 0
     assert all(out[k].text == f"own{k}\nend{k}" for k in range(2, 25))
+
+
+def without(rows: list, run: int, words: int | None) -> dict:
+    """Texts without the lines of runs, and without long lines, that stood earlier: every place against all before it."""
+    texts = {i: t.split("\n") for i, t in sorted(rows)}
+    places = {i: [k for k, x in enumerate(t) if x.strip(" ")] for i, t in texts.items()}
+    seen, gone = set(), set()
+    for i, filled in places.items():
+        for n, k in enumerate(filled):
+            here = [filled[n : n + run]] if len(filled) >= n + run else []
+            here += [[k]] if words and len(re.findall(line_dedup.WORD, texts[i][k])) >= words else []
+            for part in here:
+                body = tuple(texts[i][p] for p in part)
+                gone |= {(i, p) for p in part if body in seen}
+                seen.add(body)
+    return {i: "\n".join(x for k, x in enumerate(t) if (i, k) not in gone) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize(("gram", "window", "words"), [(1, 2, 50), (2, 2, None), (3, 4, 20), (1, 1, None)])
+def test_exactly_repeated_runs_and_long_lines_go(spark, gram, window, words):
+    rng = random.Random(17)
+    lines = [f"s{k}" for k in range(7)] + ["", " ", "\t"] + [prose(800 + k, rng.choice([19, 20, 49, 50, 51])) for k in range(5)]
+    rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.7 else f"own {i} {k}" for k in range(rng.randint(1, 30)))) for i in range(70)]
+    rows.append((70, "\n".join(["s1", "s1", "s2"] * 400)))  # one line after the other, and within one document
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = {r.doc_id: r.text for r in line_dedup.dedup(df, gram=gram, window=window, long_words=words).collect()}
+    assert out == without(rows, gram + window - 1, words)
+
+
+def test_a_run_is_found_whichever_document_holds_its_start_first(spark):
+    rows = []
+    for k in range(20):
+        a, b, c = (f"{name} of {k}" for name in "ABC")
+        rows += [(10 * k + 1, f"{a}\n{b}\nown {k}"), (10 * k + 2, f"{a}\n{b}\n{c}"), (10 * k + 3, f"{a}\n{b}\n{c}")]
+    out = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[10 * k + 2] == f"C of {k}" and out[10 * k + 3] == "" for k in range(20))
+
+
+def test_runs_name_their_sources(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny\nc\nd")]
+    found = line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc.id, r.source.id, r["shift"], [tuple(x) for x in r.runs]) for r in found) == [(2, 1, 1, [(1, 3)]), (2, 1, 3, [(5, 6)])]
