@@ -51,7 +51,7 @@ class Block:
     text: str
     node: int
     apart: bool  # in an element that never holds main text
-    main: bool  # in an element that is the main text by its name
+    main: int  # in an element that is the main text by its name: 2 for an article, 1 for another
     links: bool  # all of it is links
 
 
@@ -89,7 +89,7 @@ def parse(page: str) -> Tree:
     """
     tree = Tree()
     root = tree.add("#root", -1)
-    stack: list[tuple[str, int, int, bool]] = [("#root", root, -1, False)]  # tag, node, innermost element set apart, main
+    stack: list[tuple[str, int, int, int]] = [("#root", root, -1, 0)]  # tag, node, innermost element set apart, main
     outer: dict[int, int] = {-1: -1}  # elements set apart, to the next such element around them
     within: list[int] = []  # of each block the innermost such element
     text: list[str] = []
@@ -173,7 +173,7 @@ def parse(page: str) -> Tree:
             ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = ended.end() if ended else size
             continue
-        stack.append((tag, node, apart, main or tag in MAIN or names == "main"))
+        stack.append((tag, node, apart, max(main, 2 if tag == "article" else int(tag in MAIN or names == "main"))))
         in_link += tag == "a"
         in_svg += tag == "svg"
     flush()
@@ -186,7 +186,7 @@ def _set_apart(blocks: list[Block], outer: dict[int, int], within: list[int]) ->
     held = {k: [0, 0] for k in outer}  # characters, and those of marked main text
     for b, k in zip(blocks, within, strict=True):
         held[k][0] += len(b.text)
-        held[k][1] += len(b.text) * b.main
+        held[k][1] += len(b.text) * (b.main > 0)
     for k in sorted(outer, reverse=True)[:-1]:  # what is within an element has a larger number; -1 is the page
         held[outer[k]][0] += held[k][0]
         held[outer[k]][1] += held[k][1]

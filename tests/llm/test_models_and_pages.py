@@ -173,7 +173,37 @@ def test_slots_decide_also_where_pages_mark_other_text(spark):
     text = lambda n: f"Story {n}\nLong text of the story {n}, told in a plain element."
     assert all(out[n] == f"{text(n)}\nTeaser {n}" for n in range(25))
     assert out[100] == f"Same on all\n{text(100)}\nTeaser 100" and out[101] == text(101)
-    assert all(out[200 + n] == f"Lead {n}\nThe longer text number {n}" for n in range(6))
+    assert all(out[200 + n] == f"The longer text number {n}" for n in range(6))
+
+
+@pytest.mark.parametrize("pages", [1, 4, 5, 25, 30])
+def test_marked_articles_on_hosts_of_any_size(spark, pages):
+    side = "<div>The Site's Name</div>{main}<div><p>More to read {n}</p>" + "".join(f"<p>Teaser {k} of page {{n}}, a few words</p>" for k in range(9)) + "</div><p>Page {n} of 9</p>"
+    story = "<h1>Head</h1><p>One article told in two paragraphs, which are longer than any of the teasers beside it.</p><p>The second of them.</p>"
+    text = "Head\nOne article told in two paragraphs, which are longer than any of the teasers beside it.\nThe second of them."
+    kinds = {
+        "copies": f"<article>{story}</article>",
+        "main": f"<main>{story}</main>",
+        "both": f"<main><div>Crumbs {{n}}</div><article>{story}</article></main>",
+        "own": f"<article>{story}<p>By writer {{n}}</p></article>",
+    }
+    rows = [(k, n, f"http://{k}.org/{n}", f"<body>{side.replace('{main}', body)}</body>".replace("{n}", str(n))) for k, body in kinds.items() for n in range(pages)]
+    rows += [("plain", n, f"http://plain.org/{n}", f"<body>{story}</body>") for n in range(pages)]
+    df = spark.createDataFrame([(f"{k} {n}", url, body) for k, n, url, body in rows], "page_id string, url string, html string")
+    out = {r.page_id: r.text for r in wrapper.extract(df).collect()}
+    assert len(out) == len(rows)
+    for k, n, _, _ in rows:
+        assert out[f"{k} {n}"] == text + (f"\nBy writer {n}" if k == "own" else ""), (k, n)
+
+
+def test_furniture_of_main_goes_and_the_rest_of_a_host_of_copies_stays(spark):
+    rows = [(n, f"http://m.org/{n}", f"<main><div>Site</div><p>Story {n} in a few words</p><p>Its end {n}</p></main>") for n in range(6)]
+    # Most pages of this host have one article; the pages of its other article keep theirs, too.
+    rows += [(100 + n, f"http://c.org/{n}", f"<article><p>The same story</p><p>on most pages</p></article><p>{n}</p>") for n in range(24)]
+    rows += [(124, "http://c.org/24", "<article><p>Another story</p><p>on most pages</p></article>")]
+    out = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[n] == f"Story {n} in a few words\nIts end {n}" for n in range(6))
+    assert all(out[100 + n] == "The same story\non most pages" for n in range(24)) and out[124] == "Another story\non most pages"
 
 
 def test_given_pages_give_their_articles(spark):
