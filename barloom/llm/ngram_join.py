@@ -58,7 +58,7 @@ def shingles(column: pa.Array, n: int) -> list[np.ndarray]:
     data, offsets = common.raw(column)
     data = common.LOWER[data]
     starts, ends, first = common.word_spans(data, offsets)
-    words = common.span_hashes(data, starts, ends)
+    words = common.keyed_hashes(data, starts, ends)
     grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):
         grams += words[k : len(grams) + k] * _WEIGHTS[k]

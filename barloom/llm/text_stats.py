@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from barloom.llm.common import mix, raw, span_hashes, word_spans
+from barloom.llm.common import keyed_hashes, mix, raw, word_spans
 
 #: The characters counted as symbols (all ASCII).
 SYMBOLS = "#*$%&|<>"
@@ -57,12 +57,12 @@ def text_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     word_sums = np.concatenate([[0], np.cumsum(in_word)])
     with_word = np.flatnonzero(word_sums[end] > word_sums[begin])
     owner, begin, end = owner[with_word], begin[with_word], end[with_word]
-    again = _keyed(span_hashes(data, begin, end), owner).duplicated().to_numpy()
+    again = _keyed(keyed_hashes(data, begin, end), owner).duplicated().to_numpy()
     out["n_lines"] = np.bincount(owner, minlength=n)
     out["n_dup_lines"] = np.bincount(owner[again], minlength=n)
     # Windows of words that stand twice in a text cover the words they hold.
     covered = np.zeros(len(starts) + 1, np.int64)
-    hashes, owner = span_hashes(data, starts, ends), np.repeat(np.arange(n), n_words)
+    hashes, owner = keyed_hashes(data, starts, ends), np.repeat(np.arange(n), n_words)
     echo = owner[1:][(owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])]
     out["n_echo_words"] = np.bincount(echo, minlength=n)
     if len(starts) >= WINDOW:

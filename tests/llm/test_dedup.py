@@ -7,10 +7,11 @@ import random
 import re
 import string
 
+import numpy as np
 import oracle
 import pytest
 
-from barloom.llm import components, content_sort, line_dedup, ngram_join, queries
+from barloom.llm import common, components, content_sort, line_dedup, ngram_join, queries
 from barloom.llm.oracles import ORACLES
 
 from llm_rows import DOCS, prose
@@ -238,3 +239,20 @@ def test_runs_name_their_sources(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny\nc\nd")]
     found = line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc.id, r.source.id, r["shift"], [tuple(x) for x in r.runs]) for r in found) == [(2, 1, 1, [(1, 3)]), (2, 1, 3, [(5, 6)])]
+
+
+@pytest.mark.parametrize("letters", [1024, 2048])
+def test_words_that_share_a_polynomial_hash_make_no_link(spark, letters):
+    first, second = ("".join("ab"[(k.bit_count() + flip) % 2] for k in range(letters)) for flip in (0, 1))
+    rows = [(1, first), (2, second), (3, f"one {first} two three"), (4, f"one {second} two three"), (5, f"ONE {first} two three")]
+    out = {r.doc_id: r for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=90).collect()}
+    assert {k: r.component_id for k, r in out.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_keyed_hashes_are_those_of_the_spans_wherever_they_stand(monkeypatch):
+    data = np.frombuffer(b"ab abc ab " + b"xy" * 700 + b" abc", np.uint8)
+    starts, ends, _ = common.word_spans(data, np.array([0, len(data)]))
+    whole = common.keyed_hashes(data, starts, ends)
+    assert len(set(whole.tolist())) == 3 and whole[0] == whole[2] and whole[1] == whole[4]
+    monkeypatch.setattr(common, "_SEGMENT", 256)
+    assert common.keyed_hashes(data, starts, ends).tolist() == whole.tolist()
