@@ -7,6 +7,9 @@ distribution over the languages, and pools the positions of letters: a document'
 probabilities are their means. Windows of many documents are computed side by side, so a very
 long text takes no more memory than a short one.
 
+Languages beyond the ``MAX_LANGUAGES`` most frequent ones (ties by name) aren't learned: their documents get
+the learned language that is nearest.
+
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text
 where nothing could be learned; ties go to the first language in alphabetical order; repeated
 rows are predicted each; an empty table gives no rows. Language, source and id are never inputs
@@ -29,7 +32,7 @@ from barloom.llm.common import mix
 from barloom.llm.gru import WINDOW, Network, train
 
 DOCS, WINDOWS = 300, 16
-#: Languages that one network may tell apart.
+#: Languages that one network tells apart, the most frequent ones.
 MAX_LANGUAGES = 200
 NONE = "und"
 _SIDE_BY_SIDE = 4096
@@ -47,9 +50,7 @@ def fit(df: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "te
     common.bounded_batches(df.sparkSession)
     chosen = df.where(rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = chosen.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(counts)
     if len(languages) < 2:
         return Model(languages, None)
@@ -101,13 +102,14 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` without the text and with ``lang_pred`` and ``score``; extra columns of these names give way."""
     common.bounded_batches(df.sparkSession)
     others = [f for f in df.schema.fields if f.name not in (text_col, "lang_pred", "score")]
-    rows = df.select(F.col(text_col).alias("_text"), *(F.col(f"`{f.name}`") for f in others))
+    carried = [f"in_{k}" for k in range(len(others))]  # so no name of a column clashes with one of these
+    rows = df.select(F.col(text_col).alias("text"), *(F.col(f"`{f.name}`").alias(c) for c, f in zip(carried, others, strict=True)))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages or [NONE], object)
         for batch in batches:
-            for piece in common.slices(batch, "_text"):
-                texts = piece.column("_text")
+            for piece in common.slices(batch, "text"):
+                texts = piece.column("text")
                 lettered = np.array([bool(_LETTER.search(t)) for t in common.filled(texts).to_pylist()]) & bool(model.languages)
                 if model.network is None:
                     best, score = np.zeros(len(texts), int), np.ones(len(texts))
@@ -117,10 +119,11 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     best, score = means.argmax(axis=1), np.clip(means.max(axis=1), 0, 1)
                 columns = [np.where(lettered, names[best], NONE), np.where(lettered, score, 0.0)]
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(piece.column(f.name) for f in others), *arrays], names=[*(f.name for f in others), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*map(piece.column, carried), *arrays], names=[*carried, "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "lang_pred string", "score double"])
-    return rows.mapInArrow(part, schema)
+    schema = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(carried, others, strict=True)), "lang_pred string", "score double"])
+    names = (F.col(c).alias(f.name) for c, f in zip(carried, others, strict=True))
+    return rows.mapInArrow(part, schema).select(*names, "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -19,7 +19,7 @@ to pass the cut alone within its range, where its group's centre and scatter are
 windows are rejected alone by the base rule.
 
 Defined results: a null text has no words and fails the base rules; a null language or source
-is a value of its own; every row is judged, repeated ones each; an empty table gives no rows.
+is a value of its own; extra columns of the results' names give way to them; every row is judged, repeated ones each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -175,9 +175,11 @@ def _with(rows: DataFrame, estimates: DataFrame, small: bool, how: str = "inner"
 
 def judged(df: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``df`` without the text, with the counts, ``base_failed``, ``distance2`` (null where no group judges) and ``kept``."""
-    drop = [c for c in ("base_failed", "distance2", "kept", "grp", *VECTOR) if c in df.columns]
-    rows = measured(df.drop(*drop), text_col).withColumns({"base_failed": base_failed(), **vectors()})
-    rows = rows.withColumns({"_l": F.coalesce(F.col(lang_col), F.lit("\0")), "_s": F.coalesce(F.col(source_col), F.lit("\0"))})
+    given = [c for c in df.columns if c not in (text_col, *COUNTS, "base_failed", "distance2", "kept")]
+    carried = {f"in_{k}": c for k, c in enumerate(given)}  # so no name of a column clashes with one of these
+    cell = (F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(name) for c, name in ((lang_col, "_l"), (source_col, "_s")))
+    rows = measured(df.select(F.col(text_col).alias("text"), *cell, *(F.col(f"`{c}`").alias(k) for k, c in carried.items())))
+    rows = rows.withColumns({"base_failed": base_failed(), **vectors()})
     rows = storage.materialize(rows, "quality_vectors")
 
     passed = rows.where("not base_failed")
@@ -212,4 +214,4 @@ def judged(df: DataFrame, lang_col: str = "lang", source_col: str = "source", te
     cut = chi2_quantile(KEEP, P)
     out = _with(rows, estimates.select("grp", "centre", "precision"), small, "left").withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & (F.col("distance2").isNull() | (F.col("distance2") <= cut))
-    return out.withColumn("kept", kept).drop("_l", "_s", "grp", "centre", "precision", *VECTOR)
+    return out.select(*(F.col(k).alias(c) for k, c in carried.items()), *COUNTS, "base_failed", "distance2", kept.alias("kept"))

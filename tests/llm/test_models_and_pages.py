@@ -58,6 +58,17 @@ def test_languages_of_awkward_rows(spark, awkward, empty):
     assert lang_id.predict(empty, model).count() == 0
 
 
+def test_more_languages_than_are_learned(spark):
+    rows = [(k, " ".join(chr(97 + k % 26) * 3 + chr(97 + k // 26) for _ in range(8)), f"l{k:03d}") for k in range(300)]
+    rows += [(300 + k, text, lang) for k, text, lang in rows[290:]]  # frequent languages are learned, wherever their names stand
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(c) for c in ("_text", "in_0", "score")})
+    model = lang_id.fit(df, F.lit(True))
+    assert model.languages == [f"l{k:03d}" for k in [*range(190), *range(290, 300)]]
+    out = lang_id.predict(df, model).collect()
+    assert len(out) == 310 and {r.lang_pred for r in out} <= set(model.languages)
+    assert all(r["_text"] == "_text" and r["in_0"] == "in_0" and 0 < r["score"] <= 1 for r in out)
+
+
 RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"), Rule("b.net", "", "block")]
 URLS = [
     None, "", "nothing", "http://", "http://Example.COM/en/x", "https://www.example.com/en/?q=1", "http://a.example.com/en",

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from llm_rows import DOCS, prose
 
 from barloom.llm import quality
@@ -139,3 +140,17 @@ def test_each_statistic_rejects_alone(spark):
     assert [name for i, name in enumerate(planted) if out[i].kept] == []
     assert sum(out[i].kept for i in range(5, 305)) >= 299
     assert out[3].n_repeat_words == out[3].n_echo_words == out[3].n_symbols == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["centre", "precision", "_text", "_l", "grp", "x_lines", "in_0", "distance2", "rows", "text.x"]
+    df = spark.createDataFrame([(1, "a b", "en", "a", 0)], DOCS).withColumns({c: F.lit(c) for c in names})
+    row = quality.judged(df).head()
+    assert all(row[c] == c for c in names if c != "distance2") and row["distance2"] is None
+    assert (row["doc_id"], row["lang"], row["n_words"], row["kept"]) == (1, "en", 2, False)
+
+
+def test_lines_that_share_a_polynomial_hash_are_told_apart():
+    first, second = ("".join("ab"[(k.bit_count() + flip) % 2] for k in range(2048)) for flip in (0, 1))
+    counts = text_stats(pa.array([f"{first}\n{second}", f"{first}\n{first}", f"{first} {second}"]))
+    assert counts["n_dup_lines"].tolist() == [0, 1, 0] and counts["n_echo_words"].tolist() == [0, 1, 0]
