@@ -1,6 +1,6 @@
 """Encoding and decoding of whole texts with the transducer, as a DataFrame operator.
 
-Defined results: a null text is an empty one, with no ids and an empty decoded text; repeated
+Defined results: a null text is an empty one, with no ids and empty decoded texts; repeated
 rows are encoded each; an empty table gives no rows; other columns are not read.
 """
 
@@ -17,25 +17,28 @@ from barloom.llm import common
 from barloom.llm.transducer import coder
 
 
-def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", library: bool = True) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids`` (decimal, a blank between two) and ``decoded``, the text that the ids give back.
+def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids`` (decimal, a blank between two), ``decoded`` and ``plain``.
 
-    ``library`` decodes as tokenizer files without a decoder do; else into text.
+    ``decoded`` is what the library gives for tokenizer files without a decoder: the tokens, a blank between two.
+    ``plain`` is the text that the ids give back byte by byte: its words as the tokenizer normalises them, a blank after each.
     """
     common.bounded_batches(df.sparkSession)
+    names = ["doc_id", "n_tokens", "ids", "decoded", "plain"]
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = coder(tokenizer)
-        decoder = codec.decoder(library)
+        named, machine = codec.decoder(library=True), codec.decoder()
         for batch in batches:
             for piece in common.slices(batch, "text"):
                 found = codec.encode(common.filled(piece.column("text")).to_pylist())
-                ids, decoded = [], []
+                outputs: list[list[bytes]] = [[], [], []]
                 for x in map(np.ndarray.tolist, found):
-                    ids.append(b" ".join([codec.decimal[i] for i in x]))
-                    decoded.append((decoder.feed_all(x) + decoder.end()).encode())
-                columns = [pa.array(list(map(len, found)), pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids", "decoded"])
+                    texts = [b" ".join([codec.decimal[i] for i in x]), named.decode(x).encode(), machine.decode(x).encode()]
+                    for column, text in zip(outputs, texts, strict=True):
+                        column.append(text)
+                columns = [pa.array(list(map(len, found)), pa.int64()), *(pa.array(c, pa.binary()) for c in outputs)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns], names=names)
 
-    return rows.mapInArrow(part, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return rows.mapInArrow(part, "doc_id long, n_tokens long, ids binary, decoded binary, plain binary")

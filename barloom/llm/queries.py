@@ -89,7 +89,8 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe_codec.round_trip(common.table(spark, folder, "documents"), tokenizer(WORD_BPE))
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded", "plain")]
+    return coded.select("doc_id", "n_tokens", *digests)
 
 
 @query

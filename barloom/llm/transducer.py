@@ -26,6 +26,9 @@ from barloom.llm import pretokens
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Below this code point every text is in composed form already.
 COMPOSED = 0x300
+#: Characters of a text that are encoded at once, and where a longer one may be cut.
+PART = 1 << 20
+_GAP = re.compile("[ \t\n]")
 #: Texts with these go the long way; the one letter below it has two characters when lower-cased.
 _APART = re.compile(f"[\u0130{chr(COMPOSED)}-{chr(0x10FFFF)}]")
 
@@ -112,32 +115,25 @@ class Transducer:
 class StreamDecoder:
     """Ids in, text out: tokens' symbols become bytes, and bytes become text once a character is whole.
 
+    ``pieces`` are the bytes of each token. What is held between two calls is at most the begun bytes of one character.
     ``library`` gives the form of tokenizer files that name no decoder: the tokens as they are, a blank between two.
     """
 
-    def __init__(self, tokens: list[str], special: set[int], suffix: str = "", library: bool = False):
-        self.tokens, self.special, self.suffix, self.library = tokens, special, suffix, library
-        self.bytes = {s: b for b, s in enumerate(byte_symbols())}
+    def __init__(self, tokens: list[str], pieces: list[bytes], library: bool = False):
+        self.tokens, self.pieces, self.library = tokens, pieces, library
         self.reset()
 
     def reset(self) -> None:
         self.state, self.begun = codecs.getincrementaldecoder("utf-8")("replace"), False
 
     def feed(self, i: int) -> str:
-        token, first = self.tokens[i], not self.begun
-        self.begun = True
-        if self.library:
-            return token if first else " " + token
-        if i in self.special:
-            return self.state.decode(b"", True) + token
-        body = token.removesuffix(self.suffix) if self.suffix else token
-        text = self.state.decode(bytes(self.bytes[c] for c in body))
-        return text + " " if self.suffix and token.endswith(self.suffix) else text
+        return self.feed_all([i])
 
     def feed_all(self, ids: list[int]) -> str:
         """The text that a run of ids adds; tokens as they are need no bytes, only whether one came before."""
         if not self.library:
-            return "".join(map(self.feed, ids))
+            pieces = self.pieces
+            return self.state.decode(b"".join([pieces[i] for i in ids]))
         lead = " " if self.begun and ids else ""
         self.begun = self.begun or bool(ids)
         tokens = self.tokens
@@ -179,6 +175,20 @@ class WordCoder:
                 lower[c] = ord(chr(c).lower())
         self.lower = lower
         self.decimal = [str(i).encode() for i in range(len(self.tokens))]
+        self.pieces = self._pieces()
+
+    def _pieces(self) -> list[bytes]:
+        """The bytes of each token; a blank follows the end of a word."""
+        values, special = {s: b for b, s in enumerate(self.symbols)}, set(self.special.values())
+        out = []
+        for i, token in enumerate(self.tokens):
+            ends = bool(self.suffix) and token.endswith(self.suffix)
+            body = token.removesuffix(self.suffix) if ends else token
+            if i in special or not values.keys() >= set(body):
+                out.append(token.encode())
+            else:
+                out.append(bytes(values[c] for c in body) + b" " * ends)
+        return out
 
     def _word(self, word: str) -> list[int]:
         return self.transducer.word("".join(self.symbols[b] for b in word.encode()))
@@ -200,8 +210,23 @@ class WordCoder:
         out += [i for w in WORDS.findall(self._normal(text[at:])) for i in self._word(w)]
         return np.array(out, np.uint32)
 
+    def cuts(self, text: str) -> Iterator[str]:
+        """``text`` in parts of about ``PART`` characters, each but the first from white space on, which is in no word."""
+        at = 0
+        while hit := _GAP.search(text, at + PART):
+            yield text[at : hit.start()]
+            at = hit.start()
+        yield text[at:]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text. A long text is encoded in parts, so that arrays over it stay small."""
+        out = self._encoded([t if len(t) <= PART else "" for t in texts])
+        for i, text in enumerate(texts):
+            if len(text) > PART:
+                out[i] = np.concatenate([self._encoded([part])[0] for part in self.cuts(text)])
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         apart = [i for i, t in enumerate(texts) if not t.isascii() and _APART.search(t) or self.cut.search(t)]
         plain = list(texts)
         for i in apart:
@@ -217,7 +242,7 @@ class WordCoder:
         return out
 
     def decoder(self, library: bool = False) -> StreamDecoder:
-        return StreamDecoder(self.tokens, set(self.special.values()), self.suffix, library)
+        return StreamDecoder(self.tokens, self.pieces, library)
 
 
 @functools.lru_cache(maxsize=1)

@@ -35,6 +35,41 @@ def test_gradients_are_those_of_finite_differences():
         assert g[at] == pytest.approx((losses[0] - losses[1]) / 0.02, rel=0.02)
 
 
+def test_pooled_probabilities_are_those_of_plain_loops():
+    """Each window, position and unit by itself, from the definition of the gated unit."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (gru.WINDOW, 4))
+    net, h = gru.Network.random(3), gru.HIDDEN
+
+    def logistic(v):
+        return 1 / (1 + np.exp(-v))
+
+    def states(window, d):
+        state, out = [0.0] * h, []
+        for byte in window:
+            given = net.inputs[d][:, byte].astype(float)
+            inner = [sum(float(net.inner[d][g, j]) * state[j] for j in range(h)) for g in range(3 * h)]
+            new = []
+            for j in range(h):
+                update, reset = logistic(given[j] + inner[j]), logistic(given[h + j] + inner[h + j])
+                candidate = np.tanh(given[2 * h + j] + reset * inner[2 * h + j])
+                new.append(update * state[j] + (1 - update) * candidate)
+            state = new
+            out.append(state)
+        return out
+
+    sums, letters = net.pooled(x)
+    for b in range(x.shape[1]):
+        forward, backward = states(x[:, b], 0), states(x[::-1, b], 1)[::-1]
+        expected, n = np.zeros(3), 0
+        for t, byte in enumerate(x[:, b].tolist()):
+            if byte >= 0x80 or chr(byte).isalpha():
+                p = np.exp(net.outer @ np.array(forward[t] + backward[t]) + net.bias[:, 0])
+                expected, n = expected + p / p.sum(), n + 1
+        assert letters[b] == n
+        assert sums[:, b] == pytest.approx(expected, rel=1e-4)
+
+
 def test_held_out_languages_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barloom import storage
-from barloom.llm import bpe_codec, common, packing, pretokens, token_files, tokens
+from barloom.llm import bpe_codec, common, packing, pretokens, token_files, tokens, transducer
 from barloom.llm.pretokens import Memo
 from barloom.llm.tokens import Encoder
 from barloom.llm.transducer import WordCoder, sufficient_lookahead
@@ -58,6 +58,18 @@ def test_transducer_equals_the_library(word_bpe):
         assert coder.decoder(library=True).decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_long_texts_are_encoded_in_parts(word_bpe, monkeypatch):
+    monkeypatch.setattr(transducer, "PART", 40)
+    coder = WordCoder(word_bpe)
+    texts = [" ".join(mixtures(40, seed)) for seed in range(8)] + ["x" * 300, "e \u0301" * 60, ("don't " * 50).strip(), " \n\t" * 60]
+    for text in texts:
+        parts = list(coder.cuts(text))
+        assert "".join(parts) == text
+        assert all(p[0] in " \n\t" for p in parts[1:])
+    assert max(len(list(coder.cuts(t))) for t in texts) > 5
+    assert [x.tolist() for x in coder.encode(texts)] == ids_of(word_bpe, texts)
+
+
 def test_transducer_emits_before_the_end_and_holds_little(word_bpe):
     transducer = WordCoder(word_bpe).transducer
     read = 0
@@ -93,12 +105,36 @@ def test_decoding_in_parts_is_decoding_at_once(word_bpe):
         assert "".join([parts.feed_all(ids[:3]), *map(parts.feed, ids[3:7]), parts.feed_all(ids[7:]), parts.end()]) == whole.decode(ids)
 
 
+def plain_text(library: Tokenizer, ids: list[int]) -> str:
+    """The text of ids, by a table of bytes and one look at the whole."""
+    values = {s: b for b, s in enumerate(transducer.byte_symbols())}
+    out = b""
+    for token in map(library.id_to_token, ids):
+        if token.startswith("<|") and token.endswith("|>"):
+            out += token.encode()
+        else:
+            out += bytes(values[c] for c in token.removesuffix("</w>")) + (b" " if token.endswith("</w>") else b"")
+    return out.decode("utf-8", "replace")
+
+
+def test_plain_text_has_the_words_of_the_text(word_bpe):
+    coder = WordCoder(word_bpe)
+    texts = ["", "Straße, 12 Ängste!", "a<|endoftext|>b 你好 😀", "don't\n\tstop"]
+    found = [coder.decoder().decode(x.tolist()) for x in coder.encode(texts)]
+    assert found == ["", "straße , 1 2 ängste ! ", "a <|endoftext|>b 你好 😀 ", "don 't stop "]
+
+
 def test_round_trip_operator(spark, awkward, empty, word_bpe):
     out = bpe_codec.round_trip(awkward, word_bpe).collect()
     texts = {(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()}
     assert len(out) == awkward.count()
     expected = sorted(" ".join(map(str, i)) for i in ids_of(word_bpe, [t or "" for _, t in texts]))
     assert sorted({bytes(r.ids).decode() for r in out}) == sorted(set(expected))
+    library = Tokenizer.from_file(word_bpe)
+    for r in out:
+        ids = [int(i) for i in bytes(r.ids).split()]
+        assert bytes(r.decoded).decode() == library.decode(ids, skip_special_tokens=False)
+        assert bytes(r.plain).decode() == plain_text(library, ids)
     assert bpe_codec.round_trip(empty, word_bpe).count() == 0
 
 
