@@ -29,8 +29,10 @@ COMPOSED = 0x300
 #: Characters of a text that are encoded at once, and where a longer one may be cut.
 PART = 1 << 20
 _GAP = re.compile("[ \t\n]")
-#: Texts with these go the long way; the one letter below it has two characters when lower-cased.
-_APART = re.compile(f"[\u0130{chr(COMPOSED)}-{chr(0x10FFFF)}]")
+#: Letters whose lower-cased form is longer, or beyond the table of classes.
+_FAR = "".join(c for c in map(chr, range(COMPOSED)) if len(c.lower()) > 1 or ord(c.lower()) >= pretokens.STABLE)
+#: Texts with these go the long way.
+_APART = re.compile(f"[{_FAR}{chr(COMPOSED)}-{chr(0x10FFFF)}]")
 
 
 @functools.cache
@@ -171,7 +173,7 @@ class WordCoder:
         self.memo = pretokens.Memo(self._learn)
         lower = np.arange(COMPOSED, dtype=np.uint32)
         for c in range(COMPOSED):
-            if len(chr(c).lower()) == 1:
+            if chr(c) not in _FAR:
                 lower[c] = ord(chr(c).lower())
         self.lower = lower
         self.decimal = [str(i).encode() for i in range(len(self.tokens))]

@@ -58,6 +58,11 @@ def test_transducer_equals_the_library(word_bpe):
         assert coder.decoder(library=True).decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_letters_with_a_far_lower_case(word_bpe):
+    texts = ["\u023ab \u023e x", "\u0130stanbul", "a" + "".join(map(chr, range(0xC0, 0x300))) + " b"]
+    assert [x.tolist() for x in WordCoder(word_bpe).encode(texts)] == ids_of(word_bpe, texts)
+
+
 def test_long_texts_are_encoded_in_parts(word_bpe, monkeypatch):
     monkeypatch.setattr(transducer, "PART", 40)
     coder = WordCoder(word_bpe)
