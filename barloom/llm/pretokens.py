@@ -135,10 +135,11 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Words have code points below ``STABLE``; places and lengths are below a few times ``MEMO_CHARS``.
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
-        self.chars, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chars, self.begins, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -148,15 +149,14 @@ class Memo:
 
     def _add(self, keys: np.ndarray, words: list[str], chars: np.ndarray, sizes: np.ndarray) -> None:
         found, lengths = self.learn(words)
-        slots = len(self.starts) + np.arange(len(keys))
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
-        self.ids = np.append(self.ids, found)
-        self.begins = np.append(self.begins, len(self.chars) + np.cumsum(sizes) - sizes)
-        self.chars, self.sizes = np.append(self.chars, chars), np.append(self.sizes, sizes)
+        self.starts = _grown(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.lengths, self.ids = _grown(self.lengths, lengths), _grown(self.ids, found)
+        self.begins = _grown(self.begins, len(self.chars) + np.cumsum(sizes) - sizes)
+        self.chars, self.sizes = _grown(self.chars, chars), _grown(self.sizes, sizes)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.slots = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, slots[order])
+        self.slots = np.insert(self.slots, at, (len(self.slots) + order).astype(np.int32))
+        self.keys = np.insert(self.keys, at, keys[order])
 
     def encode(self, text: str, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words of ``text``, one after the other, and the number of ids of each word."""
@@ -182,7 +182,7 @@ class Memo:
         if not known.all():
             apart = np.union1d(apart, np.flatnonzero(~known[codes]))
         slots = slots[codes]
-        begins, lengths, ids = self.starts[slots], self.lengths[slots], self.ids
+        begins, lengths, ids = self.starts[slots].astype(np.int64), self.lengths[slots].astype(np.int64), self.ids
         if len(apart):  # words that share a hash with another word
             found, own = self.learn([text[a:b] for a, b in zip(starts[apart].tolist(), ends[apart].tolist(), strict=True)])
             begins[apart], lengths[apart] = len(ids) + np.cumsum(own) - own, own
@@ -190,6 +190,11 @@ class Memo:
         return ids[taken(begins, lengths)], lengths
 
 
+def _grown(x: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """``x`` and ``more``, kept as narrow as ``x``."""
+    return np.concatenate([x, more.astype(x.dtype)])
+
+
 def _equal(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, y: np.ndarray, others: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
     """Whether the spans of ``x`` hold the same as those of ``y``. No span is empty."""
     same = sizes == other_sizes
