@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
 from helpers import by_key, day, frame, random_walk
 from pyspark.sql import functions as F
 
+from barloom.functions import series
 from barloom.operators import features, mart
 
 CLOSES = [round(0.1 * i, 1) for i in range(1, 20)] + [1.4, 1.4]
@@ -183,3 +185,26 @@ def test_mart_lists_rows_with_ratio_and_index(spark):
     later = by_key(mart.feature_mart(bars, benchmark, since=day("1990-01-11")))
     assert len(later) == 2 * (80 - 10 - 27)
     assert all(rows[k]["gupbreak"] == r["gupbreak"] for k, r in later.items())
+
+
+def test_gathered_arrays_are_the_last_bars_in_order(spark):
+    rows = [{"symbol": x, "date": day("1990-01-01") + datetime.timedelta(days=i), "v": None if i % 7 == 3 else i + 0.5} for x in "AB" for i in range(75)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, v double")
+    sizes = [1, 2, 3, 5, 29, 30, 60]
+    unit = F.array("v", F.lit(1.0))
+    found = series.with_gathered(bars, {f"n{n}": (unit, n) for n in sizes})
+    assert found.columns == ["symbol", "date", "v", *(f"n{n}" for n in sizes)]
+    got = by_key(found)
+    for symbol in "AB":
+        x = [r for r in rows if r["symbol"] == symbol]
+        for i, r in enumerate(x):
+            for n in sizes:
+                expected = [y for o in x[i - n + 1 : i + 1] for y in (o["v"], 1.0)] if i >= n - 1 else None
+                assert got[symbol, r["date"]][f"n{n}"] == expected, (i, n)
+
+
+def test_features_do_not_visit_a_whole_window_for_each_bar(spark):
+    points = features.mart_features(mart_frame(spark, mart_rows()), window=30, coach=1)
+    text = points._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in text
+    assert text.count("Exchange") == 1 and text.count("Sort [") == 1

@@ -142,3 +142,8 @@ def test_directional_index_sorts_by_date_and_by_block_once(data):
     by_block = r"Sort \[symbol#\d+ ASC NULLS FIRST, _block#\d+ ASC NULLS FIRST, date#\d+ ASC NULLS FIRST\]"
     assert len(re.findall(by_date, text)) == 1
     assert len(re.findall(by_block, text)) == 1
+
+
+def test_the_passes_of_a_series_are_dealt_out_evenly(data):
+    # Parts of a fixed number aren't joined by their few bytes.
+    assert re.search(r"Exchange hashpartitioning\(symbol#\d+, \d+\), REPARTITION_BY_NUM", plan(data.rated))
