@@ -675,11 +675,14 @@ def table_copy(m: Inputs) -> DataFrame:
 @query
 def table_switch(m: Inputs) -> DataFrame:
     """History replaced by all bars with one more column; what is found if the driver ends before or after the commit."""
+    bars = storage.materialize(m.bars, "bars")
+    history = bars.where(F.col("date") < F.lit(inputs.HISTORY_UNTIL))
+    new = bars.withColumns({"step": F.lit("new"), "more": F.lit(1)})
     with _table(m.spark) as name:
-        tables.replace_table(m.history.withColumn("step", F.lit("old")), name)
-        tables.staged(m.bars.withColumns({"step": F.lit("new"), "more": F.lit(1)}), name)
+        tables.replace_table(history.withColumn("step", F.lit("old")), name)
+        tables.staged(new, name)
         before = storage.materialize(landing.ensure_table(m.spark, name, schemas.BAR), "before_commit")
-        written = tables.staged(m.bars.withColumns({"step": F.lit("new"), "more": F.lit(1)}), name)
+        written = tables.staged(new, name)
         records.commit(m.spark, name, *written)
         after = storage.materialize(landing.ensure_table(m.spark, name, schemas.BAR), "after_commit")
         both = before.withColumns({"more": F.lit(0), "ended": F.lit("before commit")}).unionByName(

@@ -11,6 +11,7 @@ from barloom.operators import evaluate, indexes, ingest
 from barloom.plans import queries
 from barloom.plans.inputs import Inputs
 from barloom.plans.queries import REGISTRY
+from barloom.sources import market
 
 FOLDER = "/root/testdata/sf0.001"
 # Queries that train or write while they are built; their plans only read the result.
@@ -147,3 +148,11 @@ def test_directional_index_sorts_by_date_and_by_block_once(data):
 def test_the_passes_of_a_series_are_dealt_out_evenly(data):
     # Parts of a fixed number aren't joined by their few bytes.
     assert re.search(r"Exchange hashpartitioning\(symbol#\d+, \d+\), REPARTITION_BY_NUM", plan(data.rated))
+
+
+def test_a_switched_table_aggregates_the_lines_once(spark, monkeypatch):
+    real, asked = market.bars, []
+    monkeypatch.setattr(market, "bars", lambda *args, **named: asked.append(named) or real(*args, **named))
+    text = plan(REGISTRY["table_switch"](Inputs(spark, FOLDER)))
+    assert asked == [{}]
+    assert scans(text, "lineitem") == 0
