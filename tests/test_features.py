@@ -208,3 +208,31 @@ def test_features_do_not_visit_a_whole_window_for_each_bar(spark):
     text = points._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in text
     assert text.count("Exchange") == 1 and text.count("Sort [") == 1
+    assert "exists(" not in text
+
+
+def test_anchors_with_an_undefined_term_in_their_window_are_left_out(spark):
+    rng, rows = random.Random(5), [dict(r) for r in mart_rows()]
+    for r in rows:
+        if rng.random() < 0.12:
+            name = rng.choice(["close", "adx", "pdi14", "mat_dual", "gupbreak"])
+            r[name] = 0.0 if name == "close" and rng.random() < 0.5 else None
+    found, n = by_key(features.mart_features(mart_frame(spark, rows), window=3, coach=2)), 3
+
+    def strong(r):
+        parts = [None if r["adx"] is None else r["adx"] > 30, None if None in (r["pdi14"], r["mdi14"]) else r["pdi14"] > r["mdi14"]]
+        return False if False in parts else None if None in parts else True
+
+    def divides(x, j, k):
+        return x[j]["close"] is not None and bool(x[j - k]["close"])
+
+    expected = set()
+    for symbol in ["A", "B"]:
+        x = [r for r in rows if r["symbol"] == symbol]
+        for a in range(n, len(x)):
+            window = range(a - n + 1, a + 1)
+            known = all(divides(x, j, 1) and strong(x[j]) is not None for j in window) and all(divides(x, j, 2) for j in window[1:])
+            if known and x[a]["mat_dual"] is not None and x[a]["adx"] is not None:
+                expected.add((symbol, x[a]["date"]))
+    assert set(found) == expected and 0 < len(expected) < 2 * 37
+    assert all(len(r["features"]) == 15 and None not in r["features"] for r in found.values())
