@@ -69,6 +69,22 @@ def test_regression_beats_the_naive_prediction(spark):
     assert errors["mse"] < errors["naive_mse"] / 2
 
 
+def test_boosted_trees_read_all_rows_in_a_bounded_number_of_parts(spark, monkeypatch):
+    real, seen = models.GBTRegressor.fit, []
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda self, rows: seen.append(rows) or real(self, rows))
+    rng = random.Random(2)
+    rows = [(k, x[0] * x[1], x) for k in range(300) for x in [[rng.uniform(0.9, 1.1), rng.uniform(0.9, 1.1)]]]
+    points = spark.createDataFrame(rows, "id int, label double, features array<double>")
+    scores = []
+    for parts in (3, 40):
+        model = models.fit_regression(points.repartition(parts, "id"), max_iter=3, max_depth=3)
+        scored = model.transform(models.as_vectors(points)).orderBy("id").select("prediction")
+        scores.append([r["prediction"] for r in scored.collect()])
+    assert [rows.rdd.getNumPartitions() for rows in seen] == [3, models.BOOSTING_PARTS]
+    assert [rows.count() for rows in seen] == [300, 300]
+    assert scores[1] == pytest.approx(scores[0])
+
+
 def test_vectors_are_left_alone(spark):
     points = labelled(spark, n=20).withColumn("features", array_to_vector("features"))
     assert models.as_vectors(points) is points
