@@ -8,7 +8,6 @@ from typing import NamedTuple
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    LogisticRegression,
     LogisticRegressionModel,
     RandomForestClassifier,
 )
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import features as fe
 from barloom.operators import trees
+from barloom.operators.logistic import PassedLogisticRegression
 
 MAX_CATEGORIES = 4
 # Boosted trees: every part of the train rows sends its own statistics of all nodes, features and bins at each level.
@@ -46,7 +46,7 @@ def classifier(kind: str = "tree"):
     if kind == "forest":
         return RandomForestClassifier(numTrees=2, maxDepth=5, maxBins=32, seed=1, **columns)
     if kind == "logistic":
-        return LogisticRegression(maxIter=100000, regParam=0.1, elasticNetParam=0.8, **columns)
+        return PassedLogisticRegression(maxIter=100000, regParam=0.1, elasticNetParam=0.8, **columns)
     raise ValueError(f"unknown classifier {kind!r}")
 
 
