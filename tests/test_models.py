@@ -274,3 +274,13 @@ def test_ten_thousand_cells_cost_one_aggregate(many):
     row = grid.where("threshold = 0.37").orderBy("start").collect()[40]
     kept = many.where(F.col("date2").between(row["start"], row["end"] - datetime.timedelta(days=1)) & (F.col("prob") >= row["threshold"]))
     assert row["all"] == kept.count() > 0
+
+
+def test_boosting_uses_more_cores_up_to_a_bound(spark, monkeypatch):
+    assert [models.boosting_parts(cores) for cores in (1, 8, 10, 12, 500)] == [8, 8, 10, 12, models.MOST_BOOSTING_PARTS]
+    real, seen = models.GBTRegressor.fit, []
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or real(self, rows))
+    monkeypatch.setattr(models, "boosting_parts", lambda cores: cores + 6)
+    points = spark.createDataFrame([(k / 40, [k / 40, 1.0]) for k in range(40)], "label double, features array<double>")
+    models.fit_regression(points.repartition(30), max_iter=1, max_depth=2)
+    assert seen == [spark.sparkContext.defaultParallelism + 6]
